@@ -58,8 +58,9 @@ def sample_similarity(
     cells. The shares are summed before the shuffle, which carries one row per pair of
     columns and task.
     """
-    left = F.array(*[canonical(F.col(f"`ref:{c}`")) for c in reference_columns])
-    right = F.array(*[canonical(F.col(f"`cand:{c}`")) for c in candidate_columns])
+    # One normalising expression per side; one per column would not compile.
+    left = F.transform(F.array(*[F.col(f"`ref:{c}`") for c in reference_columns]), lambda v: canonical(v))
+    right = F.transform(F.array(*[F.col(f"`cand:{c}`") for c in candidate_columns]), lambda v: canonical(v))
     pairs = (
         sample.select(left.alias("left"), right.alias("right"))
         .select(F.posexplode("left").alias("reference_position", "a"), "right")
