@@ -14,17 +14,40 @@ def first_text(*values: Column) -> Column:
     return F.coalesce(*[F.when(F.btrim(t, F.lit(WHITESPACE)) != "", t) for t in texts], F.lit(""))
 
 
+def fixed_point(value: Column, digits: int) -> Column:
+    """The number with so many decimals, rounded by its exact binary value.
+
+    format_string rounds the shortest decimal spelling instead, so it would show 3.905,
+    which lies just below the tie, as 3.91. The comparison with the tie is exact: the
+    value is split into two halves whose products with the small scale are exact.
+    """
+    size, scale = F.abs(value.cast("double")), 10**digits
+    spread = size * F.lit(134217729.0)
+    high = spread - (spread - size)
+    low = size - high
+    below = F.floor(size * scale)
+    tie_distance = (high * (2 * scale) - (2 * below + 1)) + low * (2 * scale)
+    up = (tie_distance > 0) | ((tie_distance == 0) & (below % 2 == 1))
+    units = below + F.when(up, 1).otherwise(0)
+    text = F.format_string(f"%d.%0{digits}d", F.floor(units / scale), units % scale)
+    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
+
+
 def price_text(price: Column, currency: Column) -> Column:
     return F.when(
-        price.isNotNull(), F.format_string("%.2f %s", price.cast("double"), F.when(
-            F.btrim(currency, F.lit(WHITESPACE)) != "", currency).otherwise(F.lit("EUR")))
+        price.isNotNull(),
+        F.concat(
+            fixed_point(price, 2),
+            F.lit(" "),
+            F.when(F.btrim(currency, F.lit(WHITESPACE)) != "", currency).otherwise(F.lit("EUR")),
+        ),
     ).otherwise(F.lit("Price unavailable"))
 
 
 def rating_summary(value: Column, count: Column) -> Column:
     """'★ 4.5 (12)', '★ 4.5', '12 reviews' or 'New'."""
     rated, counted = F.coalesce(value > 0, F.lit(False)), F.coalesce(count > 0, F.lit(False))
-    stars = F.format_string("★ %.1f", value.cast("double"))
+    stars = F.concat(F.lit("★ "), fixed_point(value, 1))
     return (
         F.when(rated & counted, F.concat(stars, F.format_string(" (%d)", count.cast("bigint"))))
         .when(rated, stars)
@@ -40,7 +63,7 @@ def rating_stars(value: Column) -> Column:
     return F.when(
         value > 0,
         F.concat(
-            F.repeat(F.lit("★"), full), F.repeat(F.lit("☆"), F.lit(5) - full), F.format_string(" %.1f", shown)
+            F.repeat(F.lit("★"), full), F.repeat(F.lit("☆"), F.lit(5) - full), F.lit(" "), fixed_point(shown, 1)
         ),
     )
 
