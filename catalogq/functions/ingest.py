@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from catalogq.functions.text import NUMBER_PATTERN, WHITESPACE, blank_to_null, round_half_away
+from catalogq.functions.text import NUMBER_PATTERN, WHITESPACE, blank_to_null, null_if_empty, round_half_away
 
 NBSP = "\u00a0"
 # Text shapes of pack sizes, German dates and scrape times.
@@ -38,7 +38,7 @@ def to_long(text: Column) -> Column:
 
 def euro_amount(text: Column) -> Column:
     """Price from shop text: '1.299,00 €', 'EUR 12.50', 'ab 3.99'."""
-    bare = F.replace(F.replace(F.replace(text, F.lit("€"), F.lit("")), F.lit("EUR"), F.lit("")), F.lit(" "), F.lit(""))
+    bare = F.regexp_replace(text, "€|EUR| ", "")
     german = F.translate(bare, ",.", ".")
     plain = F.regexp_replace(bare, r"[^0-9.\-]", "")
     return to_double(F.when(bare.contains(","), german).otherwise(plain))
@@ -46,18 +46,18 @@ def euro_amount(text: Column) -> Column:
 
 def digits(text: Column) -> Column:
     """The digits of an article number, NULL when there are none."""
-    return F.nullif(F.regexp_replace(text, r"[^0-9]", ""), F.lit(""))
+    return null_if_empty(F.regexp_replace(text, r"[^0-9]", ""))
 
 
 def first_integer(text: Column) -> Column:
     """The first run of digits in a text."""
-    return F.nullif(F.regexp_extract(text, r"([0-9]+)", 1), F.lit("")).try_cast("bigint")
+    return null_if_empty(F.regexp_extract(text, r"([0-9]+)", 1)).try_cast("bigint")
 
 
 def german_date(text: Column) -> Column:
     """First dd.mm.yyyy in a text as an ISO date; NULL for none or an impossible date."""
     found = F.regexp_extract(text, GERMAN_DATE_PATTERN, 1)
-    return F.date_format(F.try_to_timestamp(F.nullif(found, F.lit("")), F.lit("dd.MM.yyyy")), "yyyy-MM-dd")
+    return F.date_format(F.try_to_timestamp(null_if_empty(found), F.lit("dd.MM.yyyy")), "yyyy-MM-dd")
 
 
 def scrape_time(text: Column) -> Column:
@@ -72,7 +72,7 @@ def distinct_texts(texts: Column) -> Column:
 
 def join_texts(texts: Column, separator: str) -> Column:
     """Distinct texts as one, NULL when none is left."""
-    return F.nullif(F.array_join(distinct_texts(texts), separator), F.lit(""))
+    return null_if_empty(F.array_join(distinct_texts(texts), separator))
 
 
 def unit_info(texts: Column) -> dict[str, Column]:

@@ -30,9 +30,14 @@ def is_empty(value: Column) -> Column:
     return trimmed(value) == ""
 
 
+def null_if_empty(text: Column) -> Column:
+    """NULL for ''. Names its argument once: nullif repeats it, which multiplies inside lambdas."""
+    return F.get(F.array_remove(F.array(text), ""), F.lit(0))
+
+
 def blank_to_null(value: Column) -> Column:
     """Trimmed text, or NULL where nothing is left."""
-    return F.nullif(F.btrim(value, F.lit(WHITESPACE)), F.lit(""))
+    return null_if_empty(F.btrim(value, F.lit(WHITESPACE)))
 
 
 def bool_word(text: Column) -> Column:
@@ -83,7 +88,7 @@ def match_key(value: Column) -> Column:
     form = canonical(value)
     return F.when(
         F.octet_length(form) > LONGEST_PLAIN_KEY, F.concat(F.lit("sha256:"), F.sha2(form, 256))
-    ).otherwise(F.nullif(form, F.lit("")))
+    ).otherwise(null_if_empty(form))
 
 
 def round_half_away(value: Column, digits: int) -> Column:

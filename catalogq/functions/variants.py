@@ -15,6 +15,7 @@ from catalogq.functions.ingest import (
     to_double,
     to_long,
 )
+from catalogq.functions.text import null_if_empty
 
 
 def text(value: Column, path: str = "$") -> Column:
@@ -42,10 +43,18 @@ def article_digits(value: Column, path: str) -> Column:
 
 
 def euros(value: Column, path: str) -> Column:
-    """A JSON number as it is; text by the shop's spelling rules."""
+    """A JSON number as it is; text by the shop's spelling rules.
+
+    A plain spelling means the same either way. Only one with an exponent needs the
+    type: as text its 'E' is dropped like any other letter.
+    """
+    shown = text(value, path)
     kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
-    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-    return F.when(number, F.try_variant_get(value, path, "double")).otherwise(euro_amount(text(value, path)))
+    return (
+        F.when(shown.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), shown.try_cast("double"))
+        .when(shown.rlike(r"[eE][+-]?[0-9]+$") & (kind != "STRING"), to_double(shown))
+        .otherwise(euro_amount(shown))
+    )
 
 
 def integer_in(value: Column, path: str) -> Column:
@@ -92,21 +101,18 @@ def content_texts(block: Column) -> Column:
     def definition(item: Column) -> Column:
         # Parts that are missing leave no separator behind; a non-object has neither.
         both = F.array(text(item, "$.title"), text(item, "$.description"))
-        return F.when(is_object(item), F.nullif(F.array_join(both, ": "), F.lit("")))
+        return F.when(is_object(item), null_if_empty(F.array_join(both, ": ")))
 
-    def table_row(row: Column) -> Column:
-        row_cells = F.transform(items(row), lambda x: F.coalesce(text(x), F.lit("")))
-        return F.when(F.size(row_cells) > 0, F.array_join(row_cells, " / "))
+    def row_text(cells: Column) -> Column:
+        return F.array_join(F.transform(cells, lambda x: F.coalesce(text(x), F.lit(""))), " / ")
 
-    table = F.filter(F.transform(items(block, "$.table"), table_row), lambda r: r.isNotNull())
+    rows = F.filter(F.transform(items(block, "$.table"), lambda r: items(r)), lambda r: F.size(r) > 0)
     found = F.concat(
         texts(items(block, "$.texts")),
         texts(items(block, "$.bulletpoints")),
         F.flatten(F.transform(items(block, "$.links"), link)),
         F.transform(items(block, "$.descriptionList"), definition),
-        F.when(F.size(table) > 0, F.array(F.array_join(table, " || "))).otherwise(
-            F.array().cast("array<string>")
-        ),
+        F.array(F.array_join(F.transform(rows, row_text), " || ")),
     )
     return F.filter(found, lambda t: t.isNotNull())
 
@@ -120,10 +126,11 @@ def group_text(group: Column) -> Column:
 def description_groups(groups: Column, headers: tuple[str, ...]) -> Column:
     """(header, body) of every group with a header; bodies only for the listed headers."""
 
-    def section(group: Column) -> Column:
-        header = F.when(is_object(group), text(group, "$.header"))
-        return F.struct(
-            header.alias("header"), F.when(header.isin(*headers), group_text(group)).alias("body")
-        )
+    def titled(group: Column) -> Column:
+        return F.struct(F.when(is_object(group), text(group, "$.header")).alias("header"), group.alias("group"))
+
+    def section(entry: Column) -> Column:
+        body = F.when(entry["header"].isin(*headers), group_text(entry["group"]))
+        return F.struct(entry["header"].alias("header"), body.alias("body"))
 
-    return F.filter(F.transform(groups, section), lambda s: s["header"].isNotNull())
+    return F.transform(F.filter(F.transform(groups, titled), lambda g: g["header"].isNotNull()), section)
