@@ -91,10 +91,19 @@ def labels(elements: Column, keys: tuple[str, ...]) -> Column:
 
 
 def content_texts(block: Column) -> Column:
-    """The texts of one content block: paragraphs, bullets, links, definitions, tables."""
+    """The texts of one content block: paragraphs, bullets, links, definitions, tables.
+
+    Texts that stand alone are left as they are: joining the blocks cleans them.
+    """
+
+    def raw(value: Column, path: str = "$") -> Column:
+        return F.try_variant_get(value, path, "string")
+
+    def raw_texts(path: str) -> Column:
+        return F.transform(items(block, path), lambda e: raw(e))
 
     def link(item: Column) -> Column:
-        return F.when(is_object(item), F.array(text(item, "$.linkText"), text(item, "$.href"))).otherwise(
+        return F.when(is_object(item), F.array(raw(item, "$.linkText"), raw(item, "$.href"))).otherwise(
             F.array().cast("array<string>")
         )
 
@@ -107,14 +116,13 @@ def content_texts(block: Column) -> Column:
         return F.array_join(F.transform(cells, lambda x: F.coalesce(text(x), F.lit(""))), " / ")
 
     rows = F.filter(F.transform(items(block, "$.table"), lambda r: items(r)), lambda r: F.size(r) > 0)
-    found = F.concat(
-        texts(items(block, "$.texts")),
-        texts(items(block, "$.bulletpoints")),
+    return F.concat(
+        raw_texts("$.texts"),
+        raw_texts("$.bulletpoints"),
         F.flatten(F.transform(items(block, "$.links"), link)),
         F.transform(items(block, "$.descriptionList"), definition),
         F.array(F.array_join(F.transform(rows, row_text), " || ")),
     )
-    return F.filter(found, lambda t: t.isNotNull())
 
 
 def group_text(group: Column) -> Column:

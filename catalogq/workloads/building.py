@@ -129,8 +129,11 @@ def _lit(text: str) -> Column:
 # --- description groups and content blocks -----------------------------------------------------
 
 
-def _group_docs(spark: SparkSession, d: str) -> DataFrame:
-    """One document per order with description groups of every block kind."""
+def _group_lines(spark: SparkSession, d: str) -> DataFrame:
+    """One line per order: a document with description groups of every block kind.
+
+    A line is far larger than the order it comes from, so the lines are spread out.
+    """
     key, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
     block = F.struct(
         F.array(status, F.lit(" "), status, F.lit("text")).alias("texts"),
@@ -158,8 +161,9 @@ def _group_docs(spark: SparkSession, d: str) -> DataFrame:
         group(_lit("Sonstiges"), plain),
         group(F.when(key % 2 == 0, _lit("Zutaten")).otherwise(_lit(" ")), block),
     )
-    text = F.to_json(F.struct(groups.alias("groups")))
-    return table(spark, d, "orders").select("o_orderkey", F.try_parse_json(text).alias("doc"))
+    text = F.to_json(F.struct(F.struct(groups.alias("descriptionGroups")).alias("product")))
+    orders = table(spark, d, "orders").repartition(spark.sparkContext.defaultParallelism)
+    return orders.select(text.alias("value"), F.col("o_orderkey").alias("_ord"))
 
 
 BLOCK_SQL = (
@@ -174,8 +178,9 @@ BLOCK_SQL = (
     f"SELECT o_orderkey, trim({BLOCK_SQL}) AS body FROM orders",
 )
 def content_blocks(spark: SparkSession, d: str) -> DataFrame:
-    first = F.get(variants.items(F.col("doc"), "$.groups"), F.lit(0))
-    return _group_docs(spark, d).select("o_orderkey", variants.group_text(first).alias("body"))
+    docs = tables.parse_lines(_group_lines(spark, d))
+    first = F.get(variants.items(F.col("doc"), "$.product.descriptionGroups"), F.lit(0))
+    return docs.select(F.col("_ord").alias("o_orderkey"), variants.group_text(first).alias("body"))
 
 
 @query(
@@ -185,10 +190,7 @@ def content_blocks(spark: SparkSession, d: str) -> DataFrame:
  FROM orders""",
 )
 def desc_groups(spark: SparkSession, d: str) -> DataFrame:
-    docs = _group_docs(spark, d).select("o_orderkey", F.to_json(F.col("doc")).alias("json"))
-    value = F.concat(F.lit('{"product":{"descriptionGroups":'), F.get_json_object("json", "$.groups"), F.lit("}}"))
-    lines = docs.select(F.col("o_orderkey").alias("_ord"), value.alias("value"))
-    flat = reference.flatten_products(tables.parse_lines(lines))
+    flat = reference.flatten_products(tables.parse_lines(_group_lines(spark, d)))
     return flat.select(
         F.col("_ord").alias("o_orderkey"), F.array_join("_headers", ",").alias("headers"), "desc_material", "desc_zutaten"
     )
@@ -479,7 +481,10 @@ def profile_price(spark: SparkSession, d: str) -> DataFrame:
 
 
 def product_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Scraped JSON lines of every product: two scrapes, a third without a time for some, and broken lines."""
+    """Scraped JSON lines of every product: two scrapes, a third without a time for some, and broken lines.
+
+    The lines are far larger than the rows they come from, so they are spread out.
+    """
     dan, price = F.col("dan"), F.col("price_eur")
     cents = F.floor(price * 100)
     german = F.concat(F.floor(cents / 100).cast("string"), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(" €"))
@@ -523,7 +528,8 @@ def product_lines(spark: SparkSession, d: str) -> DataFrame:
     timeless = F.when(dan % 5 == 0, document(null_text, F.concat(F.lit("timeless "), "name")))
     broken = F.when(dan % 9 == 0, F.substring(newer, 1, 40))
     lines = F.array_compact(F.array(newer, older, timeless, broken, F.when(dan % 10 == 0, " "), F.when(dan % 12 == 0, "[1]")))
-    return products(spark, d).select("dan", F.posexplode(lines).alias("n", "value")).select(
+    spread = products(spark, d).repartition(spark.sparkContext.defaultParallelism)
+    return spread.select("dan", F.posexplode(lines).alias("n", "value")).select(
         "value", F.struct("dan", "n").alias("_ord")
     )
 
