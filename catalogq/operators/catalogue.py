@@ -209,7 +209,7 @@ def search_fields(df: DataFrame) -> list[str]:
 
 
 def checked_query(query: str) -> str:
-    query = query.strip()
+    query = query.strip(WHITESPACE)
     if len(query) < MIN_QUERY_LENGTH:
         raise ValueError(f"query must be at least {MIN_QUERY_LENGTH} characters")
     return query

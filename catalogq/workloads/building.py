@@ -431,13 +431,13 @@ LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linen
     "profile_numeric",
     " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count({c}) AS count, CAST(min({c}) AS DOUBLE) AS min, CAST(median({c}) AS DOUBLE) AS median, "
-        f"round(avg({c}), 9) AS mean, CAST(max({c}) AS DOUBLE) AS max FROM lineitem"
+        f"round(avg({c}), 7) AS mean, CAST(max({c}) AS DOUBLE) AS max FROM lineitem"
         for c in LINE_NUMBERS
     ),
 )
 def profile_numeric(spark: SparkSession, d: str) -> DataFrame:
     summary = quality.numeric_summary(table(spark, d, "lineitem"), LINE_NUMBERS)
-    return summary.withColumn("mean", F.round("mean", 9))
+    return summary.withColumn("mean", F.round("mean", 7))
 
 
 COUNTED = ("brand", "seo_category", "metadata_currency", "available_raw", "seo_price_currency")

@@ -149,15 +149,15 @@ def header_similarity(spark: SparkSession, d: str) -> DataFrame:
 def type_compat(spark: SparkSession, d: str) -> DataFrame:
     left = profile.profile_sample(table(spark, d, "supplier"), SUPPLIER, ["s_suppkey"])
     right = profile.profile_sample(table(spark, d, "customer"), CUSTOMER, ["c_custkey"])
-    # Every column of one table meets every column of the other: one row per column each.
-    others = F.struct("column", "numeric_ratio", "bool_ratio")
-    listed = right.agg(F.collect_list(others).alias("others")).withColumn("_one", F.lit(1))
-    pairs = left.withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one").select(
-        F.col("column").alias("reference_column"), "numeric_ratio", "bool_ratio", F.explode("others").alias("c")
+    # The column names are known, so the pairs are listed and then joined by name.
+    names = F.explode(F.array(*[F.lit(c) for c in CUSTOMER])).alias("candidate_column")
+    kinds = right.select(F.struct("numeric_ratio", "bool_ratio").alias("c"), F.col("column").alias("candidate_column"))
+    pairs = left.select(F.col("column").alias("reference_column"), "numeric_ratio", "bool_ratio", names).join(
+        kinds, "candidate_column"
     )
     return pairs.select(
         "reference_column",
-        F.col("c.column").alias("candidate_column"),
+        "candidate_column",
         similarity.type_compatibility(
             F.col("numeric_ratio"), F.col("bool_ratio"), F.col("c.numeric_ratio"), F.col("c.bool_ratio")
         ).alias("compatibility"),

@@ -14,6 +14,9 @@ SF_DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("8", shuffle_partitions=8)
+    # Generated code that does not compile is an error here, not a slow path.
+    session.conf.set("spark.sql.codegen.fallback", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
     yield session
     session.stop()
 
