@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogq.functions.similarity import header_similarity, type_compatibility
-from catalogq.functions.text import canonical, round_half_away
-from catalogq.operators.align import align_rows
+from catalogq.functions.text import canonical, match_key, round_half_away
+from catalogq.operators.align import align_rows, keyed
+from catalogq.operators.head import first_rows
 
 # Weights of the confidence, acceptance bounds, list length, default sample.
 HEADER_WEIGHT, TYPE_WEIGHT, SAMPLE_WEIGHT = 0.35, 0.10, 0.55
@@ -19,6 +20,34 @@ LISTED_PAIRS = 50
 DEFAULT_SAMPLE = 256
 # A sample of at most this many rows is small enough to be sent to every task.
 BROADCAST_SAMPLE = 10_000
+# Reference rows looked at first, as a multiple of the pairs wanted.
+HEAD_ROWS_PER_PAIR = 4
+
+
+def _first_pairs(
+    reference: DataFrame, candidate: DataFrame, reference_key: str, candidate_key: str,
+    reference_order: Sequence[str], candidate_order: Sequence[str], size: int,
+) -> DataFrame:
+    """(ref_ord, cand_ord) of the first `size` aligned rows, a table of that many rows.
+
+    The first rows of the reference usually hold enough aligned ones: then the
+    candidate is only filtered by their keys. A key that repeats is first met in
+    these rows or not at all, so the pairs are the same as over the whole table.
+    """
+    orders = (reference_order, candidate_order)
+    head, whole = first_rows(reference, reference_order, HEAD_ROWS_PER_PAIR * size)
+    if not whole:
+        keys = keyed(head, reference_key, reference_order, [], "ref").select("_key").distinct()
+        wanted = candidate.withColumn("_key", match_key(F.col(f"`{candidate_key}`").cast("string"))).join(
+            F.broadcast(keys), "_key", "left_semi"
+        )
+        pairs = align_rows(head, wanted.drop("_key"), reference_key, candidate_key, *orders)
+        chosen = pairs.select("ref_ord", "cand_ord").orderBy("ref_ord").limit(size)
+        rows = chosen.collect()
+        if len(rows) == size:
+            return reference.sparkSession.createDataFrame(rows, chosen.schema)
+    pairs = align_rows(reference, candidate, reference_key, candidate_key, *orders)
+    return pairs.select("ref_ord", "cand_ord").orderBy("ref_ord").limit(size)
 
 
 def sample_rows(
@@ -28,14 +57,14 @@ def sample_rows(
 ) -> DataFrame:
     """The first `size` aligned rows in reference order, with the cells of both sides (0: all).
 
-    Keys are aligned first, without cells; then only the chosen rows are fetched.
+    A small sample is chosen by key first; then only its rows are fetched.
     """
     sides = (reference, candidate, reference_key, candidate_key, reference_order, candidate_order)
     if size <= 0:
         return align_rows(*sides, reference_columns, candidate_columns)
-    chosen = align_rows(*sides).orderBy("ref_ord").limit(size).select("ref_ord", "cand_ord")
-    if size <= BROADCAST_SAMPLE:
-        chosen = F.broadcast(chosen)
+    if size > BROADCAST_SAMPLE:
+        return align_rows(*sides, reference_columns, candidate_columns).orderBy("ref_ord").limit(size)
+    chosen = F.broadcast(_first_pairs(*sides, size))
 
     def fetch(df: DataFrame, order: Sequence[str], columns: Sequence[str], prefix: str) -> DataFrame:
         rows = df.select(

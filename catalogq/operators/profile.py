@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogq.functions.text import bool_word, is_decimal, is_empty, match_key, ratio, trimmed
+from catalogq.functions.text import bool_word, is_decimal, match_key, ratio, trimmed
+from catalogq.operators.head import first_rows
 from catalogq.operators.topk import top_per_group
 
 # Fixed value: non-empty cells per column that type and length figures are taken from.
 SAMPLE_CELLS = 500
+# Rows looked at first, as a multiple of the cells wanted.
+HEAD_ROWS_PER_CELL = 4
 
 
 def header_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -56,21 +59,44 @@ def profile_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def profile_sample(df: DataFrame, columns: Sequence[str], order: Sequence[str], size: int = SAMPLE_CELLS) -> DataFrame:
-    """Number and boolean shares and byte lengths over the first non-empty cells of each column."""
-    filled = cells(df, columns, [F.struct(*order).alias("_ord")]).where(~is_empty(F.col("value")))
-    first = top_per_group(filled, ["column"], [F.col("_ord")], size)
-    text = trimmed(F.col("value"))
-    sampled = (
-        first.select("column", text.alias("text"))
-        .groupBy("column")
-        .agg(
-            F.avg(is_decimal(F.col("text")).cast("double")).alias("numeric_ratio"),
-            F.avg(bool_word(F.col("text")).isNotNull().cast("double")).alias("bool_ratio"),
-            F.avg(F.octet_length("text").cast("double")).alias("avg_len_sample"),
-            F.max(F.octet_length("text").cast("double")).alias("max_len_sample"),
+def _first_cells(df: DataFrame, columns: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
+    """(column, number, truth, bytes) of the first `size` non-empty cells of each column."""
+    text = F.col("text")
+    filled = (
+        cells(df, columns, [F.struct(*order).alias("_ord")])
+        .select("_ord", "column", trimmed(F.col("value")).alias("text"))
+        .where("text <> ''")
+        .select(
+            "_ord",
+            "column",
+            is_decimal(text).cast("double").alias("number"),
+            bool_word(text).isNotNull().cast("double").alias("truth"),
+            F.octet_length(text).cast("double").alias("bytes"),
         )
     )
+    return top_per_group(filled, ["column"], [F.col("_ord")], size)
+
+
+def profile_sample(df: DataFrame, columns: Sequence[str], order: Sequence[str], size: int = SAMPLE_CELLS) -> DataFrame:
+    """Number and boolean shares and byte lengths over the first non-empty cells of each column.
+
+    The first rows of the table hold the sample of every well-filled column, so only
+    columns that are sparse at the start are looked for in the whole table.
+    """
+    head, whole = first_rows(df, order, HEAD_ROWS_PER_CELL * size)
+    first = _first_cells(head, columns, order, size)
+    if not whole:
+        found = {r["column"]: r["n"] for r in first.groupBy("column").agg(F.count("*").alias("n")).collect()}
+        sparse = [c for c in columns if found.get(c, 0) < size]
+        if sparse:
+            dense = first.where(~F.col("column").isin(*sparse))
+            first = dense.unionByName(_first_cells(df, sparse, order, size))
+    sampled = first.groupBy("column").agg(
+        F.avg("number").alias("numeric_ratio"),
+        F.avg("truth").alias("bool_ratio"),
+        F.avg("bytes").alias("avg_len_sample"),
+        F.max("bytes").alias("max_len_sample"),
+    )
     figures = ["numeric_ratio", "bool_ratio", "avg_len_sample", "max_len_sample"]
     return (
         header_table(df, columns)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalogq.operators.head import not_after
 from catalogq.plans.compare import Table
 from catalogq.session import materialize
 
@@ -100,18 +101,18 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def limit_valid(docs: DataFrame, limit: int) -> DataFrame:
-    """The lines up to and including the limit-th valid one (0: all), one row of bound joined in."""
+    """The lines up to and including the limit-th valid one (0: all)."""
     if limit <= 0:
         return docs
-    last = docs.where("valid").select("_ord").orderBy("_ord").limit(limit).agg(
-        F.max("_ord").alias("_last"), F.count("*").alias("_found")
+    last = (
+        docs.where("valid")
+        .select("_ord")
+        .orderBy("_ord")
+        .limit(limit)
+        .agg(F.max("_ord").alias("_ord"), F.count("*").alias("rows"))
+        .first()
     )
-    bound = last.first()
-    if bound["_found"] < limit:
-        return docs
-    end = bound["_last"]
-    parts = [F.lit(v).alias(n) for n, v in end.asDict().items()] if hasattr(end, "asDict") else None
-    return docs.where(F.col("_ord") <= (F.struct(*parts) if parts else F.lit(end)))
+    return docs if last["rows"] < limit else docs.where(not_after(docs, ["_ord"], last))
 
 
 def line_counts(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalogq.functions import similarity, text
 from catalogq.operators import align, keymatch, mapping, perturb, profile, scoring
 from catalogq.plans import compare as comparison
+from catalogq.session import materialize
 from catalogq.workloads import sql
 from catalogq.workloads.registry import query, table
 from catalogq.workloads.views import candidate, odd_cells, products
@@ -390,9 +391,10 @@ def dataset_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _compared(spark: SparkSession, d: str) -> dict:
+    """A comparison reads its tables several times, so the two views are written first."""
     return comparison.compare(
-        comparison.Table(products(spark, d), ["gtin"], sql.REFERENCE_COLUMNS, "products"),
-        comparison.Table(candidate(spark, d), ["gtin_code"], sql.CANDIDATE_COLUMNS, "candidate"),
+        comparison.Table(materialize(products(spark, d), "ref"), ["gtin"], sql.REFERENCE_COLUMNS, "products"),
+        comparison.Table(materialize(candidate(spark, d), "cand"), ["gtin_code"], sql.CANDIDATE_COLUMNS, "candidate"),
     )
 
 

@@ -198,3 +198,25 @@ def test_empty_tables(ref, cand):
     report = compare(Table(ref.df.where("false"), ref.order, ref.columns), cand)
     assert report["status"] == "no_complete_key_match"
     assert report["summary"]["reference_rows"] == 0 and report["summary"]["candidate_rows"] == 500
+
+
+def test_sparse_columns_are_sampled_from_the_whole_table(spark):
+    """A column that is empty in the first rows still gives its first 500 cells."""
+    from catalogq.operators.profile import profile_sample
+
+    late = F.when(F.col("id") >= 2_500, F.when(F.col("id") < 2_700, F.lit("yes")).otherwise(F.lit("abc")))
+    df = spark.range(4_000).select("id", F.lit("7").alias("dense"), late.alias("late"), F.lit(" ").alias("never"))
+    got = {r["column"]: tuple(r)[2:] for r in profile_sample(df.repartition(5), ["dense", "late", "never"], ["id"]).collect()}
+    assert got == {"dense": (1.0, 0.0, 1.0, 1.0), "late": (0.0, 0.4, 3.0, 3.0), "never": (0.0, 0.0, 0.0, 0.0)}
+
+
+@pytest.mark.parametrize("start", [0, 3_000])
+def test_sample_is_the_first_aligned_rows(spark, start):
+    """The same pairs whether the first reference rows hold enough of them or none."""
+    from catalogq.operators.mapping import sample_rows
+
+    left = spark.range(5_000).select("id", F.format_string("k%d", F.col("id")).alias("k"))
+    right = left.where(F.col("id") >= start).select((-F.col("id")).alias("n"), F.upper("k").alias("u"), F.col("k").alias("k2"))
+    rows = sample_rows(left, right, "k", "k2", ["id"], ["n"], ["k"], ["u"], 100).collect()
+    assert sorted(r["ref_ord"]["id"] for r in rows) == list(range(start, start + 100))
+    assert all(r["ref:k"].upper() == r["cand:u"] for r in rows)
