@@ -87,15 +87,19 @@ def header_tokens(name: Column) -> Column:
     )
 
 
-def header_similarity(left: Column, right: Column) -> Column:
-    """The better of spelling similarity and token overlap of two column names."""
-    lt, rt = header_tokens(left), header_tokens(right)
-    spelled = edit_similarity(F.array_join(lt, ""), F.array_join(rt, ""))
-    union = F.size(F.array_union(lt, rt))
-    overlap = F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(lt, rt)) / union)
+def token_similarity(left: Column, right: Column) -> Column:
+    """The better of spelling similarity and overlap of two token lists."""
+    spelled = edit_similarity(F.array_join(left, ""), F.array_join(right, ""))
+    union = F.size(F.array_union(left, right))
+    overlap = F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(left, right)) / union)
     return F.greatest(spelled, overlap)
 
 
+def header_similarity(left: Column, right: Column) -> Column:
+    """Similarity of two column names."""
+    return token_similarity(header_tokens(left), header_tokens(right))
+
+
 def type_compatibility(
     left_numeric: Column, left_bool: Column, right_numeric: Column, right_bool: Column
 ) -> Column:

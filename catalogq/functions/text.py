@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The Unicode White_Space characters.
@@ -57,38 +57,44 @@ def decimal_text(text: Column) -> Column:
 
     Works on the digits, so it is exact for any length.
     """
-    body = F.ltrim(F.regexp_extract(text, r"^[+-]?([0-9]*)", 1), F.lit("0"))
-    fraction = F.rtrim(F.regexp_extract(text, r"\.([0-9]*)$", 1), F.lit("0"))
-    magnitude = F.concat(
-        F.when(body == "", F.lit("0")).otherwise(body),
-        F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction)),
-    )
-    return F.when(text.startswith("-") & (magnitude != "0"), F.concat(F.lit("-"), magnitude)).otherwise(
-        magnitude
+    bare = F.regexp_replace(text, r"^\+?(-?)0*(?=[0-9.])", "$1")
+    led = F.regexp_replace(bare, r"^(-?)(?=\.|$)", "$10")
+    short = F.regexp_replace(led, r"\.0*$|(\.[0-9]*[1-9])0+$", "$1")
+    return F.regexp_replace(short, r"^-0$", "0")
+
+
+def canonical_text(text: Column) -> Column:
+    """The canonical form of an already trimmed text."""
+    words = [F.lit(x) for word in TRUE_WORDS for x in (word, "true")]
+    words += [F.lit(x) for word in FALSE_WORDS for x in (word, "false")]
+    return F.coalesce(
+        F.try_element_at(F.create_map(*words), F.lower(text)),
+        F.when(is_decimal(text), decimal_text(text)).otherwise(text),
     )
 
 
 def canonical(value: Column) -> Column:
     """The form under which two cells count as the same value; '' for an empty cell."""
-    text = trimmed(value)
-    return (
-        F.when(text == "", F.lit(""))
-        .when(bool_word(text).isNotNull(), bool_word(text).cast("string"))
-        .when(is_decimal(text), decimal_text(text))
-        .otherwise(text)
-    )
+    return canonical_text(trimmed(value))
 
 
-def match_key(value: Column) -> Column:
-    """Canonical value as a shuffle key of bounded width; NULL for an empty cell.
+def with_match_key(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add the canonical value as a shuffle key of bounded width; NULL for an empty cell.
 
     Long texts travel as a SHA-256 digest. A digest key is longer than any plain
-    key, so the two cannot be confused.
+    key, so the two cannot be confused. The steps are separate projections, so that
+    none is evaluated twice.
     """
-    form = canonical(value)
-    return F.when(
+    form = F.col("_form")
+    key = F.when(
         F.octet_length(form) > LONGEST_PLAIN_KEY, F.concat(F.lit("sha256:"), F.sha2(form, 256))
     ).otherwise(null_if_empty(form))
+    return (
+        df.withColumn("_trimmed", trimmed(value))
+        .withColumn("_form", canonical_text(F.col("_trimmed")))
+        .withColumn(name, key)
+        .drop("_trimmed", "_form")
+    )
 
 
 def round_half_away(value: Column, digits: int) -> Column:

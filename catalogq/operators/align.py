@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogq.functions.text import match_key, ratio
+from catalogq.functions.text import ratio, with_match_key
+from catalogq.operators.profile import quoted
 from catalogq.operators.topk import top_per_group
 
 
+def text_columns(columns: Sequence[str], prefix: str) -> list[Column]:
+    """The columns as text, named '<prefix>:<column>'."""
+    return [F.expr(f"CAST({quoted(c)} AS STRING) AS {quoted(f'{prefix}:{c}')}") for c in columns]
+
+
 def keyed(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], prefix: str) -> DataFrame:
     """(_key, <prefix>_ord, prefixed columns); _key is NULL where the key cell is empty."""
-    return df.select(
-        match_key(F.col(f"`{key}`").cast("string")).alias("_key"),
-        F.struct(*order).alias(f"{prefix}_ord"),
-        *[F.col(f"`{c}`").cast("string").alias(f"{prefix}:{c}") for c in columns],
+    rows = df.select(
+        F.col(quoted(key)).cast("string").alias("_cell"),
+        *([F.struct(*order).alias(f"{prefix}_ord")] if order else []),
+        *text_columns(columns, prefix),
     )
+    return with_match_key(rows, F.col("_cell"), "_key").drop("_cell")
 
 
 def first_per_key(rows: DataFrame, prefix: str) -> DataFrame:
@@ -49,7 +56,7 @@ def alignment_counts(
     """
 
     def per_key(df: DataFrame, key: str, name: str) -> DataFrame:
-        return df.groupBy(match_key(F.col(f"`{key}`").cast("string")).alias("_key")).agg(F.count("*").alias(name))
+        return keyed(df, key, [], [], "any").groupBy("_key").agg(F.count("*").alias(name))
 
     # NULL keys (empty cells) never join; they stay on their own side.
     both = per_key(reference, reference_key, "nr").join(per_key(candidate, candidate_key, "nc"), "_key", "full")
@@ -89,7 +96,7 @@ def unmatched_rows(
 
     The other side is reduced to distinct keys; rows with an empty key bypass the join.
     """
-    marked = rows.withColumn("_key", match_key(F.col(f"`{key}`").cast("string")))
-    known = other.select(match_key(F.col(f"`{other_key}`").cast("string")).alias("_key")).distinct()
+    marked = with_match_key(rows, F.col(quoted(key)).cast("string"), "_key")
+    known = keyed(other, other_key, [], [], "any").select("_key").distinct()
     absent = marked.where("_key is not null").join(known, "_key", "left_anti")
     return absent.unionByName(marked.where("_key is null")).drop("_key")

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogq.functions.similarity import header_similarity
-from catalogq.functions.text import match_key, ratio, round_half_away
+from catalogq.functions.similarity import header_tokens, token_similarity
+from catalogq.functions.text import ratio, round_half_away, with_match_key
 from catalogq.operators.profile import cells
 
 # Fixed value: key candidates listed in a report.
@@ -17,12 +17,8 @@ LISTED_CANDIDATES = 10
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, key): the non-empty values of each column once."""
-    return (
-        cells(df, columns)
-        .select("column", match_key(F.col("value")).alias("key"))
-        .where("key is not null")
-        .distinct()
-    )
+    keys = with_match_key(cells(df, columns), F.col("value"), "key")
+    return keys.select("column", "key").where("key is not null").distinct()
 
 
 def key_overlap(
@@ -48,7 +44,9 @@ def key_candidates(overlap: DataFrame, reference_counts: DataFrame, candidate_co
 
     def named(counts: DataFrame, side: str) -> DataFrame:
         return counts.select(
-            F.col("column").alias(f"{side}_column"), *[F.col(f).alias(f"{side}_{f}") for f in figures]
+            F.col("column").alias(f"{side}_column"),
+            header_tokens(F.col("column")).alias(f"{side}_tokens"),
+            *[F.col(f).alias(f"{side}_{f}") for f in figures],
         )
 
     joined = overlap.join(named(reference_counts, "reference"), "reference_column").join(
@@ -64,7 +62,7 @@ def key_candidates(overlap: DataFrame, reference_counts: DataFrame, candidate_co
             "complete_set_match": complete,
             "_cand": ratio(shared, cand_distinct),
             "_ref": ratio(shared, ref_distinct),
-            "_head": header_similarity(F.col("reference_column"), F.col("candidate_column")),
+            "_head": token_similarity(F.col("reference_tokens"), F.col("candidate_tokens")),
             "_support": support,
         }
     ).withColumn(

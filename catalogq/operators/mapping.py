@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogq.functions.similarity import header_similarity, type_compatibility
-from catalogq.functions.text import canonical, match_key, round_half_away
-from catalogq.operators.align import align_rows, keyed
+from catalogq.functions.similarity import header_tokens, token_similarity, type_compatibility
+from catalogq.functions.text import canonical, round_half_away, with_match_key
+from catalogq.operators.align import align_rows, keyed, text_columns
 from catalogq.operators.head import first_rows
+from catalogq.operators.profile import quoted
 
 # Weights of the confidence, acceptance bounds, list length, default sample.
 HEADER_WEIGHT, TYPE_WEIGHT, SAMPLE_WEIGHT = 0.35, 0.10, 0.55
@@ -38,9 +39,8 @@ def _first_pairs(
     head, whole = first_rows(reference, reference_order, HEAD_ROWS_PER_PAIR * size)
     if not whole:
         keys = keyed(head, reference_key, reference_order, [], "ref").select("_key").distinct()
-        wanted = candidate.withColumn("_key", match_key(F.col(f"`{candidate_key}`").cast("string"))).join(
-            F.broadcast(keys), "_key", "left_semi"
-        )
+        marked = with_match_key(candidate, F.col(quoted(candidate_key)).cast("string"), "_key")
+        wanted = marked.join(F.broadcast(keys), "_key", "left_semi")
         pairs = align_rows(head, wanted.drop("_key"), reference_key, candidate_key, *orders)
         chosen = pairs.select("ref_ord", "cand_ord").orderBy("ref_ord").limit(size)
         rows = chosen.collect()
@@ -67,10 +67,7 @@ def sample_rows(
     chosen = F.broadcast(_first_pairs(*sides, size))
 
     def fetch(df: DataFrame, order: Sequence[str], columns: Sequence[str], prefix: str) -> DataFrame:
-        rows = df.select(
-            F.struct(*order).alias(f"{prefix}_ord"),
-            *[F.col(f"`{c}`").cast("string").alias(f"{prefix}:{c}") for c in columns],
-        )
+        rows = df.select(F.struct(*order).alias(f"{prefix}_ord"), *text_columns(columns, prefix))
         return rows.join(chosen, f"{prefix}_ord")
 
     left = fetch(reference, reference_order, reference_columns, "ref")
@@ -88,8 +85,8 @@ def sample_similarity(
     columns and task.
     """
     # One normalising expression per side; one per column would not compile.
-    left = F.transform(F.array(*[F.col(f"`ref:{c}`") for c in reference_columns]), lambda v: canonical(v))
-    right = F.transform(F.array(*[F.col(f"`cand:{c}`") for c in candidate_columns]), lambda v: canonical(v))
+    left = F.transform(F.array(*[F.col(quoted(f"ref:{c}")) for c in reference_columns]), lambda v: canonical(v))
+    right = F.transform(F.array(*[F.col(quoted(f"cand:{c}")) for c in candidate_columns]), lambda v: canonical(v))
     pairs = (
         sample.select(left.alias("left"), right.alias("right"))
         .select(F.posexplode("left").alias("reference_position", "a"), "right")
@@ -117,6 +114,7 @@ def mapping_pairs(similarity: DataFrame, reference_kinds: DataFrame, candidate_k
         return kinds.select(
             F.col("position").alias(f"{side}_position"),
             F.col("column").alias(f"{side}_column"),
+            header_tokens(F.col("column")).alias(f"{side}_tokens"),
             F.col("numeric_ratio").alias(f"{side}_numeric"),
             F.col("bool_ratio").alias(f"{side}_bool"),
         )
@@ -126,7 +124,7 @@ def mapping_pairs(similarity: DataFrame, reference_kinds: DataFrame, candidate_k
     )
     staged = joined.withColumns(
         {
-            "_head": header_similarity(F.col("reference_column"), F.col("candidate_column")),
+            "_head": token_similarity(F.col("reference_tokens"), F.col("candidate_tokens")),
             "_type": type_compatibility(
                 F.col("reference_numeric"), F.col("reference_bool"), F.col("candidate_numeric"), F.col("candidate_bool")
             ),

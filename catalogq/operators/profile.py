@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogq.functions.text import bool_word, is_decimal, match_key, ratio, trimmed
+from catalogq.functions.text import bool_word, is_decimal, ratio, trimmed, with_match_key
 from catalogq.operators.head import first_rows
 from catalogq.operators.topk import top_per_group
 
@@ -23,10 +23,16 @@ def header_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column string")
 
 
+def quoted(name: str) -> str:
+    """A column name inside an SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def cells(df: DataFrame, columns: Sequence[str], keep: Sequence[Column] = ()) -> DataFrame:
     """(kept columns, column, value): one row per cell."""
-    named = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]
-    return df.select(*keep, F.inline(F.array(*named)))
+    names = F.array(*[F.lit(c) for c in columns])
+    values = F.expr("array(" + ", ".join(f"CAST({quoted(c)} AS STRING)" for c in columns) + ")")
+    return df.select(*keep, F.inline(F.arrays_zip(names.alias("column"), values.alias("value"))))
 
 
 def profile_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -35,7 +41,8 @@ def profile_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Equal values are counted before the shuffle, and long values are shuffled as
     digests, so neither a hot value nor wide text makes a heavy partition.
     """
-    values = cells(df, columns).groupBy("column", match_key(F.col("value")).alias("key")).agg(F.count("*").alias("n"))
+    keys = with_match_key(cells(df, columns), F.col("value"), "key")
+    values = keys.groupBy("column", "key").agg(F.count("*").alias("n"))
     counted = values.groupBy("column").agg(
         F.sum("n").alias("row_count"),
         F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("n"))), F.lit(0)).alias("non_empty_count"),

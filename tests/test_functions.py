@@ -93,7 +93,7 @@ def test_canonical_form_of_random_cells(spark, values):
 def test_match_keys_keep_values_apart(spark):
     long_one, long_two = "a" * 100, "a" * 99 + "b"
     df = spark.createDataFrame([(v,) for v in ("x", " x", long_one, long_two, "", None)], "v string")
-    keys = [r["k"] for r in df.select(text.match_key(F.col("v")).alias("k")).collect()]
+    keys = [r["k"] for r in text.with_match_key(df, F.col("v"), "k").collect()]
     assert keys[0] == keys[1] and keys[4] is None and keys[5] is None
     assert len({keys[0], keys[2], keys[3]}) == 3 and len(keys[2]) < 100
 
