@@ -57,10 +57,13 @@ def decimal_text(text: Column) -> Column:
 
     Works on the digits, so it is exact for any length.
     """
-    bare = F.regexp_replace(text, r"^\+?(-?)0*(?=[0-9.])", "$1")
-    led = F.regexp_replace(bare, r"^(-?)(?=\.|$)", "$10")
-    short = F.regexp_replace(led, r"\.0*$|(\.[0-9]*[1-9])0+$", "$1")
-    return F.regexp_replace(short, r"^-0$", "0")
+    whole = F.ltrim(F.substring_index(text, ".", 1), F.lit("+-0"))
+    part = F.when(text.contains("."), F.rtrim(F.substring_index(text, ".", -1), F.lit("0"))).otherwise(F.lit(""))
+    return F.concat(
+        F.when(text.startswith("-") & ((whole != "") | (part != "")), F.lit("-")).otherwise(F.lit("")),
+        F.when(whole == "", F.lit("0")).otherwise(whole),
+        F.when(part == "", F.lit("")).otherwise(F.concat(F.lit("."), part)),
+    )
 
 
 def canonical_text(text: Column) -> Column:
