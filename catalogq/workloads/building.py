@@ -576,7 +576,16 @@ def quality_profile(spark: SparkSession, d: str) -> DataFrame:
     return reference.build_from_lines(product_lines(spark, d)).profile
 
 
-@query("reference_csv")
+def _csv_sql(column: str) -> str:
+    """The text of a clean column in a CSV file."""
+    if column in ("product_is_pharmacy",) or column.startswith("has_"):
+        return f"CASE WHEN {column} THEN 'True' WHEN NOT {column} THEN 'False' ELSE '' END AS {column}"
+    if column in sinks.FLOAT_COLUMNS:
+        return f"coalesce(CAST(CAST({column} AS DOUBLE) AS VARCHAR), '') AS {column}"
+    return f"coalesce(CAST({column} AS VARCHAR), '') AS {column}"
+
+
+@query("reference_csv", f"SELECT {', '.join(_csv_sql(c) for c in reference.EXPORT_COLUMNS)} FROM ({CLEAN_SQL})")
 def reference_csv(spark: SparkSession, d: str) -> DataFrame:
     built = reference.export_rows(
         reference.dedupe_latest(reference.reconcile(reference.flatten_products(tables.parse_lines(product_lines(spark, d)))))
