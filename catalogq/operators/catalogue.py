@@ -190,7 +190,7 @@ def similar_items(catalogue: DataFrame, identifier: str = "gtin", k: int = SIMIL
     lists = similar_lists(catalogue.where(F.col(identifier).isNotNull()), identifier, k)
     return lists.select(
         F.col(identifier).alias("id"), F.posexplode("similar").alias("_pos", "_item")
-    ).select("id", (F.col("_pos") + 1).alias("rank"), "_item.*")
+    ).select("id", (F.col("_pos") + 1).cast("bigint").alias("rank"), "_item.*")
 
 
 # --- search --------------------------------------------------------------------------------

@@ -29,4 +29,4 @@ def top_per_group(
     name = rank or "_rank"
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     first = ranked.where(F.col(name) <= k)
-    return first if rank else first.drop(name)
+    return first.withColumn(name, F.col(name).cast("bigint")) if rank else first.drop(name)

@@ -49,9 +49,9 @@ def parse_eur(spark: SparkSession, d: str) -> DataFrame:
     f"""SELECT {LINE_SQL}, l_partkey % 3 <> 2 AS found,
  CASE WHEN l_partkey % 3 <> 2 THEN l_quantity + 0.5 END AS unit_quantity,
  CASE WHEN l_partkey % 3 = 0 THEN 'l' WHEN l_partkey % 3 = 1 THEN 'kg' END AS unit_quantity_unit,
- CASE WHEN l_partkey % 3 <> 2 THEN 100.0 END AS unit_price_per_quantity,
+ CASE WHEN l_partkey % 3 <> 2 THEN CAST(100 AS DOUBLE) END AS unit_price_per_quantity,
  CASE WHEN l_partkey % 3 = 0 THEN 'ml' WHEN l_partkey % 3 = 1 THEN 'g' END AS unit_price_per_unit,
- CASE WHEN l_partkey % 3 <> 2 THEN l_suppkey + 0.25 END AS unit_price_eur,
+ CASE WHEN l_partkey % 3 <> 2 THEN CAST(l_suppkey + 0.25 AS DOUBLE) END AS unit_price_eur,
  CASE WHEN l_partkey % 3 = 2 THEN 'neu' ELSE concat('neu | ', CAST(CAST(l_quantity AS INT) AS VARCHAR), ',5 ',
   CASE WHEN l_partkey % 3 = 0 THEN 'l' ELSE 'kg' END, ' (', CAST(l_suppkey AS VARCHAR), ',25 € je 100 ',
   CASE WHEN l_partkey % 3 = 0 THEN 'ml' ELSE 'g' END, ')') END AS unit_info_raw FROM lineitem""",
@@ -537,7 +537,8 @@ def product_lines(spark: SparkSession, d: str) -> DataFrame:
 CLEAN_SQL = f"""SELECT gtin, dan, CASE WHEN dan % 5 = 0 THEN 'timeless ' || name ELSE name END AS name,
  CASE WHEN trim(brand) = '' THEN NULL ELSE brand END AS brand, 'sub ' || name AS title_subheadline,
  CASE WHEN dan % 3 = 0 THEN floor(price_eur) ELSE floor(price_eur * 100) / 100 END AS price_eur, 'EUR' AS currency,
- dan + 0.5 AS unit_quantity, 'l' AS unit_quantity_unit, 3.9 AS unit_price_eur, 1.0 AS unit_price_per_quantity, 'l' AS unit_price_per_unit,
+ CAST(dan + 0.5 AS DOUBLE) AS unit_quantity, 'l' AS unit_quantity_unit, CAST(3.9 AS DOUBLE) AS unit_price_eur,
+ CAST(1 AS DOUBLE) AS unit_price_per_quantity, 'l' AS unit_price_per_unit,
  concat_ws(' > ', category_path, name) AS category_path, category_path AS breadcrumb_1, CAST(NULL AS VARCHAR) AS breadcrumb_2,
  name AS breadcrumb_3, concat_ws(' > ', category_path, name) AS breadcrumbs_path, product_is_pharmacy, rating_count, rating_value,
  false AS has_variants, false AS has_videos, false AS has_seals, has_pills, has_eyecatchers,

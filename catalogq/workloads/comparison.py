@@ -402,7 +402,7 @@ def _compared(spark: SparkSession, d: str) -> dict:
     "compare_summary",
     f"""WITH s AS ({SCORES_SQL}), n AS (SELECT count(*) AS n FROM part)
  SELECT 'ok' AS status, round(sum(similarity) / {len(_EXPECTED)}, 6) AS dataset_similarity_equal_weighted,
-  1.0 AS coverage_reference, 1.0 AS coverage_candidate,
+  CAST(1 AS DOUBLE) AS coverage_reference, CAST(1 AS DOUBLE) AS coverage_candidate,
   round(sum(similarity) / {len(_EXPECTED)}, 6) AS overall_score_with_coverage, any_value(n) AS matched_rows,
   any_value(n) AS reference_rows, any_value(n) AS candidate_rows, count(*) AS mapped_reference_columns,
   CAST({len(_EXPECTED)} AS BIGINT) AS reference_columns_total, 'complete' AS key_match_mode,
@@ -423,8 +423,8 @@ def compare_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "compare_no_key",
-    f"""SELECT 'no_complete_key_match' AS status, 0.0 AS dataset_similarity_equal_weighted,
- 0.0 AS coverage_reference, 0.0 AS coverage_candidate, 0.0 AS overall_score_with_coverage,
+    f"""SELECT 'no_complete_key_match' AS status, CAST(0 AS DOUBLE) AS dataset_similarity_equal_weighted,
+ CAST(0 AS DOUBLE) AS coverage_reference, CAST(0 AS DOUBLE) AS coverage_candidate, CAST(0 AS DOUBLE) AS overall_score_with_coverage,
  CAST(0 AS BIGINT) AS matched_rows, count(*) AS reference_rows, count(*) AS candidate_rows,
  CAST(0 AS BIGINT) AS mapped_reference_columns, CAST({len(_EXPECTED)} AS BIGINT) AS reference_columns_total,
  'no_exact_or_partial_unique_key_match' AS reason FROM part""",
