@@ -73,7 +73,7 @@ def section_feeds(catalogue: DataFrame, identifier: str = "gtin", size: int = SE
     """
     rules = _section_rules()
     tags = []
-    for position, (section, title, description) in enumerate(SECTIONS):
+    for position, (section, _, _) in enumerate(SECTIONS):
         condition, lead = rules[section]
         first, second = ("rating_value", "rating_count") if lead == "rating_value" else ("rating_count", "rating_value")
         tags.append(
@@ -81,9 +81,6 @@ def section_feeds(catalogue: DataFrame, identifier: str = "gtin", size: int = SE
                 condition,
                 F.struct(
                     F.lit(position).alias("section_position"),
-                    F.lit(section).alias("section_id"),
-                    F.lit(title).alias("title"),
-                    F.lit(description).alias("description"),
                     F.col(first).cast("double").alias("_first"),
                     F.col(second).cast("double").alias("_second"),
                 ),
@@ -94,13 +91,12 @@ def section_feeds(catalogue: DataFrame, identifier: str = "gtin", size: int = SE
         F.col(identifier).alias("_id"), *needed, F.explode(F.array_compact(F.array(*tags))).alias("_tag")
     ).select("_id", *needed, "_tag.*")
     order = [F.col("_first").desc_nulls_last(), F.col("_second").desc_nulls_last(), F.col("price_eur"), F.col("_id")]
-    best = top_per_group(tagged, ["section_id"], order, size, "rank")
+    best = top_per_group(tagged, ["section_position"], order, size, "rank")
     text_id = F.coalesce(F.col("_id").cast("string"), F.lit(""))
+    texts = [F.get(F.array(*[F.lit(s[i]) for s in SECTIONS]), F.col("section_position")) for i in range(3)]
     return best.select(
         "section_position",
-        "section_id",
-        "title",
-        "description",
+        *[text.alias(name) for text, name in zip(texts, ("section_id", "title", "description"))],
         "rank",
         *item_columns(best, "_id"),
         F.concat(F.lit("/product/"), text_id).alias("product_path"),

@@ -196,6 +196,18 @@ def dedupe_latest(rows: DataFrame, keep_null_keys: bool = False) -> DataFrame:
     return known.unionByName(keyed.where("_product = ''")).drop("_product")
 
 
+def dedupe_written(rows: DataFrame) -> DataFrame:
+    """dedupe_latest for rows that are read from files: the wide rows are not shuffled for it.
+
+    Four columns decide which rows stay. The outdated ones are named by their input
+    position and taken out of the full rows, by a broadcast when adaptive execution
+    finds them few, else by a join on the position, which no two rows share.
+    """
+    narrow = rows.select("gtin", "dan", SCRAPED_AT, "_ord")
+    outdated = narrow.select("_ord").join(dedupe_latest(narrow).select("_ord"), "_ord", "left_anti")
+    return rows.join(outdated, "_ord", "left_anti")
+
+
 def export_rows(rows: DataFrame) -> DataFrame:
     """The clean table: 41 columns in fixed order."""
     return rows.select(*EXPORT_COLUMNS)
@@ -237,7 +249,7 @@ def build_from_lines(lines: DataFrame, limit: int = 0) -> ReferenceBuild:
     docs = limit_valid(parse_lines(lines), limit)
     counts = line_counts(docs).first()
     flat = materialize(reconcile(flatten_products(docs)), "products")
-    kept = materialize(dedupe_latest(flat), "kept")
+    kept = materialize(dedupe_written(flat), "kept")
     before = counts["source_rows"] - counts["invalid_rows"]
     profile = quality_profile(kept, flat, counts["source_rows"], counts["invalid_rows"])
     return ReferenceBuild(

@@ -367,6 +367,12 @@ def dedupe_keep_last(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("gtin", F.col("_ord").alias("event_id"), "dan")
 
 
+@query("dedupe_written", DEDUPE_SQL)
+def dedupe_written(spark: SparkSession, d: str) -> DataFrame:
+    kept = reference.dedupe_written(_scrapes(spark, d))
+    return kept.select("gtin", F.col("_ord").alias("event_id"), "dan")
+
+
 @query(
     "dedupe_count",
     f"SELECT (SELECT count(*) FROM events) - (SELECT count(*) FROM ({DEDUPE_SQL})) AS removed FROM events LIMIT 1",

@@ -135,6 +135,8 @@ def test_latest_row_wins_and_a_row_without_time_beats_all(spark):
     kept = {r["gtin"]: r["name"] for r in reference.dedupe_latest(rows).collect()}
     assert kept == {"1": "new", "2": "timeless", "3": "no dan", "4": "second", None: "b"}
     assert reference.dedupe_latest(rows, keep_null_keys=True).count() == 6
+    written = {r["gtin"]: r["name"] for r in reference.dedupe_written(rows).collect()}
+    assert written == kept
 
 
 def test_build_from_files_to_sinks(spark, tmp_path):

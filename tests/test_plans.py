@@ -37,7 +37,7 @@ def test_feeds_read_the_catalogue_once_and_cut_groups_before_the_shuffle(spark,
     )
     text = plan(catalogue.section_feeds(part))
     assert text.count("FileScan") == 1
-    assert text.index("WindowGroupLimit [section_id") < text.index("Exchange") < text.rindex("WindowGroupLimit [section_id")
+    assert text.index("WindowGroupLimit [section_position") < text.index("Exchange") < text.rindex("WindowGroupLimit [section_position")
 
 
 def test_similar_items_cut_categories_and_brands_before_the_shuffle(spark, sf_dir):
