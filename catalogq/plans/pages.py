@@ -15,7 +15,7 @@ from catalogq.functions.display import (
     rating_summary,
 )
 from catalogq.functions.text import WHITESPACE
-from catalogq.operators.catalogue import SIMILAR_ITEMS, similar_lists
+from catalogq.operators.catalogue import ITEM_COLUMNS, SIMILAR_ITEMS, similar_lists
 
 # Fields shown at the top of a page, not among its details.
 HEADLINE_FIELDS = (
@@ -70,14 +70,16 @@ def display_columns(df: DataFrame, identifier: str = "gtin") -> dict[str, Column
 def product_payloads(catalogue: DataFrame, identifier: str = "gtin", k: int = SIMILAR_ITEMS) -> DataFrame:
     """Every product with display values, details and similar items.
 
-    Besides the two lookups for similar items this is a narrow job: catalogue rows are
-    never compared with each other.
+    The similar items come from the few columns that decide them; the wide rows meet
+    them in one join on the id, which must be unique.
     """
     shown = display_columns(catalogue, identifier)
-    rows = similar_lists(
-        catalogue.withColumn("_page", F.struct(*[c.alias(n) for n, c in shown.items()], details(catalogue).alias("details"))),
-        identifier,
-        k,
+    page = catalogue.select(
+        F.col(identifier).alias("_id"), *[c.alias(n) for n, c in shown.items()], details(catalogue).alias("details")
     )
-    none = F.array().cast(rows.schema["similar"].dataType)
-    return rows.select("_page.*", F.coalesce(F.col("similar"), none).alias("similar"))
+    needed = list(dict.fromkeys([identifier, *[c for c in ITEM_COLUMNS if c != "gtin"]]))
+    keyed = catalogue.select(*needed).where(F.col(identifier).isNotNull())
+    lists = similar_lists(keyed, identifier, k).select(F.col(identifier).alias("_id"), "similar")
+    none = F.array().cast(lists.schema["similar"].dataType)
+    joined = page.join(lists, "_id", "left").drop("_id")
+    return joined.withColumn("similar", F.coalesce("similar", none))
