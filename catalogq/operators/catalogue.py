@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogq.functions.text import WHITESPACE
+from catalogq.functions.text import WHITESPACE, null_if_empty
 from catalogq.operators.rowindex import with_position
 from catalogq.operators.topk import top_per_group
+from catalogq.session import materialize
 
 # Item columns, sections (id, title, description), list lengths and page limits.
 ITEM_COLUMNS = (
@@ -33,6 +34,8 @@ MAX_SHARD_SIZE = 50_000
 
 # Copies of a lookup row, so that the rows of a hot key spread over as many tasks.
 LOOKUP_SALTS = 16
+# Lookups up to this many keys (a short list of items each, some 50 MB) are sent to every task.
+BROADCAST_KEYS = 20_000
 # A query table up to this many rows is small enough to be sent to every task.
 BROADCAST_QUERIES = 10_000
 
@@ -119,8 +122,7 @@ def _join_lookup(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Left join with a table that has one row per key.
 
     The lookup is copied once per salt, so a key shared by a third of all rows is
-    served by many tasks. If the lookup turns out small, adaptive execution sends it
-    to every task instead.
+    served by many tasks; adaptive execution splits what is still uneven.
     """
     salts = F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))).alias("_salt")
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(LOOKUP_SALTS)).cast("int"))
@@ -131,11 +133,14 @@ def similar_lists(catalogue: DataFrame, identifier: str = "gtin", k: int = SIMIL
     """Catalogue rows with `similar`: the k best items of the same category or brand, as an array.
 
     Items of the category come first, then by rating value and rating count, then id.
-    Ids must be unique. The k + 1 best items of a category and of a brand are enough
-    for each of their members: one of them may be the item itself; if its category has
-    m < k others, at most m + 1 of the brand's k + 1 lie in the category and the rest
-    fill the list. So no pairs are formed inside a group, and each catalogue row is
-    completed from two short lists.
+    Ids must be unique. No pairs are formed inside a group: the k + 1 best items of a
+    category and of a brand, in order, serve all their members, as one of them may be
+    the item itself. If the category's list has k others, they are the answer. If not,
+    the list is the whole category, and the answer goes on with the brand's list
+    without the items already met.
+
+    The lists are written first, so that their number is known: few enough are
+    broadcast, more are joined by a salted shuffle.
     """
 
     def best_of(column: str) -> DataFrame:
@@ -143,41 +148,36 @@ def similar_lists(catalogue: DataFrame, identifier: str = "gtin", k: int = SIMIL
             F.col(identifier).alias("_id"), *[c for c in ITEM_COLUMNS if c != "gtin"]
         ).where(F.col("_id").isNotNull() & (F.btrim(F.col(column), F.lit(WHITESPACE)) != ""))
         order = [F.col("rating_value").desc_nulls_last(), F.col("rating_count").desc_nulls_last(), F.col("_id")]
-        best = top_per_group(pool, [column], order, k + 1)
-        item = F.struct(
-            "_id", "rating_value", "rating_count", F.col("category_path").alias("category"),
-            F.struct(*item_columns(best, "_id")).alias("item"),
-        )
-        return best.groupBy(F.col(column).alias(f"_{column}")).agg(F.collect_list(item).alias(f"_by_{column}"))
+        best = top_per_group(pool, [column], order, k + 1, "_rank")
+        entry = F.struct("_rank", F.struct(*item_columns(best, "_id")).alias("item"))
+        lists = best.groupBy(F.col(column).alias(f"_{column}")).agg(F.sort_array(F.collect_list(entry)).alias("list"))
+        return lists.select(f"_{column}", F.transform("list", lambda e: e["item"]).alias(f"_by_{column}"))
 
     def own(column: str) -> Column:
-        return F.nullif(F.btrim(F.col(column), F.lit(WHITESPACE)), F.lit("")).alias(f"_{column}")
-
-    rows = catalogue.select("*", F.col(identifier).alias("_id"), own("category_path"), own("brand"))
-    rows = _join_lookup(rows, best_of("category_path"), "_category_path")
-    rows = _join_lookup(rows, best_of("brand"), "_brand")
-    none = F.slice(F.col("_by_brand"), 1, 0)
-    pool = F.concat(
-        F.coalesce(F.col("_by_category_path"), none, F.slice(F.col("_by_category_path"), 1, 0)),
-        F.coalesce(F.col("_by_brand"), F.slice(F.col("_by_category_path"), 1, 0)),
-    )
-    others = F.filter(F.array_distinct(pool), lambda x: x["_id"] != F.col("_id"))
-
-    def descending(value: Column) -> tuple[Column, Column]:
-        return value.isNull(), -value
-
-    def ranked(x: Column) -> Column:
-        foreign = F.coalesce(x["category"] != F.col("_category_path"), F.lit(True))
-        value_null, value = descending(x["rating_value"])
-        count_null, count = descending(x["rating_count"])
-        return F.struct(
-            foreign.alias("a"), value_null.alias("b"), value.alias("c"), count_null.alias("d"), count.alias("e"),
-            x["_id"].alias("f"), x["item"].alias("item"),
-        )
+        return null_if_empty(F.btrim(F.col(column), F.lit(WHITESPACE))).alias(f"_{column}")
 
-    best = F.slice(F.sort_array(F.transform(others, ranked)), 1, k)
-    return rows.withColumn("similar", F.transform(best, lambda x: x["item"])).drop(
-        "_id", "_category_path", "_brand", "_by_category_path", "_by_brand"
+    rows = catalogue.select("*", F.col(identifier).cast("string").alias("_id"), own("category_path"), own("brand"))
+    lookups = {c: materialize(best_of(c), "best") for c in ("category_path", "brand")}
+    lookups["category_path"] = lookups["category_path"].withColumn(
+        "_ids", F.transform("_by_category_path", lambda x: x["gtin"])
+    )
+    large = [c for c in lookups if lookups[c].limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS]
+    # Shuffled joins come first, while the rows are narrow.
+    for column in large:
+        rows = _join_lookup(rows, lookups[column], f"_{column}")
+    for column in (c for c in lookups if c not in large):
+        rows = rows.join(F.broadcast(lookups[column]), f"_{column}", "left")
+
+    def listed(name: str) -> Column:
+        return F.coalesce(F.col(name), F.array().cast(rows.schema[name].dataType))
+
+    same_category = F.filter(listed("_by_category_path"), lambda x: x["gtin"] != F.col("_id"))
+    met = F.coalesce(F.col("_ids"), F.array().cast("array<string>"))
+    same_brand = F.filter(
+        listed("_by_brand"), lambda x: (x["gtin"] != F.col("_id")) & ~F.array_contains(met, x["gtin"])
+    )
+    return rows.withColumn("similar", F.slice(F.concat(same_category, same_brand), 1, k)).drop(
+        "_id", "_category_path", "_brand", "_by_category_path", "_by_brand", "_ids"
     )
 
 

@@ -47,7 +47,9 @@ def down(value):
     return (value is None, -(value or 0))
 
 
-def test_similar_items_equal_brute_force(shop, rows):
+@pytest.mark.parametrize("broadcast_keys", [20_000, 10])
+def test_similar_items_equal_brute_force(shop, rows, monkeypatch, broadcast_keys):
+    monkeypatch.setattr(catalogue, "BROADCAST_KEYS", broadcast_keys)
     expected = {}
     for r in rows:
         brand, category = (r[2] or "").strip(WHITESPACE), (r[5] or "").strip(WHITESPACE)

@@ -40,9 +40,16 @@ def test_feeds_read_the_catalogue_once_and_cut_groups_before_the_shuffle(spark,
     assert text.index("WindowGroupLimit [section_position") < text.index("Exchange") < text.rindex("WindowGroupLimit [section_position")
 
 
-def test_similar_items_cut_categories_and_brands_before_the_shuffle(spark, sf_dir):
+def test_similar_items_broadcast_few_lists_and_shuffle_many(spark, sf_dir, monkeypatch):
     text = plan(catalogue.similar_items(products(spark, sf_dir)))
-    assert len(re.findall(r"WindowGroupLimit \[(?:category_path|brand)#.*Partial", text)) == 2
+    assert text.count("BroadcastHashJoin [_category_path") == text.count("BroadcastHashJoin [_brand") == 1
+    monkeypatch.setattr(catalogue, "BROADCAST_KEYS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(catalogue.similar_items(products(spark, sf_dir)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"SortMergeJoin \[_(?:category_path|brand)#\d+, _salt", text)) == 2
 
 
 def test_alignment_shuffles_each_side_once(spark, sf_dir):
