@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from catalogq.llm import minhash
+from catalogq.llm import minhash, quality_rules, secret_scan
 from catalogq.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
 @query("op10_minhash_near_dedup")
 def op10(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_secret_scan")
+def op4(spark, sf_dir):
+    return secret_scan.scan_report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality_rules")
+def op6(spark, sf_dir):
+    return quality_rules.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
