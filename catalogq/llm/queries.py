@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from catalogq.llm import minhash, quality_rules, secret_scan
+from pyspark.sql import functions as F
+
+from catalogq.llm import minhash, quality_rules, secret_scan, sharding
 from catalogq.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -19,3 +21,16 @@ def op4(spark, sf_dir):
 @query("op6_quality_rules")
 def op6(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_shard_bytes")
+def op2(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
