@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogq.llm import minhash, quality_rules, secret_scan, sharding
+from catalogq.llm import minhash, quality_model, quality_rules, secret_scan, sharding, toxicity
 from catalogq.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -34,3 +34,13 @@ def op2(spark, sf_dir):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_quality_model")
+def op8(spark, sf_dir):
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
