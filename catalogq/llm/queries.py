@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogq.llm import minhash, quality_model, quality_rules, secret_scan, sharding, toxicity
+from catalogq.llm import langid, minhash, quality_model, quality_rules, secret_scan, sharding, toxicity
 from catalogq.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -44,3 +44,8 @@ def op7(spark, sf_dir):
 @query("op8_quality_model")
 def op8(spark, sf_dir):
     return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    return langid.language_report(table(spark, sf_dir, "documents"))
