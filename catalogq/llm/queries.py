@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogq.llm import langid, minhash, quality_model, quality_rules, secret_scan, sharding, toxicity
+from catalogq.llm import decontam, langid, minhash, quality_model, quality_rules, secret_scan, sharding, toxicity
 from catalogq.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -49,3 +49,8 @@ def op8(spark, sf_dir):
 @query("op3_language_id")
 def op3(spark, sf_dir):
     return langid.language_report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_benchmark_leaks")
+def op5(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
