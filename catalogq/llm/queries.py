@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from catalogq.llm import decontam, langid, minhash, quality_model, quality_rules, secret_scan, sharding, toxicity
+from catalogq.llm import decontam, langid, minhash, pieces, quality_model, quality_rules, secret_scan, sharding, toxicity
 from catalogq.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
+PIECE_FILE = os.environ.get("CATALOGQ_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 @query("op10_minhash_near_dedup")
 def op10(spark, sf_dir):
@@ -54,3 +58,8 @@ def op3(spark, sf_dir):
 @query("op5_benchmark_leaks")
 def op5(spark, sf_dir):
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_sentencepiece")
+def op1(spark, sf_dir):
+    return pieces.encode_texts(table(spark, sf_dir, "documents"), pieces.load_pieces(PIECE_FILE))
