@@ -206,7 +206,9 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
-    slim = keep(measured(docs.select("doc_id", "text", _stratum(docs))).select("doc_id", "_stratum", *MEASURES), "measures")
-    found = keep(cutoffs(slim, labels), "cutoffs")
-    return judged(measured(docs.withColumn("_stratum", _stratum(docs))), found).where("_kept").select(*docs.columns)
+    """The rows of docs that the rules keep, with all their columns, whatever their names."""
+    row = F.struct(*docs.columns).alias("_row")
+    # Written with the measures: those are long expressions, and both steps read them.
+    rows = keep(measured(docs.select(row, "doc_id", "text", _stratum(docs))).drop("text"), "measured")
+    found = keep(cutoffs(rows.select("doc_id", "_stratum", *MEASURES), labels), "cutoffs")
+    return judged(rows, found).where("_kept").select("_row.*")

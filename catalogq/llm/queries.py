@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
-from catalogq.llm import decontam, langid, minhash, pieces, quality_model, quality_rules, secret_scan, sharding, toxicity
-from catalogq.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
-
-PIECE_FILE = os.environ.get("CATALOGQ_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
-
+from catalogq.llm import (
+    decontam,
+    html_main,
+    langid,
+    minhash,
+    pieces,
+    quality_model,
+    quality_rules,
+    secret_scan,
+    sharding,
+    toxicity,
+)
+from catalogq.llm.registry import ORACLES, PIECE_FILE, QUERIES, query, table  # noqa: F401
 
 @query("op10_minhash_near_dedup")
 def op10(spark, sf_dir):
@@ -63,3 +69,8 @@ def op5(spark, sf_dir):
 @query("op1_sentencepiece")
 def op1(spark, sf_dir):
     return pieces.encode_texts(table(spark, sf_dir, "documents"), pieces.load_pieces(PIECE_FILE))
+
+
+@query("op9_html_main_text")
+def op9(spark, sf_dir):
+    return html_main.extract(table(spark, sf_dir, "pages"))

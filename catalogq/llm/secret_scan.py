@@ -148,14 +148,14 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(lengths, start, step, lambda state: F.filter(state["spans"], lambda s: s["size"] >= rule.least))
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The given columns of each row, and _spans: [(start, rank, stop, size)] by start and rule.
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """_row (all columns of docs, whatever their names), _text, and _spans: [(start, rank, stop, size)] by start and rule.
 
     Offsets are code points, the end exclusive; rank is the rule's place in rules. A null text
     counts as empty; rows may repeat, and doc_id may be null.
     """
     rows = docs.select(
-        *columns,
+        F.struct(*docs.columns).alias("_row"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"),
         F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("_key"),
     )
@@ -170,7 +170,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, columns: tupl
         if rule.kind not in scanned:
             wanted = F.array_contains("_rules", rule.kind) & wanted
         found.append(F.when(wanted, _spans(text, rule, order)).otherwise(empty))
-    return rows.select(*columns, "_text", F.sort_array(F.concat(*found)).alias("_spans"))
+    return rows.select("_row", "_text", F.sort_array(F.concat(*found)).alias("_spans"))
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -186,11 +186,11 @@ def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def scan_report(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans of each document."""
-    found = find_secrets(docs)
+    found = find_secrets(docs.select("doc_id", "text"))
     count = lambda rank: F.size(F.filter("_spans", lambda s: s["rank"] == rank)).cast("long")
     base = F.filter("_spans", lambda s: s["rank"] < len(BASE))
     return found.select(
-        "doc_id",
+        "_row.doc_id",
         *[count(i).alias(f"n_{rule.kind}") for i, rule in enumerate(BASE)],
         F.sha2(span_text(base), 256).alias("base_sha256"),
         span_text(F.col("_spans")).alias("spans"),

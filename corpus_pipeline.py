@@ -12,7 +12,11 @@ from catalogq.llm.scratch import keep
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", stages.quality),
     ("near_dedup", stages.near_dedup),
+    ("decontamination", stages.decontaminate),
+    ("secret_scan", stages.mask_secrets),
+    ("sentencepiece", stages.encode),
 ]
 
 # The near-copy, contamination and encoding stages can't be stated in SQL over whole texts.
