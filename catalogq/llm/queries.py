@@ -9,6 +9,7 @@ from catalogq.llm import (
     html_main,
     langid,
     minhash,
+    oracles,
     pieces,
     quality_model,
     quality_rules,
@@ -18,17 +19,17 @@ from catalogq.llm import (
 )
 from catalogq.llm.registry import ORACLES, PIECE_FILE, QUERIES, query, table  # noqa: F401
 
-@query("op10_minhash_near_dedup")
+@query("op10_minhash_near_dedup", oracles.NEAR_DEDUP)
 def op10(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op4_secret_scan")
+@query("op4_secret_scan", oracles.SECRET_SCAN)
 def op4(spark, sf_dir):
     return secret_scan.scan_report(table(spark, sf_dir, "documents"))
 
 
-@query("op6_quality_rules")
+@query("op6_quality_rules", oracles.QUALITY_RULES)
 def op6(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +72,6 @@ def op1(spark, sf_dir):
     return pieces.encode_texts(table(spark, sf_dir, "documents"), pieces.load_pieces(PIECE_FILE))
 
 
-@query("op9_html_main_text")
+@query("op9_html_main_text", oracles.HTML_MAIN)
 def op9(spark, sf_dir):
     return html_main.extract(table(spark, sf_dir, "pages"))
