@@ -18,8 +18,9 @@ from catalogq.llm.samples import fold, sampled_texts
 from catalogq.llm.textbatch import lowered, mix, small_batches, span_hashes, split_words, text_bytes, window_hashes
 
 FOLDS, HELD_OUT = 5, 0
-TRAIN_ROWS, TRAIN_CHARS = 8_000, 20_000  # bound of the training sample
+TRAIN_ROWS, TRAIN_CHARS = 8_000, 10_000  # bound of the training sample
 PLACES = 1 << 18
+CHUNK = 200  # training texts turned into vectors at a time
 PASSES = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.1
 CUT = 0.3
@@ -88,7 +89,12 @@ def train(texts: list, labels: list) -> tuple[np.ndarray, float]:
         shrunk = np.sign(z[at]) * L1 - z[at]
         return np.where(np.abs(z[at]) <= L1, 0.0, shrunk / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
-    rows, places, values = vectors(pa.array(texts, pa.large_string()))
+    parts = []
+    for at in range(0, len(texts), CHUNK):
+        rows, places, values = vectors(pa.array(texts[at : at + CHUNK], pa.large_string()))
+        parts.append((rows.astype(np.int32) + np.int32(at), places.astype(np.int32), values.astype(np.float32)))
+    rows, places, values = map(np.concatenate, zip(*parts))
+    del parts
     bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
     order = np.random.default_rng(11)
     for _ in range(PASSES):
