@@ -33,7 +33,7 @@ from catalogq.llm.textbatch import (
 )
 
 WINDOW, LEAST_WORDS = 8, 5
-COVER, AGREE = 0.6, 0.8
+COVER, AGREE = 0.6, 0.9
 FILTER_BITS = 22
 
 # Units as they follow a number.

@@ -143,10 +143,10 @@ def cutoffs(measures: DataFrame, labels: DataFrame, risk: float = RISK, level: f
     # At most strata x rules x cutoffs x 2 rows from here on.
     counted = keep(rated.groupBy("_stratum", "x.rule", "x.level", "good").agg(F.count("*").alias("n")), "rated")
     tests = counted.where("good").select("_stratum").distinct().count() * len(RULES)
-    grid = spark.createDataFrame(
-        [(name, i + 1, c, len(cs) - i) for name, (_, cs) in RULES.items() for i, c in enumerate(cs)],
-        "rule string, place int, cutoff double, least int",
-    )
+    cells = [(name, i + 1, c, len(cs) - i) for name, (_, cs) in RULES.items() for i, c in enumerate(cs)]
+    names = ("rule", "place", "cutoff", "least")
+    listed = [F.struct(*[F.lit(x).alias(n) for x, n in zip(cell, names)]) for cell in cells]
+    grid = spark.range(1).select(F.inline(F.array(*listed)))
     hit = F.when(F.col("level") >= F.col("least"), F.col("n")).otherwise(0)
     good = F.when(F.col("good"), 1).otherwise(0)
     tested = counted.join(F.broadcast(grid), "rule").groupBy("_stratum", "rule", "place", "cutoff").agg(

@@ -111,12 +111,14 @@ def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
             terms += [(rule.kind, number, gram, 1 << i, (1 << len(clause)) - 1) for i, gram in enumerate(clause)]
     if not terms:
         return None
-    clauses = rows.sparkSession.createDataFrame(terms, "rule string, clause int, gram string, bit long, whole long")
+    names = ("rule", "clause", "gram", "bit", "whole")
+    listed = [F.struct(*[F.lit(x).alias(n) for x, n in zip(t, names)]) for t in terms]
+    clauses = rows.sparkSession.range(1).select(F.inline(F.array(*listed)))
     met = (
         postings(rows, sorted({t[2] for t in terms}))
         .join(F.broadcast(clauses), "gram")  # one row per trigram of a rule
         .groupBy("_key", "rule", "clause", "whole")
-        .agg(F.bit_or("bit").alias("bits"))
+        .agg(F.bit_or(F.col("bit").cast("long")).alias("bits"))
         .where("bits = whole")
     )
     return met.groupBy("_key").agg(F.collect_set("rule").alias("_rules"))

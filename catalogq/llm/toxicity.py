@@ -24,7 +24,7 @@ FOLDS, HELD_OUT = 4, 2
 POSITIVE_ROWS, UNLABELLED_ROWS = 4_000, 8_000  # bound of the training sample
 TRAIN_CHARS = 20_000  # of each training text
 BEGINNINGS = (4, 5, 6)  # bytes
-LEAST_ROWS, LEAST_LIFT, MOST_FEATURES = 4, 6.0, 8_192
+LEAST_ROWS, LEAST_LIFT, SURPRISE, MOST_FEATURES = 4, 6.0, 5.0, 8_192  # SURPRISE in standard errors
 STEPS, RATE, SHRINK = 400, 0.05, 1e-4
 CUT = 0.3
 
@@ -78,8 +78,11 @@ def _presence(texts: list, lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
     return pairs // (len(lookup.table) + 1), pairs % (len(lookup.table) + 1)
 
 
-def _frequent(positive: list, unlabelled: list) -> np.ndarray:
-    """Features in at least LEAST_ROWS positive texts and LEAST_LIFT times as frequent there as in U."""
+def _frequent(positive: list, unlabelled: list, prior: float) -> np.ndarray:
+    """Features in at least LEAST_ROWS positive texts and LEAST_LIFT times as frequent there as in U.
+
+    A feature of toxic texts only is 1 / prior times as frequent, so half of that is enough.
+    """
 
     def rows_with(texts: list) -> tuple[np.ndarray, np.ndarray]:
         owner, found = features(pa.array(texts, pa.large_string()))
@@ -95,7 +98,8 @@ def _frequent(positive: list, unlabelled: list) -> np.ndarray:
     place = np.minimum(np.searchsorted(others, names), max(len(others) - 1, 0))
     seen = np.where(others[place] == names, in_u[place], 0) if len(others) else np.zeros(len(names), int)
     lift = (in_p / len(positive)) / ((seen + 1) / (len(unlabelled) + 1))
-    chosen = (lift >= LEAST_LIFT).nonzero()[0]
+    usual = (seen + 1) * len(positive) / (len(unlabelled) + 1)
+    chosen = np.flatnonzero((lift >= min(LEAST_LIFT, 0.5 / prior)) & (in_p >= usual + SURPRISE * np.sqrt(usual)))
     return np.sort(names[chosen[np.argsort(-in_p[chosen], kind="stable")[:MOST_FEATURES]]])
 
 
@@ -103,7 +107,7 @@ def train(positive: list, unlabelled: list, prior: float) -> Model:
     """The model for texts of both kinds and the share of toxic texts among the unlabelled."""
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -5.0)
-    lookup = Lookup(_frequent(positive, unlabelled))
+    lookup = Lookup(_frequent(positive, unlabelled, prior))
     sets = [(*_presence(texts, lookup), len(texts)) for texts in (positive, unlabelled)]
     size = len(lookup.table) + 1  # the last weight is the bias
     weights, moment, square = np.zeros(size), np.zeros(size), np.zeros(size)
