@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,20 +44,52 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only in local mode."""
+    """The folder named by spark.checkpoint.dir.
+
+    Where it is unset, a local session uses a folder below its warehouse; a cluster must name one.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="catalogq-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/catalogq-shared"
+
+
+_made: list[str] = []
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other job uses."""
-    return f"{shared_dir(spark)}/catalogq-{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other job uses; release() deletes it."""
+    path = f"{shared_dir(spark)}/catalogq-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the folders made so far (from the given one on); results that still read them must be written first."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_made) > since:
+        target = paths(_made.pop())
+        target.getFileSystem(conf).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is made inside is deleted at the end of the block: write results before it ends."""
+    since = len(_made)
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _made:
+        release(spark)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -1,6 +1,10 @@
 """File sources and sinks at their edges."""
 
+import hashlib
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from catalogq import session
 from catalogq.operators import perturb
@@ -81,3 +85,43 @@ def test_candidate_sample_is_stable(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     pick = lambda df, seed: {r["p_partkey"] for r in perturb.make_candidate(df, part.columns, ["p_partkey"], seed, 20)[0].collect()}
     assert pick(part, 1) == pick(part.repartition(13), 1) != pick(part, 2)
+
+
+def test_repeated_headers_last_one_counts(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b,a,c2\n1,2,3,4\n5,6\n")
+    rows = tables.read_csv(spark, str(tmp_path / "x.csv")).orderBy("_ord").drop("_ord")
+    assert rows.columns == ["a", "b", "c2"]
+    assert [tuple(r) for r in rows.collect()] == [("3", "2", "4"), ("", "6", "")]
+
+
+def test_candidate_files_are_in_shuffled_order(spark, tmp_path):
+    made, names = perturb.make_candidate(spark.range(300).select(F.col("id").alias("gtin"), F.lit("x").alias("name")), ["gtin", "name"], ["gtin"])
+    perturb.write_candidate(made, str(tmp_path / "out"))
+    written = [int(r["gtin_code"]) for r in tables.read_csv(spark, str(tmp_path / "out")).orderBy("_ord").collect()]
+    assert names == {"gtin": "gtin_code", "name": "product_name"}
+    assert written == sorted(range(300), key=lambda i: hashlib.sha256(f"42:{i}".encode()).hexdigest())
+
+
+def test_folders_are_deleted_after_use(spark, tmp_path):
+    with session.scratch(spark):
+        kept = session.materialize(spark.range(5), "test")
+        path = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert kept.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
+def test_shared_folder_of_a_session_that_names_none(spark, monkeypatch):
+    class Conf:
+        def get(self, name, *default):
+            return None if name == "spark.checkpoint.dir" else "file:/warehouse"
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "local[2]"
+
+    assert session.shared_dir(Session()) == "file:/warehouse/catalogq-shared"
+    Session.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
