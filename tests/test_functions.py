@@ -1,5 +1,6 @@
 """Cell functions against plain statements of their rules."""
 
+import random
 import re
 from fractions import Fraction
 
@@ -172,4 +173,25 @@ def test_float_text(spark):
 def test_labels():
     assert display.field_label("desc_material") == "Description Material"
     assert display.field_label("unit_price_eur") == "Unit Price Eur"
-    assert display.literal_like(r"50%_a\b") == r"50\%\_a\\b"
+
+
+def test_plain_digits_of_every_size(spark):
+    values = [1.2345678901234e-4, 3e-14, 1e26, 1.5e300, 5e-324, -2.5e-7, 123456789012345.67, 1e22, 0.0, -0.0, 9.999e6, 1e7]
+    values += [float("inf"), float("-inf"), float("nan")]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", display.plain_digits(F.col("v")).alias("t"))
+    for r in rows.collect():
+        if r["t"] in ("NaN", "inf", "-inf"):
+            assert str(r["v"]) == r["t"].lower()
+        else:
+            assert float(r["t"]) == r["v"] and re.fullmatch(r"-?(0|[1-9]\d*)\.(0|\d*[1-9])", r["t"])
+
+
+def test_fixed_point_is_exact_and_never_fails(spark):
+    draw = random.Random(6)
+    values = [0.005, 0.015, 2.675, 3.905, 0.125, 0.375, 0.995, 0.999, 9.995, 1e15 + 0.125, 2.0**52 + 0.5, 2.0**53 + 2, 9e18, -0.001]
+    values += [draw.uniform(-1, 1) * 10 ** draw.randrange(-5, 18) for _ in range(300)]
+    for digits in (1, 2):
+        rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", display.fixed_point(F.col("v"), digits).alias("t"))
+        assert [r["t"] for r in rows.collect()] == [f"{v:.{digits}f}" for v in values]
+    odd = spark.createDataFrame([(1e25,), (float("nan"),), (float("inf"),), (None,)], "v double")
+    assert [r[0] for r in odd.select(display.fixed_point(F.col("v"), 2)).collect()] == ["1" + "0" * 25 + ".00", "NaN", "inf", None]
