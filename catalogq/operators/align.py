@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalogq.functions.text import ratio, with_match_key
 from catalogq.operators.profile import quoted
-from catalogq.operators.topk import top_per_group
+from catalogq.operators.topk import first_per_group
 
 
 def text_columns(columns: Sequence[str], prefix: str) -> list[Column]:
@@ -29,7 +29,10 @@ def keyed(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str],
 
 def first_per_key(rows: DataFrame, prefix: str) -> DataFrame:
     """Empty keys are dropped and repeated keys cut before the shuffle."""
-    return top_per_group(rows.where("_key is not null"), ["_key"], [F.col(f"{prefix}_ord")], 1)
+    cells = sorted(c for c in rows.columns if c.startswith(f"{prefix}:"))
+    # Rows with the same place are told apart by their cells, so every evaluation takes the same one.
+    order = [F.col(f"{prefix}_ord"), *([F.xxhash64(*[F.col(f"`{c}`") for c in cells])] if cells else [])]
+    return first_per_group(rows.where("_key is not null"), ["_key"], order)
 
 
 def align_rows(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalogq.functions.text import WHITESPACE, null_if_empty
 from catalogq.operators.rowindex import with_position
-from catalogq.operators.topk import top_per_group
+from catalogq.operators.topk import first_n, top_per_group
 from catalogq.session import materialize
 
 # Item columns, sections (id, title, description), list lengths and page limits.
@@ -32,13 +32,6 @@ PAGE_SIZE = 10
 SHARD_SIZE = 10_000
 MAX_SHARD_SIZE = 50_000
 
-# Copies of a lookup row, so that the rows of a hot key spread over as many tasks.
-LOOKUP_SALTS = 16
-# Lookups up to this many keys (a short list of items each, some 50 MB) are sent to every task.
-BROADCAST_KEYS = 20_000
-# A query table up to this many rows is small enough to be sent to every task.
-BROADCAST_QUERIES = 10_000
-
 
 def item_columns(df: DataFrame, identifier: str = "gtin") -> list[Column]:
     """The item projection: missing text is '', a missing number 0."""
@@ -118,17 +111,6 @@ def home_payload(feeds: DataFrame) -> DataFrame:
 # --- similar items -------------------------------------------------------------------------
 
 
-def _join_lookup(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
-    """Left join with a table that has one row per key.
-
-    The lookup is copied once per salt, so a key shared by a third of all rows is
-    served by many tasks; adaptive execution splits what is still uneven.
-    """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))).alias("_salt")
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(LOOKUP_SALTS)).cast("int"))
-    return salted.join(lookup.select("*", salts), [key, "_salt"], "left").drop("_salt")
-
-
 def similar_lists(catalogue: DataFrame, identifier: str = "gtin", k: int = SIMILAR_ITEMS) -> DataFrame:
     """Catalogue rows with `similar`: the k best items of the same category or brand, as an array.
 
@@ -139,8 +121,8 @@ def similar_lists(catalogue: DataFrame, identifier: str = "gtin", k: int = SIMIL
     the list is the whole category, and the answer goes on with the brand's list
     without the items already met.
 
-    The lists are written first, so that their number is known: few enough are
-    broadcast, more are joined by a salted shuffle.
+    The lists are written first, so that their size is known when the joins are planned;
+    rows of a hot brand or category are split by the adaptive skew join.
     """
 
     def best_of(column: str) -> DataFrame:
@@ -161,12 +143,8 @@ def similar_lists(catalogue: DataFrame, identifier: str = "gtin", k: int = SIMIL
     lookups["category_path"] = lookups["category_path"].withColumn(
         "_ids", F.transform("_by_category_path", lambda x: x["gtin"])
     )
-    large = [c for c in lookups if lookups[c].limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS]
-    # Shuffled joins come first, while the rows are narrow.
-    for column in large:
-        rows = _join_lookup(rows, lookups[column], f"_{column}")
-    for column in (c for c in lookups if c not in large):
-        rows = rows.join(F.broadcast(lookups[column]), f"_{column}", "left")
+    for column, lists in lookups.items():
+        rows = rows.join(lists, f"_{column}", "left")
 
     def listed(name: str) -> Column:
         return F.coalesce(F.col(name), F.array().cast(rows.schema[name].dataType))
@@ -290,12 +268,12 @@ def search_matches(catalogue: DataFrame, query: str) -> DataFrame:
 def search_items(
     catalogue: DataFrame, query: str, page: int = 1, page_size: int = PAGE_SIZE, identifier: str = "gtin"
 ) -> DataFrame:
-    """One page of ranked matches: a scan that keeps page * page_size rows per task."""
+    """One page of ranked matches: a scan that keeps page * page_size rows per task, in two levels."""
     offset = checked_offset(page, page_size)
     needle = ascii_lower(F.lit(checked_query(query)))
     hits = search_matches(catalogue, query)
-    ordered = hits.orderBy(*_search_order(search_fields(catalogue), needle, identifier))
-    return ordered.offset(offset).limit(page_size).select(*_search_items(hits, identifier))
+    order = _search_order(search_fields(catalogue), needle, identifier)
+    return first_n(hits, order, offset + page_size).offset(offset).limit(page_size).select(*_search_items(hits, identifier))
 
 
 def search(
@@ -325,9 +303,8 @@ def query_hits(catalogue: DataFrame, queries: DataFrame, identifier: str = "gtin
     A query has at least three characters, so every match holds the query's first
     three: rows and queries meet in an equi-join on a three-character piece, and only
     those pairs are checked in full. A query has one such piece and a row holds it
-    once, so no pair comes up twice. The queries are sent to every task if there are
-    few enough; otherwise both sides are shuffled by piece, salted against a piece
-    that most rows share.
+    once, so no pair comes up twice. Adaptive execution chooses the join by size and
+    splits a piece that most rows share.
     """
     fields = search_fields(catalogue)
     wanted = (
@@ -342,14 +319,7 @@ def query_hits(catalogue: DataFrame, queries: DataFrame, identifier: str = "gtin
     )
     needed = list(dict.fromkeys([identifier, *[c for c in ITEM_COLUMNS if c in catalogue.columns]]))
     rows = catalogue.select(*needed, F.explode(pieces).alias("_piece"))
-    few = wanted.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    if few:
-        joined = rows.join(F.broadcast(wanted), "_piece")
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))).alias("_salt")
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(identifier), F.lit(LOOKUP_SALTS)).cast("int"))
-        joined = salted.join(wanted.select("*", salts), ["_piece", "_salt"]).drop("_salt")
-    return joined.where(_matches(fields, F.col("_needle"))).drop("_piece")
+    return rows.join(wanted, "_piece").where(_matches(fields, F.col("_needle"))).drop("_piece")
 
 
 def search_many(
@@ -357,17 +327,22 @@ def search_many(
 ) -> DataFrame:
     """(query, total, total_pages, rank, item columns): the same page of every query.
 
-    Totals are counted before the shuffle, and each task keeps only the rows that can
-    be on the page, so a query that matches most of the catalogue is no hot spot.
+    Every query of the input is there: one without hits, too short to be searched or without
+    rows on this page has one row with its total and no rank. The matches are written once
+    for totals and pages. Totals are counted before the shuffle, and each task keeps only
+    the rows that can be on the page, so a query that matches most of the catalogue is no
+    hot spot.
     """
     offset = checked_offset(page, page_size)
-    hits = query_hits(catalogue, queries, identifier)
+    asked = queries.select(F.btrim(F.col("query"), F.lit(WHITESPACE)).alias("query")).where("query is not null").distinct()
+    hits = materialize(query_hits(catalogue, queries, identifier), "hits")
     totals = hits.groupBy("query").agg(F.count("*").alias("total"))
     order = _search_order(search_fields(catalogue), F.col("_needle"), identifier)
     ranked = top_per_group(hits, ["query"], order, offset + page_size, "rank").where(F.col("rank") > offset)
     shown = ranked.select("query", "rank", *_search_items(ranked, identifier))
+    counted = asked.join(totals, "query", "left").select("query", F.coalesce("total", F.lit(0)).alias("total"))
     pages = F.ceil(F.col("total") / F.lit(page_size)).cast("bigint")
-    return shown.join(totals, "query").select(
+    return counted.join(shown, "query", "left").select(
         "query", "total", pages.alias("total_pages"), "rank", *[c for c in shown.columns if c not in ("query", "rank")]
     )
 
@@ -380,6 +355,7 @@ def non_empty_ids(catalogue: DataFrame, identifier: str = "gtin") -> DataFrame:
 
 
 def shard_size(chunk: int) -> int:
+    """The ids per shard: SHARD_SIZE if none is given, and never more than MAX_SHARD_SIZE."""
     return min(chunk if chunk > 0 else SHARD_SIZE, MAX_SHARD_SIZE)
 
 
@@ -400,10 +376,9 @@ def shard_index(
     catalogue: DataFrame, base_url: str, identifier: str = "gtin", chunk: int = SHARD_SIZE, lastmod: str | None = None
 ) -> DataFrame:
     """(shard, loc, lastmod): the list of shards; it names one even when there are no ids."""
-    total = non_empty_ids(catalogue, identifier).agg(F.count("*").alias("n"))
-    pages = F.greatest(F.ceil(F.col("n") / F.lit(shard_size(chunk))), F.lit(1)).cast("bigint")
+    pages = max(1, -(-non_empty_ids(catalogue, identifier).count() // shard_size(chunk)))
     day = F.lit(lastmod) if lastmod else F.date_format(F.current_date(), "yyyy-MM-dd")
-    return total.select(F.explode(F.sequence(F.lit(1).cast("bigint"), pages)).alias("shard")).select(
+    return catalogue.sparkSession.range(1, pages + 1).select(F.col("id").alias("shard")).select(
         "shard", F.format_string(f"{base_url}/sitemaps/products-%d.xml", F.col("shard")).alias("loc"), day.alias("lastmod")
     )
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from catalogq.operators.topk import first_n
+
 
 def literal(value, kind: DataType) -> Column:
     """A value read from a row, as a literal of the column's type."""
@@ -31,7 +33,7 @@ def first_rows(df: DataFrame, order: Sequence[str], n: int) -> tuple[DataFrame,
     One pass over the order columns finds the last position; each task keeps n positions.
     """
     position = F.struct(*[F.col(c) for c in order])
-    positions = df.select(position.alias("position")).orderBy("position").limit(n)
+    positions = first_n(df.select(position.alias("position")), [F.col("position")], n)
     last = positions.agg(F.max("position").alias("last"), F.count("*").alias("rows")).first()
     if last["rows"] < n:
         return df, True

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogq.functions.similarity import header_tokens, token_similarity, type_compatibility
-from catalogq.functions.text import canonical, round_half_away, with_match_key
-from catalogq.operators.align import align_rows, keyed, text_columns
-from catalogq.operators.head import first_rows
+from catalogq.functions.text import canonical, round_half_away
+from catalogq.operators.align import align_rows, first_per_key, keyed
 from catalogq.operators.profile import quoted
+from catalogq.operators.topk import first_n
+from catalogq.session import materialize
 
 # Weights of the confidence, acceptance bounds, list length, default sample.
 HEADER_WEIGHT, TYPE_WEIGHT, SAMPLE_WEIGHT = 0.35, 0.10, 0.55
@@ -19,35 +20,6 @@ EQUAL_WEIGHT, PRESENCE_WEIGHT = 0.85, 0.15
 MIN_CONFIDENCE, MIN_SAMPLE_SIMILARITY = 0.55, 0.85
 LISTED_PAIRS = 50
 DEFAULT_SAMPLE = 256
-# A sample of at most this many rows is small enough to be sent to every task.
-BROADCAST_SAMPLE = 10_000
-# Reference rows looked at first, as a multiple of the pairs wanted.
-HEAD_ROWS_PER_PAIR = 4
-
-
-def _first_pairs(
-    reference: DataFrame, candidate: DataFrame, reference_key: str, candidate_key: str,
-    reference_order: Sequence[str], candidate_order: Sequence[str], size: int,
-) -> DataFrame:
-    """(ref_ord, cand_ord) of the first `size` aligned rows, a table of that many rows.
-
-    The first rows of the reference usually hold enough aligned ones: then the
-    candidate is only filtered by their keys. A key that repeats is first met in
-    these rows or not at all, so the pairs are the same as over the whole table.
-    """
-    orders = (reference_order, candidate_order)
-    head, whole = first_rows(reference, reference_order, HEAD_ROWS_PER_PAIR * size)
-    if not whole:
-        keys = keyed(head, reference_key, reference_order, [], "ref").select("_key").distinct()
-        marked = with_match_key(candidate, F.col(quoted(candidate_key)).cast("string"), "_key")
-        wanted = marked.join(F.broadcast(keys), "_key", "left_semi")
-        pairs = align_rows(head, wanted.drop("_key"), reference_key, candidate_key, *orders)
-        chosen = pairs.select("ref_ord", "cand_ord").orderBy("ref_ord").limit(size)
-        rows = chosen.collect()
-        if len(rows) == size:
-            return reference.sparkSession.createDataFrame(rows, chosen.schema)
-    pairs = align_rows(reference, candidate, reference_key, candidate_key, *orders)
-    return pairs.select("ref_ord", "cand_ord").orderBy("ref_ord").limit(size)
 
 
 def sample_rows(
@@ -57,22 +29,29 @@ def sample_rows(
 ) -> DataFrame:
     """The first `size` aligned rows in reference order, with the cells of both sides (0: all).
 
-    A small sample is chosen by key first; then only its rows are fetched.
+    The sample is chosen by narrow keys first, rows with the same place in the order by
+    their key; then one row per chosen key is fetched from each side. So there are never
+    more rows than asked for, also if the order isn't unique.
     """
-    sides = (reference, candidate, reference_key, candidate_key, reference_order, candidate_order)
+    whole = align_rows(
+        reference, candidate, reference_key, candidate_key, reference_order, candidate_order,
+        reference_columns, candidate_columns,
+    )
     if size <= 0:
-        return align_rows(*sides, reference_columns, candidate_columns)
-    if size > BROADCAST_SAMPLE:
-        return align_rows(*sides, reference_columns, candidate_columns).orderBy("ref_ord").limit(size)
-    chosen = F.broadcast(_first_pairs(*sides, size))
+        return whole
+    places = keyed(reference, reference_key, reference_order, [], "ref").where("_key is not null")
+    places = places.groupBy("_key").agg(F.min("ref_ord").alias("ref_ord"))
+    known = keyed(candidate, candidate_key, [], [], "cand").where("_key is not null").select("_key").distinct()
+    matched = places.join(known, "_key", "left_semi")
+    chosen = materialize(first_n(matched, [F.col("ref_ord"), F.col("_key")], size).select("_key"), "sample")
 
-    def fetch(df: DataFrame, order: Sequence[str], columns: Sequence[str], prefix: str) -> DataFrame:
-        rows = df.select(F.struct(*order).alias(f"{prefix}_ord"), *text_columns(columns, prefix))
-        return rows.join(chosen, f"{prefix}_ord")
+    def side(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], prefix: str) -> DataFrame:
+        rows = keyed(df, key, order, columns, prefix).join(chosen, "_key", "left_semi")
+        return first_per_key(rows, prefix)
 
-    left = fetch(reference, reference_order, reference_columns, "ref")
-    right = fetch(candidate, candidate_order, candidate_columns, "cand")
-    return left.join(right, ["ref_ord", "cand_ord"])
+    left = side(reference, reference_key, reference_order, reference_columns, "ref")
+    right = side(candidate, candidate_key, candidate_order, candidate_columns, "cand")
+    return left.join(right, "_key")
 
 
 def sample_similarity(
@@ -87,16 +66,21 @@ def sample_similarity(
     # One normalising expression per side; one per column would not compile.
     left = F.transform(F.array(*[F.col(quoted(f"ref:{c}")) for c in reference_columns]), lambda v: canonical(v))
     right = F.transform(F.array(*[F.col(quoted(f"cand:{c}")) for c in candidate_columns]), lambda v: canonical(v))
-    pairs = (
-        sample.select(left.alias("left"), right.alias("right"))
-        .select(F.posexplode("left").alias("reference_position", "a"), "right")
-        .select("reference_position", "a", F.posexplode("right").alias("candidate_position", "b"))
+    cells = sample.select(left.alias("left"), right.alias("right"))
+    # Rows of one column are counted by the candidate columns' verdicts, R per row instead of R x C.
+    equal = F.transform("right", lambda b: (F.col("a") == b).cast("long"))
+    same = F.transform("right", lambda b: ((F.col("a") == "") == (b == "")).cast("long"))
+    wide = cells.select(F.posexplode("left").alias("reference_position", "a"), "right").select(
+        "reference_position", equal.alias("equal"), same.alias("same")
     )
-    equal = (F.col("a") == F.col("b")).cast("long")
-    same_presence = ((F.col("a") == "") == (F.col("b") == "")).cast("long")
-    counted = pairs.groupBy("reference_position", "candidate_position").agg(
-        F.sum(equal).alias("equal"), F.sum(same_presence).alias("same"), F.count("*").alias("n")
+    sums = wide.groupBy("reference_position").agg(
+        F.count("*").alias("n"),
+        F.array(*[F.sum(F.col("equal")[i]) for i in range(len(candidate_columns))]).alias("equal"),
+        F.array(*[F.sum(F.col("same")[i]) for i in range(len(candidate_columns))]).alias("same"),
     )
+    counted = sums.select(
+        "reference_position", "n", F.posexplode(F.arrays_zip("equal", "same")).alias("candidate_position", "_sums")
+    ).select("reference_position", "candidate_position", "n", "_sums.equal", "_sums.same")
     return counted.select(
         "reference_position",
         "candidate_position",

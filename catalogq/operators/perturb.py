@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalogq.operators.topk import first_n
+from catalogq.sources.sinks import write_csv
+
 # Renaming rules, applied one after the other to the whole name.
 RENAMES = (
     ("breadcrumbs", "crumbs"),
@@ -55,19 +58,27 @@ def make_candidate(
 ) -> tuple[DataFrame, dict[str, str]]:
     """Columns in seeded order under new names, rows in hash order, optionally only the first ones.
 
-    The row order is a hash of the key, so it does not depend on the partitioning; it is
-    kept in the column _ord and the rows are not sorted for it. A sample is a top-k.
+    The row order is the SHA-256 of the seed and the key, so it does not depend on the
+    partitioning; it is kept in the column _ord, and write_candidate() writes the rows in it.
+    A sample takes the first rows of that order.
     """
     shuffled = list(columns)
     random.Random(seed).shuffle(shuffled)
     mapping = renamed_headers(shuffled)
-    order = F.struct(F.xxhash64(F.lit(seed), *key).alias("hash"), *key)
+    drawn = F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(f"`{k}`").cast("string") for k in key]), 256)
+    order = F.struct(drawn.alias("hash"), *key)
     rows = df.select(*[F.col(f"`{c}`").alias(mapping[c]) for c in shuffled], order.alias("_ord"))
     if sample_rows > 0:
-        rows = rows.orderBy("_ord").limit(sample_rows)
+        rows = first_n(rows, [F.col("_ord")], sample_rows)
     return rows, mapping
 
 
+def write_candidate(made: DataFrame, path: str) -> None:
+    """The rows of make_candidate() as CSV files, in shuffled order inside and over the files."""
+    in_order = made.repartitionByRange("_ord").sortWithinPartitions("_ord").drop("_ord")
+    write_csv(in_order, path)
+
+
 def drop_columns(df: DataFrame, names: Sequence[str], blank_rest: Sequence[str] = ()) -> DataFrame:
     """Without the named columns; the columns of blank_rest are emptied."""
     kept = df.drop(*names)

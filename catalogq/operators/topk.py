@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SALTS = 64
+_ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
+
+
+def _cut(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first n rows of every partition."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return df.sortWithinPartitions(*order).withColumn("_row", row).where(F.col("_row") < n).drop("_row")
+
+
+def first_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first n rows under an order, in two levels, so that no task gets n rows from every other one.
+
+    Each task keeps n rows; buckets of about the square root of the tasks keep n of theirs;
+    the last step takes n from the buckets. The plan is the same for every n.
+    """
+    spark = df.sparkSession
+    buckets = max(2, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    cut = _cut(df, order, n).withColumn("_bucket", F.spark_partition_id() % buckets)
+    return _cut(cut.repartition(buckets, "_bucket").drop("_bucket"), order, n).orderBy(*order).limit(n)
+
+
+def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The first row of every group; each task passes on one row of a group at most."""
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return ranked.where(F.col("_rank") == 1).drop("_rank")
 
 
 def top_per_group(
@@ -16,17 +41,16 @@ def top_per_group(
 ) -> DataFrame:
     """The first k rows of every group, under a total order, with their rank if asked for.
 
-    For k up to spark.sql.optimizer.windowGroupLimitThreshold Spark cuts each group to
-    k rows before the shuffle, so a hot group costs no more than any other. Beyond it
-    the same cut is made here on salted groups first.
+    Two levels, whatever k is: groups are first cut in buckets of tasks (about the square
+    root of the shuffle partitions), so a hot group, or one met by every task, is reduced
+    before its rows come together.
     """
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if k > threshold:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
-        salted = df.withColumn("_salt", salt)
-        part = Window.partitionBy(*group, "_salt").orderBy(*order)
-        df = salted.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= k).drop("_rank", "_salt")
+    spark = df.sparkSession
+    buckets = max(2, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    bucketed = df.withColumn("_bucket", F.spark_partition_id() % buckets)
+    part = Window.partitionBy(*group, "_bucket").orderBy(*order)
+    cut = bucketed.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= k).drop("_rank", "_bucket")
     name = rank or "_rank"
-    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    ranked = cut.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     first = ranked.where(F.col(name) <= k)
     return first.withColumn(name, F.col(name).cast("bigint")) if rank else first.drop(name)

@@ -16,7 +16,7 @@ from catalogq.functions.ingest import (
     scrape_time,
     unit_info,
 )
-from catalogq.operators.topk import top_per_group
+from catalogq.operators.topk import first_per_group
 from catalogq.session import materialize
 from catalogq.sources.tables import limit_valid, line_counts, parse_lines, read_lines
 
@@ -191,8 +191,8 @@ def dedupe_latest(rows: DataFrame, keep_null_keys: bool = False) -> DataFrame:
     order = [F.col(SCRAPED_AT).desc_nulls_first(), F.col("dan").desc_nulls_first(), F.col("_ord").desc()]
     keyed = rows.withColumn("_product", F.coalesce(F.col("gtin"), F.lit("")))
     if not keep_null_keys:
-        return top_per_group(keyed, ["_product"], order, 1).drop("_product")
-    known = top_per_group(keyed.where("_product <> ''"), ["_product"], order, 1)
+        return first_per_group(keyed, ["_product"], order).drop("_product")
+    known = first_per_group(keyed.where("_product <> ''"), ["_product"], order)
     return known.unionByName(keyed.where("_product = ''")).drop("_product")
 
 

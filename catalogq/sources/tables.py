@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogq.operators.head import not_after
+from catalogq.operators.topk import first_n
 from catalogq.plans.compare import Table
 from catalogq.session import materialize
 
@@ -24,7 +26,7 @@ def input_position() -> Column:
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True, newlines: bool = False) -> DataFrame:
     """Header row, every cell text, empty cells '', and `_ord`.
 
-    Short rows are padded, extra fields dropped, blank lines skipped, a byte order mark
+    Of columns with the same name the last one counts, in the place of the first. Short rows are padded, extra fields dropped, blank lines skipped, a byte order mark
     is ignored. Cells may hold line breaks, which ties each file to one task: write
     large inputs as many files, or pass multi_line=False when no cell holds one.
     `newlines` turns every line break inside a cell into a plain one.
@@ -43,11 +45,27 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True, newlines:
         text = F.coalesce(F.col(f"`{name}`"), F.lit(""))
         return (F.regexp_replace(text, "\r\n?", "\n") if newlines else text).alias(name)
 
-    return raw.select(*[cell(c) for c in raw.columns], input_position().alias("_ord"))
+    header = _header(spark, path, raw.columns)
+    last = {name: column for name, column in zip(header, raw.columns)}
+    return raw.select(*[cell(column).alias(name) for name, column in last.items()], input_position().alias("_ord"))
+
+
+def _header(spark: SparkSession, path: str, columns: Sequence[str]) -> list[str]:
+    """The names as the header row spells them; Spark numbers repeated ones."""
+    if not any(re.search(r"\d$", c) for c in columns):
+        return list(columns)
+    plain = spark.read.option("quote", '"').option("escape", '"').option("multiLine", True)
+    first = plain.csv(path).limit(1).first()
+    names = [(x or "").lstrip("\ufeff") for x in first] if first else []
+    same = len(names) == len(columns) and all(c == n or c.startswith(n) for c, n in zip(columns, names))
+    return [n or c for c, n in zip(columns, names)] if same else list(columns)
 
 
 def csv_table(spark: SparkSession, path: str, multi_line: bool = True) -> Table:
-    """A CSV input to compare(); parsed once, since the comparison reads it several times."""
+    """A CSV input to compare(); parsed once, since the comparison reads it several times.
+
+    Pass multi_line=False where no cell holds a line break: large files are then split over tasks.
+    """
     return Table(materialize(read_csv(spark, path, multi_line), "csv"), ["_ord"], path=path)
 
 
@@ -104,14 +122,8 @@ def limit_valid(docs: DataFrame, limit: int) -> DataFrame:
     """The lines up to and including the limit-th valid one (0: all)."""
     if limit <= 0:
         return docs
-    last = (
-        docs.where("valid")
-        .select("_ord")
-        .orderBy("_ord")
-        .limit(limit)
-        .agg(F.max("_ord").alias("_ord"), F.count("*").alias("rows"))
-        .first()
-    )
+    valid = docs.where("valid").select("_ord")
+    last = first_n(valid, [F.col("_ord")], limit).agg(F.max("_ord").alias("_ord"), F.count("*").alias("rows")).first()
     return docs if last["rows"] < limit else docs.where(not_after(docs, ["_ord"], last))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalogq.functions import display
 from catalogq.operators import perturb
+from catalogq.operators.rowindex import with_position
 from catalogq.session import new_folder
 from catalogq.sources import sinks, tables
 from catalogq.workloads import sql
@@ -30,17 +32,21 @@ RENAMED = {
 
 @query(
     "make_candidate",
-    f"SELECT {', '.join(f'{old} AS {new}' for old, new in RENAMED.items())} FROM ({sql.PRODUCTS})",
+    f"SELECT {', '.join(f'{old} AS {new}' for old, new in RENAMED.items())}, "
+    f"row_number() OVER (ORDER BY sha256('42:' || gtin), gtin) - 1 AS place FROM ({sql.PRODUCTS})",
 )
 def make_candidate(spark: SparkSession, d: str) -> DataFrame:
     made, _ = perturb.make_candidate(products(spark, d), list(RENAMED), ["gtin"])
-    return made.drop("_ord")
+    return with_position(made, ["_ord"], "place").drop("_ord")
 
 
-@query("make_candidate_sample")
+@query(
+    "make_candidate_sample",
+    f"SELECT {', '.join(f'{old} AS {new}' for old, new in RENAMED.items())} FROM ({sql.PRODUCTS}) "
+    f"ORDER BY sha256('7:' || gtin), gtin LIMIT 100",
+)
 def make_candidate_sample(spark: SparkSession, d: str) -> DataFrame:
-    rows = products(spark, d)
-    made, _ = perturb.make_candidate(rows, rows.columns, ["gtin"], seed=7, sample_rows=100)
+    made, _ = perturb.make_candidate(products(spark, d), list(RENAMED), ["gtin"], seed=7, sample_rows=100)
     return made.drop("_ord")
 
 
@@ -50,10 +56,11 @@ def make_candidate_sample(spark: SparkSession, d: str) -> DataFrame:
     " UNION ALL ".join(
         f"SELECT '{old}' AS old_name, '{new}' AS new_name, count({old}) AS filled FROM ({sql.PRODUCTS})"
         for old, new in RENAMED.items()
-    ),
+    )
+    + f" UNION ALL SELECT 'is_pills', 'is_badges_2', count(has_pills) FROM ({sql.PRODUCTS})",
 )
 def rename_headers(spark: SparkSession, d: str) -> DataFrame:
-    rows = products(spark, d)
+    rows = products(spark, d).withColumn("is_pills", F.col("has_pills"))
     names = perturb.renamed_headers(rows.columns)
     renamed = rows.withColumnsRenamed(names)
     counts = renamed.agg(*[F.count(c).alias(c) for c in renamed.columns])
@@ -142,3 +149,31 @@ def clean_table_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "table")
     sinks.write_clean_table(products(spark, d), path)
     return tables.read_table(spark, path, "gtin")
+
+
+# Prices from 1e-12 to 1e30: the digits name the same double without exponent, and prices up to 2^63 are rounded exactly.
+SCALES = (1e-15, 1e-8, 1e-3, 1e5, 1e12, 1e18, 1e25)
+_SCALED = "l_extendedprice * CASE l_linenumber " + " ".join(
+    f"WHEN {i} THEN CAST('{x!r}' AS DOUBLE)" for i, x in enumerate(SCALES, 1)
+) + " END"
+
+
+@query(
+    "csv_extreme_numbers",
+    f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {_SCALED} AS price, true AS plain, "
+    f"CASE WHEN l_linenumber <= 5 THEN printf('%.2f', {_SCALED}) END AS shown FROM lineitem",
+)
+def csv_extreme_numbers(spark: SparkSession, d: str) -> DataFrame:
+    line = F.col("l_linenumber")
+    scale = F.get(F.array(*[F.lit(x) for x in SCALES]), (line - 1).cast("int"))
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("l_extendedprice").cast("double") * scale).alias("price")
+    )
+    text = sinks.csv_cell(rows.withColumnRenamed("price", "price_eur"), "price_eur")
+    written = rows.withColumnRenamed("price", "price_eur").select("*", text.alias("_text"))
+    return written.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        F.col("_text").cast("double").alias("price"),
+        F.rlike("_text", F.lit(r"^(0|[1-9]\d*)\.(0|\d*[1-9])$")).alias("plain"),
+        F.when(line <= 5, display.fixed_point(F.col("price_eur"), 2)).alias("shown"),
+    )

@@ -95,29 +95,43 @@ def search_totals(spark: SparkSession, d: str) -> DataFrame:
     return ops.search_matches(products(spark, d), "RED").agg(F.count("*").alias("total"))
 
 
-# Queries taken from the data: every product name's second word, every brand, every type.
+# Queries taken from the data: every product name's second word, brand and type, some without hits, some too short.
 QUERY_LIST = (
     "SELECT DISTINCT q AS query FROM (SELECT regexp_extract(p_name, '[a-z]+$') AS q FROM part "
     "UNION ALL SELECT p_brand FROM part UNION ALL SELECT lower(p_type) FROM part UNION ALL "
-    "SELECT substr(p_type, 2, 3) FROM part) WHERE length(q) >= 3"
+    "SELECT substr(p_type, 2, 3) FROM part UNION ALL SELECT p_name || '?' FROM part UNION ALL SELECT substr(p_type, 1, 2) FROM part)"
 )
 _HIT_Q, _ORDER_Q = _search_sql("lower(query)", "products")
 
 
-@query(
-    "search_many",
-    f"""WITH products AS ({sql.PRODUCTS}), queries AS ({QUERY_LIST}),
- hits AS (SELECT *, count(*) OVER (PARTITION BY query) AS total,
-  row_number() OVER (PARTITION BY query ORDER BY {_ORDER_Q}) AS rank FROM queries JOIN products ON {_HIT_Q})
- SELECT query, total, CAST(ceil(total / 10.0) AS BIGINT) AS total_pages, rank, {SHOWN_SQL} FROM hits WHERE rank <= 10""",
-)
-def search_many(spark: SparkSession, d: str) -> DataFrame:
+def _many_sql(page: int) -> str:
+    columns = SHOWN_SQL
+    return f"""WITH products AS ({sql.PRODUCTS}), queries AS ({QUERY_LIST}),
+ hits AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {_ORDER_Q}) AS rank FROM queries JOIN products ON {_HIT_Q}
+  WHERE length(query) >= 3),
+ totals AS (SELECT query, count(*) AS total FROM hits GROUP BY query),
+ shown AS (SELECT query, rank, {columns} FROM hits WHERE rank > {10 * (page - 1)} AND rank <= {10 * page})
+ SELECT q.query, coalesce(total, 0) AS total, CAST(ceil(coalesce(total, 0) / 10.0) AS BIGINT) AS total_pages,
+  shown.* EXCLUDE (query) FROM queries q LEFT JOIN totals USING (query) LEFT JOIN shown USING (query)"""
+
+
+def _many(spark: SparkSession, d: str, page: int) -> DataFrame:
     part = table(spark, d, "part")
     texts = F.array(
-        F.regexp_extract("p_name", "[a-z]+$", 0), F.col("p_brand"), F.lower("p_type"), F.substring("p_type", 2, 3)
+        F.regexp_extract("p_name", "[a-z]+$", 0), F.col("p_brand"), F.lower("p_type"), F.substring("p_type", 2, 3),
+        F.concat("p_name", F.lit("?")), F.substring("p_type", 1, 2),
     )
-    queries = part.select(F.explode(texts).alias("query")).distinct()
-    return ops.search_many(products(spark, d), queries)
+    return ops.search_many(products(spark, d), part.select(F.explode(texts).alias("query")).distinct(), page)
+
+
+@query("search_many", _many_sql(1))
+def search_many(spark: SparkSession, d: str) -> DataFrame:
+    return _many(spark, d, 1)
+
+
+@query("search_many_page", _many_sql(3))
+def search_many_page(spark: SparkSession, d: str) -> DataFrame:
+    return _many(spark, d, 3)
 
 
 @query("point_lookup", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey = 77")

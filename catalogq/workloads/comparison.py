@@ -300,6 +300,20 @@ def _sample(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# An order with few values: the key decides, and there is one row per key however many rows share a place.
+@query(
+    "mapping_sample_ties",
+    f"SELECT k AS key, p AS priority FROM (SELECT {sql.canonical('o_custkey')} AS k, min(o_orderpriority) AS p FROM orders "
+    f"GROUP BY ALL) WHERE k IN (SELECT {sql.canonical('user_id')} FROM events) AND k <> '' ORDER BY p, k LIMIT 100",
+)
+def mapping_sample_ties(spark: SparkSession, d: str) -> DataFrame:
+    rows = mapping.sample_rows(
+        table(spark, d, "orders"), table(spark, d, "events"), "o_custkey", "user_id", ["o_orderpriority"], ["event_type"],
+        ["o_totalprice", "o_orderdate"], ["value"], 100,
+    )
+    return rows.select(F.col("_key").alias("key"), F.col("ref_ord.o_orderpriority").alias("priority"))
+
+
 @query(
     "mapping_sample",
     f"{SAMPLE_SQL} SELECT reference_position, candidate_position, round(CAST(s AS DOUBLE), 6) AS sample_similarity FROM sims",

