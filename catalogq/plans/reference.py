@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from catalogq.functions import variants as v
@@ -18,7 +19,7 @@ from catalogq.functions.ingest import (
 )
 from catalogq.operators.topk import first_per_group
 from catalogq.session import materialize
-from catalogq.sources.tables import limit_valid, line_counts, parse_lines, read_lines
+from catalogq.sources.tables import limit_valid, parse_lines, read_lines
 
 # Description headers with a column of their own, and the clean table's columns.
 DESCRIPTION_COLUMNS = {
@@ -227,7 +228,14 @@ class ReferenceBuild:
     source_rows: int
     invalid_rows: int
     rows_before_dedupe: int
-    profile: DataFrame
+    flat: DataFrame
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        """The quality profile; only computed when it is asked for."""
+        from catalogq.plans.quality import quality_profile
+
+        return quality_profile(self.rows, self.flat, self.source_rows, self.invalid_rows)
 
     @property
     def clean_rows(self) -> int:
@@ -241,20 +249,19 @@ class ReferenceBuild:
 def build_from_lines(lines: DataFrame, limit: int = 0) -> ReferenceBuild:
     """Lines (value, _ord) to the clean table and profile.
 
-    The flattened rows are written once to the shared folder, and so are the kept rows,
-    because the profile, the sinks and any later comparison read them again.
+    The input is parsed once: the lines are counted while the flattened rows are written to
+    the shared folder. The kept rows are written too, because the profile, the sinks and any
+    later comparison read them again.
     """
-    from catalogq.plans.quality import quality_profile
-
     docs = limit_valid(parse_lines(lines), limit)
-    counts = line_counts(docs).first()
-    flat = materialize(reconcile(flatten_products(docs)), "products")
-    kept = materialize(dedupe_written(flat), "kept")
-    before = counts["source_rows"] - counts["invalid_rows"]
-    profile = quality_profile(kept, flat, counts["source_rows"], counts["invalid_rows"])
-    return ReferenceBuild(
-        kept, export_rows(kept), counts["source_rows"], counts["invalid_rows"], before, profile
+    seen = Observation()
+    counted = docs.observe(
+        seen, F.count(F.lit(1)).alias("source_rows"), F.count_if(~F.col("valid")).alias("invalid_rows")
     )
+    flat = materialize(reconcile(flatten_products(counted)), "products")
+    source, invalid = seen.get["source_rows"], seen.get["invalid_rows"]
+    kept = materialize(dedupe_written(flat), "kept")
+    return ReferenceBuild(kept, export_rows(kept), source, invalid, source - invalid, flat)
 
 
 def build_reference(spark: SparkSession, path: str, limit: int = 0) -> ReferenceBuild:

@@ -162,7 +162,7 @@ def _group_lines(spark: SparkSession, d: str) -> DataFrame:
         group(F.when(key % 2 == 0, _lit("Zutaten")).otherwise(_lit(" ")), block),
     )
     text = F.to_json(F.struct(F.struct(groups.alias("descriptionGroups")).alias("product")))
-    orders = table(spark, d, "orders").repartition(spark.sparkContext.defaultParallelism)
+    orders = table(spark, d, "orders")
     return orders.select(text.alias("value"), F.col("o_orderkey").alias("_ord"))
 
 
@@ -534,7 +534,7 @@ def product_lines(spark: SparkSession, d: str) -> DataFrame:
     timeless = F.when(dan % 5 == 0, document(null_text, F.concat(F.lit("timeless "), "name")))
     broken = F.when(dan % 9 == 0, F.substring(newer, 1, 40))
     lines = F.array_compact(F.array(newer, older, timeless, broken, F.when(dan % 10 == 0, " "), F.when(dan % 12 == 0, "[1]")))
-    spread = products(spark, d).repartition(spark.sparkContext.defaultParallelism)
+    spread = products(spark, d)
     return spread.select("dan", F.posexplode(lines).alias("n", "value")).select(
         "value", F.struct("dan", "n").alias("_ord")
     )
@@ -561,7 +561,7 @@ def build_reference(spark: SparkSession, d: str) -> DataFrame:
 @query("export_projection", CLEAN_SQL)
 def export_projection(spark: SparkSession, d: str) -> DataFrame:
     flat = reference.reconcile(reference.flatten_products(tables.parse_lines(product_lines(spark, d))))
-    return reference.export_rows(reference.dedupe_latest(flat))
+    return reference.export_rows(reference.dedupe_written(materialize(flat, "products")))
 
 
 @query(
@@ -594,9 +594,8 @@ def _csv_sql(column: str) -> str:
 
 @query("reference_csv", f"SELECT {', '.join(_csv_sql(c) for c in reference.EXPORT_COLUMNS)} FROM ({CLEAN_SQL})")
 def reference_csv(spark: SparkSession, d: str) -> DataFrame:
-    built = reference.export_rows(
-        reference.dedupe_latest(reference.reconcile(reference.flatten_products(tables.parse_lines(product_lines(spark, d)))))
-    )
+    flat = reference.reconcile(reference.flatten_products(tables.parse_lines(product_lines(spark, d))))
+    built = reference.export_rows(reference.dedupe_written(materialize(flat, "products")))
     path = new_folder(spark, "reference")
-    sinks.write_csv(materialize(built, "export"), path, reference.EXPORT_COLUMNS)
+    sinks.write_csv(built, path, reference.EXPORT_COLUMNS)
     return tables.read_csv(spark, path).drop("_ord")
