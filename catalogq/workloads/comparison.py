@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogq.functions import similarity, text
 from catalogq.operators import align, keymatch, mapping, perturb, profile, scoring
 from catalogq.plans import compare as comparison
-from catalogq.session import materialize
+from catalogq.session import materialize, new_folder
+from catalogq.sources import sinks, tables
 from catalogq.workloads import sql
 from catalogq.workloads.registry import query, table
 from catalogq.workloads.views import candidate, odd_cells, products
@@ -404,31 +405,65 @@ def dataset_score(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _compared(spark: SparkSession, d: str) -> dict:
+def _compared(
+    spark: SparkSession, d: str, kept: Column | None = None, sample_size: int = mapping.DEFAULT_SAMPLE
+) -> dict:
     """A comparison reads its tables several times, so the two views are written first."""
+    other = candidate(spark, d) if kept is None else candidate(spark, d).where(kept)
     return comparison.compare(
         comparison.Table(materialize(products(spark, d), "ref"), ["gtin"], sql.REFERENCE_COLUMNS, "products"),
-        comparison.Table(materialize(candidate(spark, d), "cand"), ["gtin_code"], sql.CANDIDATE_COLUMNS, "candidate"),
+        comparison.Table(materialize(other, "cand"), ["gtin_code"], sql.CANDIDATE_COLUMNS, "candidate"),
+        sample_size,
     )
 
 
-@query(
-    "compare_summary",
-    f"""WITH s AS ({SCORES_SQL}), n AS (SELECT count(*) AS n FROM part)
- SELECT 'ok' AS status, round(sum(similarity) / {len(_EXPECTED)}, 6) AS dataset_similarity_equal_weighted,
-  CAST(1 AS DOUBLE) AS coverage_reference, CAST(1 AS DOUBLE) AS coverage_candidate,
-  round(sum(similarity) / {len(_EXPECTED)}, 6) AS overall_score_with_coverage, any_value(n) AS matched_rows,
-  any_value(n) AS reference_rows, any_value(n) AS candidate_rows, count(*) AS mapped_reference_columns,
-  CAST({len(_EXPECTED)} AS BIGINT) AS reference_columns_total, 'complete' AS key_match_mode,
-  'gtin' AS key_reference_column, 'gtin_code' AS key_candidate_column FROM s, n""",
-)
-def compare_summary(spark: SparkSession, d: str) -> DataFrame:
-    summary = comparison.summary_frame(spark, _compared(spark, d))
-    return summary.withColumns(
+def _summary_sql(status: str, mode: str, condition: str = "true") -> str:
+    scores = SCORES_SQL.replace(f"FROM {PAIRED}", f"FROM (SELECT * FROM {PAIRED} WHERE {condition})")
+    return f"""WITH s AS ({scores}), n AS (SELECT count(*) AS n FROM part),
+ m AS (SELECT count(*) AS m FROM {PAIRED} WHERE {condition}),
+ t AS (SELECT sum(similarity) / {len(_EXPECTED)} AS t, count(*) AS c FROM s)
+ SELECT '{status}' AS status, round(t, 6) AS dataset_similarity_equal_weighted, CAST(m AS DOUBLE) / n AS coverage_reference,
+  CAST(1 AS DOUBLE) AS coverage_candidate, round(t * m / n, 6) AS overall_score_with_coverage, m AS matched_rows,
+  n AS reference_rows, m AS candidate_rows, c AS mapped_reference_columns,
+  CAST({len(_EXPECTED)} AS BIGINT) AS reference_columns_total, '{mode}' AS key_match_mode,
+  'gtin' AS key_reference_column, 'gtin_code' AS key_candidate_column FROM t, n, m"""
+
+
+def _summary(spark: SparkSession, report: dict) -> DataFrame:
+    return comparison.summary_frame(spark, report).withColumns(
         {c: F.round(c, 6) for c in ("dataset_similarity_equal_weighted", "overall_score_with_coverage")}
     )
 
 
+@query("compare_summary", _summary_sql("ok", "complete"))
+def compare_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _summary(spark, _compared(spark, d))
+
+
+@query("compare_all_rows", _summary_sql("ok", "complete"))
+def compare_all_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _summary(spark, _compared(spark, d, sample_size=0))
+
+
+# A candidate that lacks every fourth product.
+@query("compare_partial", _summary_sql("partial_key_match", "partial", "dan_code % 4 <> 0"))
+def compare_partial(spark: SparkSession, d: str) -> DataFrame:
+    return _summary(spark, _compared(spark, d, F.col("dan_code") % 4 != 0))
+
+
+# Both tables through CSV files, as the comparison of two files reads them.
+@query("compare_csv", _summary_sql("ok", "complete"))
+def compare_csv(spark: SparkSession, d: str) -> DataFrame:
+    def through_csv(df: DataFrame, order: str, label: str) -> comparison.Table:
+        path = new_folder(spark, label)
+        sinks.write_csv(df.repartitionByRange(order).sortWithinPartitions(order), path)
+        return tables.csv_table(spark, path, multi_line=False)
+
+    reference = through_csv(products(spark, d).select(*sql.REFERENCE_COLUMNS), "gtin", "csv-reference")
+    other = through_csv(candidate(spark, d).select(*sql.CANDIDATE_COLUMNS), "gtin_code", "csv-candidate")
+    return _summary(spark, comparison.compare(reference, other))
+
+
 @query("compare_report")
 def compare_report(spark: SparkSession, d: str) -> DataFrame:
     report = comparison.report_frame(spark, _compared(spark, d))
