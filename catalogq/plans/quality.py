@@ -199,19 +199,32 @@ def quality_profile(kept: DataFrame, flat: DataFrame, source_rows: int, invalid_
 
 def render_markdown(profile: DataFrame) -> str:
     """The profile as a text report; it has a few hundred lines at most, whatever the data."""
-    rows = profile.collect()
+    sections: dict[str, dict[str, dict[str, str]]] = {s: {} for s in SECTIONS}
+    for r in profile.collect():
+        sections[r["section"]].setdefault(r["item"], {})[r["metric"]] = r["value"]
     text = ["# Product profile", ""]
-    for section in dict.fromkeys(r["section"] for r in rows):
+    for section, entries in sections.items():
+        if not entries:
+            continue
         text.append(f"## {section}")
-        entries: dict[str, list[str]] = {}
-        for r in rows:
-            if r["section"] == section:
-                entries.setdefault(r["item"], []).append(f"{r['metric']}={_shown_number(r['value'])}")
-        text += [f"- {item + ': ' if item else ''}{', '.join(figures)}" for item, figures in entries.items()]
+        for item, figures in sorted(entries.items(), key=lambda e: _place(section, *e)):
+            shown = ", ".join(f"{metric}={_shown_number(value)}" for metric, value in figures.items() if metric != "rank")
+            text.append(f"- {item + ': ' if item else ''}{shown}")
         text.append("")
     return "\n".join(text)
 
 
+SECTIONS = ("shape", "uniqueness", "missing", "time", "numeric", "values", "headers", "prices")
+
+
+def _place(section: str, item: str, figures: dict[str, str]) -> tuple:
+    """Value lists by column and rank, shares and header counts from the largest, all else by name."""
+    if section == "values":
+        return item.split("=", 1)[0], int(figures["rank"])
+    lead = {"missing": "missing_pct", "headers": "count"}.get(section)
+    return (-float(figures[lead] or 0) if lead else 0, item)
+
+
 def _shown_number(value: str | None) -> str:
     """Whole numbers with thousands separators, others with four significant digits."""
     if value is None:

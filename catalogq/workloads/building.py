@@ -599,3 +599,99 @@ def reference_csv(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "reference")
     sinks.write_csv(built, path, reference.EXPORT_COLUMNS)
     return tables.read_csv(spark, path).drop("_ord")
+
+
+# --- the flattened columns outside the export ------------------------------------------------------------
+
+FLATTENED = {
+    "slug": "'o' || o_orderkey",
+    "product_url": "'https://shop.example/p/' || o_orderkey",
+    "detail_api_url": "CASE WHEN o_custkey % 2 = 0 THEN '/api/' || o_orderkey END",
+    "scraped_at_utc": "'2024-03-05T10:00:00Z'",
+    "available_raw": "CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END",
+    "price_raw": "o_custkey || ',99 €'",
+    "product_dan": "CAST(o_custkey AS BIGINT)",
+    "product_self_slug": "o_orderstatus || '-' || o_orderkey",
+    "show_cbm_web": "o_orderkey % 2 = 0",
+    "show_cbm_app": "o_orderkey % 2 = 1",
+    "brand_product_name": "CASE WHEN o_custkey % 7 <> 0 THEN o_orderpriority END",
+    "title_headline": "'Head ' || o_orderpriority",
+    "a11y_label": "o_orderstatus || ' label'",
+    "metadata_canonical": "'/c/' || o_orderkey",
+    "metadata_currency": "CASE WHEN o_custkey % 4 = 0 THEN 'CHF' ELSE 'EUR' END",
+    "metadata_price_eur": "CAST(o_custkey + 0.25 AS DOUBLE)",
+    "metadata_page_title": "'Page ' || o_orderkey",
+    "metadata_is_pharmacy": "o_orderstatus = 'F'",
+    "metadata_description": "CASE WHEN o_custkey % 5 <> 0 THEN 'About ' || o_orderkey END",
+    "net_price_current_eur": "CAST(o_custkey + 0.5 AS DOUBLE)",
+    "gross_not_increased_since": "strftime(o_orderdate, '%Y-%m-%d')",
+    "net_not_increased_since": "CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END",
+    "payback_info": "(o_orderkey % 100) || ' °P sammeln'",
+    "payback_points": "CAST(o_orderkey % 100 AS BIGINT)",
+    "seo_brand": "o_orderpriority",
+    "seo_category": "o_orderstatus || ' > ' || o_orderpriority",
+    "seo_price_eur": "CAST(o_custkey + 0.75 AS DOUBLE)",
+    "seo_price_currency": "'EUR'",
+    "seo_sku": "'sku' || o_orderkey",
+    "breadcrumbs_count": "CAST(4 AS BIGINT)",
+    "breadcrumb_4": "o_orderstatus || ' leaf'",
+    "breadcrumbs_path": "o_orderstatus || ' > ' || o_orderpriority || ' > ' || o_orderstatus || ' leaf'",
+    "metadata_category_codes": "o_orderpriority || '|' || o_orderstatus",
+    "gross_price_infos": "'a ' || o_orderkey || ' | b'",
+    "net_price_infos": "'n'",
+    "eyecatchers_count": "CAST(2 AS BIGINT)",
+    "description_headers_count": "CAST(2 AS BIGINT)",
+    "description_headers": "'Material | Sonstiges'",
+    "description_headers_json": """'["Material","Sonstiges"]'""",
+}
+
+
+def _order_documents(spark: SparkSession, d: str) -> DataFrame:
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    day = F.date_format("o_orderdate", "dd.MM.yyyy")
+    value = lambda x: F.struct(F.struct(x.alias("value")).alias("current"))
+    since = lambda x: F.struct(x.alias("text"))
+    group = lambda name: F.struct(F.lit(name).alias("header"), F.array(F.struct(F.array(priority).alias("texts"))).alias("contentBlock"))
+    seo = F.struct(
+        priority.alias("brand"), text(status, " > ", priority).alias("category"), text("EUR ", customer, ".75").alias("price"),
+        F.lit("EUR").alias("priceCurrency"), text("sku", key).alias("sku"),
+    )
+    metadata = F.struct(
+        text("/c/", key).alias("canonical"), F.when(customer % 4 == 0, "CHF").otherwise("EUR").alias("currency"),
+        (customer + 0.25).cast("double").alias("price"), text("Page ", key).alias("pageTitle"),
+        (status == "F").alias("isPharmacy"), F.when(customer % 5 != 0, text("About ", key)).alias("description"),
+        F.array(priority, priority, status).alias("categoryCodes"),
+    )
+    gross = F.struct(
+        since(text("Preis nicht erhöht seit ", day)).alias("notIncreasedSince"),
+        text(key % 100, " °P sammeln").alias("paybackInfo"), F.array(text("a ", key), F.lit("b")).alias("infos"),
+    )
+    net = F.struct(
+        value(text(customer, ",50 €")).alias("price"), F.array(F.lit(" "), F.lit("n")).alias("infos"),
+        since(F.when(key % 2 == 0, text("seit ", day)).otherwise("seit 45.13.2024")).alias("notIncreasedSince"),
+    )
+    catcher = F.struct(F.lit("eye").alias("text"))
+    product = F.struct(
+        customer.alias("dan"), text(status, "-", key).alias("self"),
+        (key % 2 == 0).alias("showConfidenceBuildingMeasuresWeb"), (key % 2 == 1).alias("showConfidenceBuildingMeasuresApp"),
+        F.struct(F.when(customer % 7 != 0, priority).alias("name")).alias("brand"),
+        F.struct(text("Head ", priority).alias("headline")).alias("title"), text(status, " label").alias("a11yLabel"),
+        metadata.alias("metadata"), gross.alias("price"), net.alias("netPrice"),
+        F.struct(seo.alias("structuredData")).alias("seoInformation"),
+        F.array(status, priority, status, text(status, " leaf")).alias("breadcrumbs"),
+        F.array(catcher, catcher).alias("eyecatchers"), F.array(group("Material"), group("Sonstiges")).alias("descriptionGroups"),
+    )
+    document = F.struct(
+        text("o", key).alias("slug"), text("https://shop.example/p/", key).alias("product_url"),
+        F.when(customer % 2 == 0, text("/api/", key)).alias("detail_api_url"), F.lit("2024-03-05T10:00:00Z").alias("scraped_at_utc"),
+        F.when(key % 3 == 0, True).when(key % 3 == 1, False).alias("available"), text(customer, ",99 €").alias("price"),
+        product.alias("product"),
+    )
+    return table(spark, d, "orders").select(F.to_json(document).alias("value"), key.alias("_ord"))
+
+
+@query("flatten_all", f"SELECT {', '.join(f'{x} AS {c}' for c, x in FLATTENED.items())} FROM orders")
+def flatten_all(spark: SparkSession, d: str) -> DataFrame:
+    return reference.flatten_products(tables.parse_lines(_order_documents(spark, d))).select(*FLATTENED)

@@ -304,8 +304,16 @@ def product_payload(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("product_payload_json")
+# The JSON document of a product, read back: the fields that product_payload doesn't show.
+@query(
+    "product_payload_json",
+    f"""SELECT gtin AS id, CAST(price_eur AS VARCHAR) AS price, '' AS image, '' AS description, {STARS_SQL} AS rating_stars,
+ CASE WHEN rating_count > 0 THEN printf('%d ratings', rating_count) WHEN rating_value > 0 THEN 'Customer reviews available' END
+  AS rating_note FROM ({sql.PRODUCTS})""",
+)
 def product_payload_json(spark: SparkSession, d: str) -> DataFrame:
     from catalogq.sources.sinks import json_payload
 
-    return json_payload(pages.product_payloads(_detailed(spark, d)))
+    payload = json_payload(pages.product_payloads(_detailed(spark, d)))
+    fields = ("id", "price", "image", "description", "rating_stars", "rating_note")
+    return payload.select(*[F.get_json_object("payload", f"$.{f}").alias(f) for f in fields])
