@@ -38,15 +38,21 @@ def first_per_key(rows: DataFrame, prefix: str) -> DataFrame:
 def align_rows(
     reference: DataFrame, candidate: DataFrame, reference_key: str, candidate_key: str,
     reference_order: Sequence[str], candidate_order: Sequence[str],
-    reference_columns: Sequence[str] = (), candidate_columns: Sequence[str] = (),
+    reference_columns: Sequence[str] = (), candidate_columns: Sequence[str] = (), unique: bool = False,
 ) -> DataFrame:
     """(_key, ref_ord, cand_ord, 'ref:…' and 'cand:…' columns): one row per aligned pair.
 
     The partitioning that finds the first row of a key also serves the join, so each
-    side is shuffled once.
+    side is shuffled once. Where the caller has counted that no key repeats (`unique`),
+    the wide rows aren't sorted to find it.
     """
-    left = first_per_key(keyed(reference, reference_key, reference_order, reference_columns, "ref"), "ref")
-    right = first_per_key(keyed(candidate, candidate_key, candidate_order, candidate_columns, "cand"), "cand")
+
+    def rows(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], prefix: str) -> DataFrame:
+        found = keyed(df, key, order, columns, prefix)
+        return found.where("_key is not null") if unique else first_per_key(found, prefix)
+
+    left = rows(reference, reference_key, reference_order, reference_columns, "ref")
+    right = rows(candidate, candidate_key, candidate_order, candidate_columns, "cand")
     return left.join(right, "_key")
 
 

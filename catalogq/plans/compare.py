@@ -224,7 +224,8 @@ def compare(
     scored = {}
     if accepted:
         mapped = [(p["reference_column"], p["candidate_column"]) for p in accepted]
-        aligned = align_rows(*sides, [m[0] for m in mapped], [m[1] for m in mapped])
+        unique = alignment["duplicate_reference_keys"] == 0 == alignment["duplicate_candidate_matches"]
+        aligned = align_rows(*sides, [m[0] for m in mapped], [m[1] for m in mapped], unique)
         scored = {r["reference_column"]: r for r in column_scores(aligned, mapped, cell_similarity).collect()}
     per_column = []
     for name in ref.headers:
