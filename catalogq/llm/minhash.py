@@ -6,9 +6,13 @@
   shares no band with probability (1 - 0.85^5)^32 < 1e-8.
 * Texts with the same set are one class, met once, whatever their number.
 * Buckets are not expanded into pairs. First every member of a bucket is checked against the
-  smallest member; the links found give classes of linked texts. Only where a bucket still
-  holds members of different classes, pairs across classes are checked. Each candidate pair is
-  then either checked or inside one class already, so the components are those of all links.
+  smallest member; the links found give classes of linked texts. Members of buckets that still
+  hold several classes get a second, finer set of keys (FINE_BANDS runs of FINE_ROWS minima: a
+  pair at the threshold shares none with probability 1e-6, texts that only have a passage in
+  common share none as a rule). The members of its mixed buckets are dealt by hash into small
+  hands and checked against the first of their hand, again and again until a deal finds no link;
+  what is then left in buckets of several classes is joined across classes on the rare shingles
+  of each set, which finds all links among these texts.
 * A pair is dropped by signature only if the share of equal minima is DOUBT standard errors
   below the threshold; all others are decided on the whole sets.
 
@@ -20,11 +24,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogq.llm.components import components
-from catalogq.llm.scratch import keep
+from catalogq.llm.scratch import drop, keep, store
 from catalogq.llm.textbatch import (
     list_column,
     lowered,
@@ -39,12 +44,22 @@ from catalogq.llm.textbatch import (
 SHINGLE = 5  # words
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
+FINE_BANDS, FINE_ROWS = 64, 10
+HAND = 4  # members of a mixed bucket that are compared with one of them
 THRESHOLD = 85  # per cent of the union
 DOUBT = 7  # standard errors of the estimate from HASHES minima
 COLUMNS = 2048  # shingles hashed at a time
 
-_DRAWN = np.random.default_rng(8_105).integers(0, 1 << 63, (2, HASHES, 1), dtype=np.uint64)
-_FACTOR, _SHIFT = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
+
+
+def _drawn(seed: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and shifts of universal hash functions x -> factor * x + shift modulo 2^64."""
+    drawn = np.random.default_rng(seed).integers(0, 1 << 63, (2, hashes, 1), dtype=np.uint64)
+    return drawn[0] * np.uint64(2) + np.uint64(1), drawn[1]
+
+
+COARSE = _drawn(8_105, HASHES)
+FINE = _drawn(8_106, FINE_BANDS * FINE_ROWS)
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -65,18 +80,20 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     return sets
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray] = COARSE) -> np.ndarray:
     """The smallest value of each hash function over a set that isn't empty."""
-    least = (shingles[:COLUMNS] * _FACTOR + _SHIFT).min(axis=1)
+    factor, shift = functions
+    least = (shingles[:COLUMNS] * factor + shift).min(axis=1)
     for at in range(COLUMNS, len(shingles), COLUMNS):
-        np.minimum(least, (shingles[at : at + COLUMNS] * _FACTOR + _SHIFT).min(axis=1), out=least)
+        np.minimum(least, (shingles[at : at + COLUMNS] * factor + shift).min(axis=1), out=least)
     return least >> np.uint64(32)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
+def band_keys(least: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One key per band; the band's number is part of it."""
-    rows = mix(least.reshape(BANDS, ROWS) + np.arange(ROWS, dtype=np.uint64) * np.uint64(1 << 40))
-    return mix(rows.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    rows = least.reshape(bands, -1)
+    rows = mix(rows + np.arange(rows.shape[1], dtype=np.uint64) * np.uint64(1 << 40))
+    return mix(rows.sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
 def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -114,6 +131,46 @@ def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def _fine(batch: pa.RecordBatch) -> pa.RecordBatch:
+    sets = batch.column(1)
+    values, ends = sets.flatten().to_numpy().view(np.uint64), np.cumsum(pc.list_value_length(sets).to_numpy())
+    keys = [band_keys(minima(x, FINE), FINE_BANDS) for x in np.split(values, ends[:-1])]
+    bands = list_column(np.concatenate(keys).view(np.int64), np.full(len(keys), FINE_BANDS), pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column(0), bands], ["rep", "bands"])
+
+
+def _buckets(sketches: DataFrame, label: str) -> DataFrame:
+    """(band, leader, rep) of all buckets with several members; the leader is the smallest."""
+    banded = sketches.select("rep", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    return keep(banded.join(shared.select("band", "leader"), "band"), label)
+
+
+def _classed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, rep, class, size) of the buckets that hold several classes of linked texts."""
+    classed = members.join(found, members.rep == found.node, "left").select(
+        "band", "rep", F.coalesce("component", "rep").alias("class")
+    )
+    mixed = classed.groupBy("band").agg(
+        F.min("class").alias("_least"), F.max("class").alias("_last"), F.count("*").alias("size")
+    )
+    return classed.join(mixed.where("_least < _last").select("band", "size"), "band")
+
+
+def _dealt(members: DataFrame, deal: int) -> DataFrame:
+    """Pairs across classes after dealing each bucket's members by hash into hands of about HAND."""
+    hand = F.pmod(F.xxhash64("rep", F.lit(deal)), F.ceil(F.col("size") / HAND))
+    dealt = members.withColumn("hand", hand)
+    leaders = dealt.groupBy("band", "hand").agg(F.min(F.struct("rep", "class")).alias("leader"))
+    pairs = dealt.join(leaders, ["band", "hand"]).where(F.col("class") != F.col("leader.class"))
+    return pairs.select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """The pairs of each member with its bucket's leader."""
+    return members.where("leader < rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; signatures drop the clearly unlike first."""
     share = threshold / 100
@@ -139,22 +196,73 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of members (band, rep, class) of one bucket that lie in different classes."""
-    inside = members.select("band", "class").distinct()
-    mixed = inside.groupBy("band").agg(F.count("*").alias("classes")).where("classes > 1").select("band")
-    inside = inside.join(mixed, "band")
-    couples = inside.select("band", F.col("class").alias("class_a")).join(
-        inside.select("band", F.col("class").alias("class_b")), "band"
-    ).where("class_a < class_b")
-    left = members.select("band", F.col("class").alias("class_a"), F.col("rep").alias("x"))
-    right = members.select("band", F.col("class").alias("class_b"), F.col("rep").alias("y"))
-    return (
-        couples.join(left, ["band", "class_a"])
-        .join(right, ["band", "class_b"])
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
+def _across(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Candidate pairs across the classes of members (rep, class), without loss: prefix and position filter.
+
+    With the shingles of every set in one order, rare ones first, two similar sets share a shingle
+    in their prefixes, and enough shingles can follow the first one they share.
+    """
+    tokens = members.join(sets.select("rep", "shingles"), "rep").select(
+        "rep", "class", F.size("shingles").alias("size"), F.explode("shingles").alias("token")
+    )
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    ordered = tokens.join(counts, "token").groupBy("rep", "class", "size").agg(
+        F.sort_array(F.collect_list(F.struct("n", "token"))).alias("tokens")
     )
+    prefix = F.slice("tokens", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold / 100).cast("int") + 1)
+    first = keep(
+        ordered.select("rep", "class", "size", F.posexplode(prefix).alias("place", "x"))
+        .where("x.n > 1")
+        .select("rep", "class", "size", "place", "x.token"),
+        "prefixes",
+    )
+    side = lambda x: first.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "class", "size", "place")])
+    rest = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))  # places count from 0
+    likely = (
+        (F.col("class_a") < F.col("class_b"))
+        & (F.col("size_a") * threshold <= F.col("size_b") * 100)
+        & (F.col("size_b") * threshold <= F.col("size_a") * 100)
+        & (rest * (100 + threshold) >= (F.col("size_a") + F.col("size_b")) * threshold)
+    )
+    a, b = side("a"), side("b")
+    pairs = a.join(b, (a.token == b.token) & likely)
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+
+def _linked(classes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(node, component) of the classes (rep, bands) that have links; texts has doc_id and text."""
+    members = _buckets(classes, "members")
+    sets = keep(
+        over_texts(
+            texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"),
+            _sets,
+            "rep long, signature array<int>, shingles array<long>",
+        ),
+        "sets",
+    )
+    stars = _stars(members)
+    first = keep(components(_verified(stars, sets, threshold)), "first")
+    mixed = _classed(members, first).select("rep").distinct()
+    fine = _buckets(
+        over_texts(sets.select("rep", "shingles").join(mixed, "rep", "left_semi"), _fine, "rep long, bands array<long>"),
+        "fine",
+    )
+    now, deal = first, 0
+    while True:
+        classed, classed_path = store(_classed(fine, now), "classed")
+        links, links_path = store(_verified(_dealt(classed, deal), sets, threshold), "links")
+        if links.isEmpty():
+            break
+        now, deal = keep(components(_tied(now).union(links)), "dealt"), deal + 1
+        drop(fine.sparkSession, classed_path)
+        drop(fine.sparkSession, links_path)
+    left = classed.select("rep", "class").distinct()
+    return components(_tied(now).union(_verified(_across(left, sets, threshold), sets, threshold)))
+
+
+def _tied(found: DataFrame) -> DataFrame:
+    """Components as edges."""
+    return found.select(F.col("component").alias("a"), F.col("node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -174,30 +282,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     classes = keep(
         usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes"
     )
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    members = keep(banded.join(shared.select("band", "leader"), "band"), "members")
-    candidates = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = keep(
-        over_texts(
-            plain.join(candidates, "doc_id", "left_semi"), _sets, "rep long, signature array<int>, shingles array<long>"
-        ),
-        "sets",
-    )
-    stars = members.where("leader < rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = keep(_verified(stars, sets, threshold), "links")
-    first = keep(components(links), "first")
-    known = members.join(first, members.rep == first.node, "left").select(
-        "band", "rep", F.coalesce("component", "rep").alias("class")
-    )
-    untested = _across(known).join(stars, ["a", "b"], "left_anti")
-    more = _verified(untested, sets, threshold)
+    found = _tied(_linked(classes, plain, threshold))
     # A document id with several texts ties their classes together.
     owners = usable.join(classes.select(*same, "rep"), same).select("doc_id", "rep").distinct()
     split = owners.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_last")).where("a < _last")
     repeated = owners.join(split, "doc_id").select("a", F.col("rep").alias("b"))
-    found = first.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    final = keep(components(found.union(more).union(repeated)), "final")
+    final = keep(components(found.union(repeated)), "final")
     named = classes.select(*same, "rep").join(final, classes.rep == final.node, "left").select(
         *same, F.coalesce("component", "rep").alias("component")
     )
