@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -183,10 +184,10 @@ class Lattice:
             bits[hashes >> np.uint64(46)] = True
             self.tables.append((hashes[order], ids, scores, bits))
 
-    def encode(self, words: list) -> list:
-        """The ids of each word, as lists."""
+    def encode(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids in a row, number of ids of each word)."""
         if not words:
-            return []
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         sizes = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(sizes)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -237,19 +238,33 @@ class Lattice:
             keep_first = np.r_[True, target[1:] != target[:-1]]
             best[target[keep_first]] = top
             chosen[target[keep_first]] = winner[keep_first] + low
-        out = []
-        start, piece, chosen = start.tolist(), piece.tolist(), chosen.tolist()
-        for word, end, size in zip(words, ends.tolist(), sizes.tolist()):
-            begin, place, path = end - size, end, []
-            while place > begin:
-                edge = chosen[place]
-                i, place = piece[edge], start[edge]
-                if i >= 0:
-                    path.append(i)
-                else:
-                    path += reversed(fallback(self.pieces, word[place - begin]))
-            out.append(path[::-1])
-        return out
+        # Back from the ends of all words at once; each step takes the last piece of what is left.
+        place, number = ends.copy(), np.arange(len(words))
+        steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(number):
+            edge = chosen[place]
+            place = start[edge]
+            steps.append((number, piece[edge], place))
+            more = place > (ends - sizes)[number]
+            place, number = place[more], number[more]
+        owner, taken, begin = (np.concatenate(x)[::-1] for x in zip(*steps))
+        order = np.argsort(owner, kind="stable")
+        owner, taken, begin = owner[order], taken[order], begin[order]
+        spare = np.flatnonzero(taken < 0)
+        if not len(spare):
+            return taken.astype(np.int32), np.bincount(owner, minlength=len(words))
+        lists = [fallback(self.pieces, chr(int(codes[i]))) for i in begin[spare]]
+        counts = np.ones(len(taken), np.int64)
+        counts[spare] = [len(x) for x in lists]
+        flat = np.repeat(taken, counts)
+        flat[flat < 0] = [i for x in lists for i in x]
+        return flat.astype(np.int32), np.bincount(owner, counts, len(words)).astype(np.int64)
+
+    def encode_lists(self, words: list) -> list:
+        """The ids of each word, as lists."""
+        flat, counts = self.encode(words)
+        bounds = np.cumsum([0, *counts])
+        return [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
 
 
 # Texts
@@ -264,39 +279,30 @@ class WordStore:
 
     def reset(self) -> None:
         self.known = {w: i for i, w in enumerate(self.words)}
-        self.lists = list(self.ids)
-        self.pack()
-
-    def pack(self) -> None:
-        counts = np.fromiter(map(len, self.lists), np.int64, len(self.lists))
-        self.counts, self.ends = counts, np.cumsum(counts)
-        self.flat = np.fromiter((i for x in self.lists for i in x), np.int32, int(counts.sum()))
+        self.counts = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
+        self.ends = np.cumsum(self.counts)
+        self.flat = np.fromiter(chain.from_iterable(self.ids), np.int32, int(self.counts.sum()))
 
     def extend(self, fresh: list) -> None:
-        lists = self.lattice.encode(fresh)
-        self.known.update(zip(fresh, range(len(self.lists), len(self.lists) + len(fresh))))
-        self.lists += lists
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        before = self.ends[-1] if len(self.ends) else 0
+        flat, counts = self.lattice.encode(fresh)
+        self.known.update(zip(fresh, range(len(self.counts), len(self.counts) + len(fresh))))
+        self.ends = np.concatenate([self.ends, len(self.flat) + np.cumsum(counts)])
         self.counts = np.concatenate([self.counts, counts])
-        self.ends = np.concatenate([self.ends, before + np.cumsum(counts)])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in lists for i in x), np.int32, int(counts.sum()))])
+        self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in a row, number of ids of each text) for lists of words."""
         if len(self.known) > len(self.words) + REMEMBERED:
             self.reset()
-        known = self.known
-        fresh = list(dict.fromkeys(w for t in texts for w in t if w not in known))
+        fresh = set(chain.from_iterable(texts)).difference(self.known)
         if fresh:
-            self.extend(fresh)
-        at = np.fromiter((known[w] for t in texts for w in t), np.int64, sum(map(len, texts)))
+            self.extend(list(fresh))
+        sizes = [len(t) for t in texts]
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64, sum(sizes))
         counts = self.counts[at]
         total = np.cumsum(counts)
         places = np.repeat(self.ends[at] - total, counts) + np.arange(int(total[-1]) if len(total) else 0)
-        bounds = np.cumsum([0, *map(len, texts)])
-        sums = np.concatenate([[0], total])
-        return self.flat[places], np.diff(sums[bounds])
+        return self.flat[places], np.diff(np.concatenate([[0], total])[np.cumsum([0, *sizes])])
 
 
 def _counts(words_of):
