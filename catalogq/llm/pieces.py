@@ -222,7 +222,10 @@ class Lattice:
         start, stop, piece, score = map(np.concatenate, (starts, stops, ids, scores))
         # Edges by the place in the word where they end; of equal paths the earliest start wins.
         depth = stop - base[start]
-        order = np.lexsort((start, stop, depth))
+        # Sorted by (depth, stop, start): runs of one piece size are in order already, and few depths repeat.
+        order = np.argsort(stop * 4096 - (stop - start), kind="stable")
+        few = depth.max() < 1 << 16
+        order = order[np.argsort(depth[order].astype(np.uint16 if few else np.int64), kind="stable")]
         start, stop, piece, score, depth = (x[order] for x in (start, stop, piece, score, depth))
         best = np.zeros(len(codes) + 1)  # best score of the part of a word before a place; 0 at its start
         chosen = np.zeros(len(codes) + 1, np.int64)  # the edge into a place
