@@ -243,10 +243,8 @@ def _linked(classes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     stars = _stars(members)
     first = keep(components(_verified(stars, sets, threshold)), "first")
     mixed = _classed(members, first).select("rep").distinct()
-    fine = _buckets(
-        over_texts(sets.select("rep", "shingles").join(mixed, "rep", "left_semi"), _fine, "rep long, bands array<long>"),
-        "fine",
-    )
+    again = sets.select("rep", "shingles").join(mixed, "rep", "left_semi")
+    fine = _buckets(keep(over_texts(again, _fine, "rep long, bands array<long>"), "fine-sketches"), "fine")
     now, deal = first, 0
     while True:
         classed, classed_path = store(_classed(fine, now), "classed")
