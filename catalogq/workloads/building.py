@@ -162,10 +162,15 @@ def _group_lines(spark: SparkSession, d: str) -> DataFrame:
         group(F.when(key % 2 == 0, _lit("Zutaten")).otherwise(_lit(" ")), block),
     )
     text = F.to_json(F.struct(F.struct(groups.alias("descriptionGroups")).alias("product")))
-    orders = table(spark, d, "orders")
+    orders = _spread(spark, table(spark, d, "orders"))
     return orders.select(text.alias("value"), F.col("o_orderkey").alias("_ord"))
 
 
+def _spread(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows dealt to as many tasks as the session's shuffles have: the documents made from them are far larger."""
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 BLOCK_SQL = (
     "concat_ws(chr(10), o_orderstatus, 'text', o_orderpriority, 'more', '/o/' || o_orderkey, "
     "o_orderstatus || ': ' || o_orderpriority, 'alone', "
@@ -534,7 +539,7 @@ def product_lines(spark: SparkSession, d: str) -> DataFrame:
     timeless = F.when(dan % 5 == 0, document(null_text, F.concat(F.lit("timeless "), "name")))
     broken = F.when(dan % 9 == 0, F.substring(newer, 1, 40))
     lines = F.array_compact(F.array(newer, older, timeless, broken, F.when(dan % 10 == 0, " "), F.when(dan % 12 == 0, "[1]")))
-    spread = products(spark, d)
+    spread = _spread(spark, products(spark, d))
     return spread.select("dan", F.posexplode(lines).alias("n", "value")).select(
         "value", F.struct("dan", "n").alias("_ord")
     )
