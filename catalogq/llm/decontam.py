@@ -1,13 +1,16 @@
 """Benchmark passages in documents, also where numbers, names or units were exchanged.
 
 Words are brought to a template: numbers, names (capitalised inside a sentence) and units become
-typed placeholders, other words lose case and punctuation. Windows of WINDOW template words are
-hash-joined with those of the benchmark; an item shorter than that is one window of its length
-(items under LEAST_WORDS words are not searched). Matched windows that lie on one diagonal of
-document and item belong together. A document holds an item if the matched windows cover at
-least COVER of the item's words and the slots agree: AGREE of the item's values stand for one value
-of the document and the other way round, or AGREE of the slots are unchanged. Re-parameterised
-copies thus match, while text that only shares a template does not.
+typed placeholders, other words lose case and punctuation. A run of names or of numbers is one placeholder,
+so values may change their number of words. Windows of WINDOW words or placeholders are
+hash-joined with those of the benchmark; an item shorter than that is one window of its length, and
+one shorter than two windows has windows of LEAST_WORDS too (items under LEAST_WORDS words are
+not searched). Matched windows whose diagonals (position in
+the document minus position in the item) follow each other within a few words are one stretch,
+so words may be added or dropped inside a copy. A document holds an item if the matched windows
+of a stretch cover at least COVER of the item's words and the slots agree: AGREE of the slots are unchanged, or AGREE of the item's values stand for one value of
+the document and the other way round. Re-parameterised copies thus match, while text that only shares a
+template does not.
 
 The tasks that read documents pass on only windows whose hash is in a bitmap of FILTER_BITS bits
 made from the benchmark, so its size is fixed; the join decides.
@@ -15,9 +18,12 @@ made from the benchmark, so its size is fixed; the join decides.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogq.llm.scratch import keep
@@ -34,6 +40,7 @@ from catalogq.llm.textbatch import (
 
 WINDOW, LEAST_WORDS = 8, 5
 COVER, AGREE = 0.6, 0.9
+SLACK = 8  # words (or a quarter of the item) between the diagonals of one stretch
 FILTER_BITS = 22
 
 # Units as they follow a number.
@@ -66,13 +73,45 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
-def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template hash, kind, value hash) per word with letters or digits, and where each text's words begin.
+class _Read(NamedTuple):
+    value: np.ndarray  # hash of each word with letters or digits
+    number: np.ndarray
+    unit: np.ndarray
+    capital: np.ndarray
+    opening: np.ndarray  # the word opens a sentence
+    owner: np.ndarray
+    first: np.ndarray  # where each text's words begin
 
-    kind is 0 for a plain word, 1 number, 2 name, 3 unit; value is the word's own hash.
-    """
+
+class _Stream(NamedTuple):
+    token: np.ndarray  # hash of each word or placeholder
+    kind: np.ndarray
+    value: np.ndarray
+    begin: np.ndarray  # the words of its text it stands for
+    end: np.ndarray
+    owner: np.ndarray
+    first: np.ndarray
+
+
+def _values(texts: pa.Array) -> np.ndarray:
+    """The hash of each word with letters or digits, from the bytes that count."""
+    data, offsets = text_bytes(texts)
+    held = _KEPT[data]
+    words = split_words(data, offsets)
+    counted = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(held, out=counted[1:])
+    starts, ends = counted[words.starts], counted[words.ends]
+    real = ends > starts
+    return span_hashes(lowered(data)[held], starts[real], ends[real])
+
+
+def _folded(texts: pa.Array) -> pa.Array:
+    """In lower case, also beyond ASCII; the capital of a sharp s is two letters."""
+    return pc.replace_substring(pc.utf8_lower(texts.cast(pa.large_string())), "ß", "ss")
+
+
+def _read(texts: pa.Array) -> _Read:
     data, offsets = text_bytes(texts)
-    small = lowered(data)
     # Words without the bytes that don't count: those are taken out before hashing.
     held = _KEPT[data]
     gap = _SPACE[data]
@@ -81,7 +120,7 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     np.cumsum(held, out=counted[1:])
     starts, ends = counted[words.starts], counted[words.ends]
     real = np.flatnonzero(ends > starts)
-    value = span_hashes(small[held], starts[real], ends[real])
+    value = _values(_folded(texts) if (data >= 128).any() else texts)
     digits = np.zeros(len(data) + 1, np.int32)
     np.cumsum(_DIGIT[data], out=digits[1:])
     begin, end = words.starts[real], words.ends[real]
@@ -99,72 +138,113 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         np.cumsum(_STOP[data] | ((data == 10) & gap), out=stops[1:])
         inside = stops[begin[1:]] == stops[letter[:-1]]  # no stop between the last word's first letter and this word
         opening[1:] = ~inside | (owner[1:] != owner[:-1])
-    name = capital & ~opening & ~number
     unit = np.zeros(len(real), bool)
     if len(real):
         at = np.minimum(np.searchsorted(_UNITS, value), len(_UNITS) - 1)
         known = _UNITS[at] == value
         unit[1:] = known[1:] & number[:-1] & (owner[1:] == owner[:-1])
-    kind = np.where(number, 1, np.where(unit, 3, np.where(name, 2, 0)))
-    template = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
-    return mix(template), kind, value, np.searchsorted(owner, np.arange(len(offsets)))
-
-
-def _rows(texts: pa.Array, sizes: list[int], whole: bool, bits: np.ndarray | None) -> dict[str, np.ndarray]:
-    """Windows of the given sizes with their slots; whole: sizes below WINDOW only for texts of that length."""
-    template, kind, value, first = templates(texts)
-    lengths = np.diff(first)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    found = {"row": [], "at": [], "size": [], "hash": []}
-    for size in sizes:
-        hashes = mix(window_hashes(template, size) + np.uint64(size))
-        n = len(hashes)
-        if not n:
-            continue
-        good = owner[:n] == owner[size - 1 : size - 1 + n]
-        if whole and size < WINDOW:
-            good &= lengths[owner[:n]] == size
-        if bits is not None:
-            good &= bits[hashes >> np.uint64(64 - FILTER_BITS)]
-        at = np.flatnonzero(good)
-        found["row"].append(owner[at])
-        found["at"].append(at - first[owner[at]])
-        found["size"].append(np.full(len(at), size))
-        found["hash"].append(hashes[at])
-    kinds = {"row": np.int64, "at": np.int64, "size": np.int64, "hash": np.uint64}
-    out = {k: np.concatenate([np.zeros(0, kinds[k]), *v]) for k, v in found.items()}
-    out["kind"], out["value"], out["first"], out["lengths"] = kind, value, first, lengths
-    return out
+    return _Read(value, number, unit, capital, opening, owner, np.searchsorted(owner, np.arange(len(offsets))))
+
+
+def _typed(read: _Read, openings: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(template hash, kind) of each word; openings: a capital makes a name also where a sentence opens."""
+    name = read.capital & ~read.number & (openings | ~read.opening)
+    kind = np.where(read.number, 1, np.where(read.unit, 3, np.where(name, 2, 0)))
+    template = np.where(
+        read.number, _NUMBER, np.where(read.unit, _UNIT, np.where(name, _NAME, read.value))
+    )
+    return mix(template), kind
+
+
+def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template hash, kind, value hash) per word with letters or digits, and where each text's words begin.
+
+    kind is 0 for a plain word, 1 number, 2 name, 3 unit; value is the word's own hash.
+    """
+    read = _read(texts)
+    return *_typed(read, False), read.value, read.first
+
+
+def _streams(read: _Read) -> list[_Stream]:
+    """The template words, with runs of names or numbers as one."""
+    n, texts = len(read.value), np.arange(len(read.first))
+    at = np.arange(n) - read.first[read.owner]
+    streams = []
+    for openings in (False,):
+        template, kind = _typed(read, openings)
+        head = np.ones(n, bool)
+        head[1:] = (kind[1:] != kind[:-1]) | (read.owner[1:] != read.owner[:-1]) | ((kind[1:] != 1) & (kind[1:] != 2))
+        heads = np.flatnonzero(head)
+        run = np.cumsum(head) - 1
+        inside = (np.arange(n) - heads[run]).astype(np.uint64) if n else read.value
+        value = np.add.reduceat(mix(read.value + inside), heads) if n else read.value
+        owner = read.owner[heads]
+        size = np.diff(np.append(heads, n))
+        streams.append(
+            _Stream(template[heads], kind[heads], value, at[heads], at[heads] + size, owner, np.searchsorted(owner, texts))
+        )
+    return streams
 
 
 def _window_batch(batch: pa.RecordBatch, sizes: list[int], whole: bool, bits: np.ndarray | None) -> pa.RecordBatch:
-    found = _rows(batch.column(1), sizes, whole, bits)
-    row, at, size = (found[k].astype(np.int64) for k in ("row", "at", "size"))
-    # The values of the slots inside each window, in order; plain words give no entry.
-    starts = found["first"][row] + at
-    slots = np.flatnonzero(found["kind"])
-    low, high = np.searchsorted(slots, starts), np.searchsorted(slots, starts + size)
-    counts = high - low
-    index = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    values = found["value"][slots[index]] if len(index) else found["value"][:0]
+    """Windows of the given sizes with their slots; whole: only the sizes that a text of the benchmark is asked by.
+
+    These are WINDOW, or a shorter text's own length; LEAST_WORDS besides for a text in which a
+    word added in the middle leaves no window of WINDOW.
+    """
+    read = _read(batch.column(1))
+    words = np.diff(read.first)
+    names = ("row", "at", "stop", "size", "exact", "hash", "counts", "places", "kinds", "slots")
+    found: dict[str, list] = {k: [] for k in names}
+    for number, stream in enumerate(_streams(read)):
+        lengths = np.diff(stream.first)
+        typed = np.flatnonzero(stream.kind)
+        for size in sizes:
+            hashes = mix(window_hashes(stream.token, size) + np.uint64(size + 64 * number))
+            n = len(hashes)
+            if not n:
+                continue
+            good = stream.owner[:n] == stream.owner[size - 1 : size - 1 + n]
+            if whole and size < WINDOW:
+                short = lengths[stream.owner[:n]]
+                good &= (short == size) | ((size == LEAST_WORDS) & (short < 2 * WINDOW))
+            if bits is not None:
+                good &= bits[hashes >> np.uint64(64 - FILTER_BITS)]
+            at = np.flatnonzero(good)
+            # The slots inside each window, in order; plain words give no entry.
+            low, high = np.searchsorted(typed, at), np.searchsorted(typed, at + size)
+            counts = high - low
+            index = typed[np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
+            parts = (
+                stream.owner[at], stream.begin[at], stream.end[at + size - 1], np.full(len(at), size),
+                np.zeros(len(at), bool), hashes[at].view(np.int64), counts, stream.begin[index],
+                stream.kind[index], stream.value[index].view(np.int64),
+            )
+            for k, part in zip(names, parts):
+                found[k].append(part)
+    out = {k: np.concatenate([np.zeros(0, bool if k == "exact" else np.int64), *v]) for k, v in found.items()}
+    lists = [list_column(out[k], out["counts"], pa.int64()) for k in ("places", "kinds", "slots")]
     return pa.RecordBatch.from_arrays(
         [
-            batch.column(0).take(pa.array(row)),
-            pa.array(at),
-            pa.array(size),
-            pa.array(found["lengths"][row]),
-            pa.array(found["hash"].view(np.int64)),
-            list_column(values.view(np.int64), counts, pa.int64()),
+            batch.column(0).take(pa.array(out["row"])),
+            *[pa.array(out[k]) for k in ("at", "stop", "size")],
+            pa.array(words[out["row"]]),
+            pa.array(out["exact"]),
+            pa.array(out["hash"]),
+            *lists,
         ],
-        ["id", "at", "size", "words", "hash", "slots"],
+        ["id", "at", "stop", "size", "words", "exact", "hash", "places", "kinds", "slots"],
     )
 
 
-_SCHEMA = "id long, at long, size long, words long, hash long, slots array<long>"
+_SCHEMA = (
+    "id long, at long, stop long, size long, words long, exact boolean, hash long, places array<long>, "
+    "kinds array<long>, slots array<long>"
+)
 
 
 def windows(texts: DataFrame, sizes: list[int], whole: bool = False, bits: np.ndarray | None = None) -> DataFrame:
-    """(id, at, size, words, hash, slots) of all template windows of (id, text)."""
+    """All windows of (id, text): the words at to stop, and the places, kinds and values of their slots."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)  # a bitmap of fixed size
 
     def apply(batches):
@@ -175,6 +255,20 @@ def windows(texts: DataFrame, sizes: list[int], whole: bool = False, bits: np.nd
     return texts.mapInArrow(apply, _SCHEMA)
 
 
+def _covered(spans: Column) -> Column:
+    """How many words sorted spans (item_at, item_stop) cover."""
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("covered"))
+    fresh = lambda s, x: F.greatest(x["item_stop"] - F.greatest(s["end"], x["item_at"]), F.lit(0))
+    return F.aggregate(
+        spans,
+        start,
+        lambda s, x: F.struct(
+            F.greatest(s["end"], x["item_stop"]).alias("end"), (s["covered"] + fresh(s, x)).alias("covered")
+        ),
+        lambda s: s["covered"],
+    )
+
+
 def _bitmap(hashes: DataFrame) -> np.ndarray:
     """Which leading bits occur among the hashes; at most 2^FILTER_BITS places come back."""
     top = F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("top")
@@ -205,44 +299,61 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     seen = windows(texts, present, bits=_bitmap(asked))
     item = asked.select(
-        "hash", "size", F.col("id").alias("item_id"), F.col("at").alias("item_at"), "words", F.col("slots").alias("item_slots")
+        "hash", "size", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("stop").alias("item_stop"),
+        "words", "exact", "places", "kinds", F.col("slots").alias("item_slots"),
     )
-    met = seen.drop("words").withColumnRenamed("id", "doc_id").join(item, ["hash", "size"])
-    # Windows of one copy lie on one diagonal.
+    met = seen.select("hash", "size", F.col("id").alias("doc_id"), "at", "slots").join(item, ["hash", "size"])
     met = keep(met.withColumn("diagonal", F.col("at") - F.col("item_at")), "met")
-    one = ["doc_id", "item_id", "diagonal"]
-    spans = met.groupBy(*one).agg(
-        F.first("words").alias("words"), F.array_sort(F.collect_set(F.struct("item_at", "size"))).alias("spans")
-    )
-    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("covered"))
-    covered = F.aggregate(
-        "spans",
-        start,
-        lambda s, x: F.struct(
-            F.greatest(s["end"], x["item_at"] + x["size"]).alias("end"),
-            (s["covered"] + F.greatest(x["item_at"] + x["size"] - F.greatest(s["end"], x["item_at"]), F.lit(0))).alias(
-                "covered"
-            ),
-        ),
-        lambda s: s["covered"],
+    # Windows of one copy lie on diagonals that follow each other closely.
+    pair = ["doc_id", "item_id"]
+    order = Window.partitionBy(*pair).orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(order) > F.greatest(F.lit(SLACK), F.col("words") / 4)
+    stretches = (
+        met.select(*pair, "diagonal", "words").distinct()
+        .withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
+        .select(*pair, "diagonal", F.sum("apart").over(order).alias("stretch"))
     )
-    coverage = spans.select(*one, (covered / F.col("words")).alias("coverage")).where(F.col("coverage") >= COVER)
-    pairs = met.join(coverage, one, "left_semi").select(
-        *one, F.explode(F.arrays_zip("item_slots", "slots")).alias("pair")
-    ).groupBy(*one, "pair.item_slots", "pair.slots").agg(F.count("*").alias("n"))
-    steady = lambda side: pairs.groupBy(*one, side).agg(F.count("*").alias("partners")).groupBy(*one).agg(
-        F.avg(F.when(F.col("partners") == 1, 1.0).otherwise(0.0)).alias("agreement")
+    one = [*pair, "stretch"]
+    met = met.join(stretches, [*pair, "diagonal"])
+    span = F.struct("item_at", "item_stop")
+    coverage = (
+        met.groupBy(*one)
+        .agg(
+            F.first("words").alias("words"),
+            F.array_sort(F.collect_set(span)).alias("spans"),
+            F.array_sort(F.collect_set(F.when(F.col("exact"), span))).alias("plain"),
+        )
+        .select(*one, "words", _covered(F.col("spans")).alias("covered"), (_covered(F.col("plain")) / F.col("words")).alias("exact"))
+        .withColumn("coverage", F.col("covered") / F.col("words"))
+        .where(F.col("coverage") >= COVER)
     )
-    unchanged = pairs.groupBy(*one).agg(
-        (F.sum(F.when(F.col("item_slots") == F.col("slots"), F.col("n")).otherwise(0)) / F.sum("n")).alias("same")
+    # Each slot of the item with the value that most windows set against it.
+    slots = (
+        met.join(coverage.select(*one), one, "left_semi")
+        .select(*one, F.explode(F.arrays_zip("places", "kinds", "item_slots", "slots")).alias("s"))
+        .groupBy(*one, "s.places", "s.kinds", "s.item_slots", "s.slots").agg(F.count("*").alias("n"))
+        .groupBy(*one, "places")
+        .agg(F.max(F.struct("n", "kinds", "item_slots", "slots")).alias("s"))
+        .select(*one, "places", "s.kinds", "s.item_slots", "s.slots")
     )
+    # Judged: every distinct value, in both directions.
+    sides = [slots.withColumn("own", F.col("item_slots")).withColumn("other", F.col("slots")).withColumn("side", F.lit(0))]
+    sides.append(slots.withColumn("own", F.col("slots")).withColumn("other", F.col("item_slots")).withColumn("side", F.lit(1)))
     agreed = (
-        steady("item_slots").union(steady("slots")).groupBy(*one).agg(F.min("agreement").alias("agreement"))
-        .join(unchanged, one).select(*one, F.greatest("agreement", "same").alias("agreement"))
+        sides[0].unionByName(sides[1]).groupBy(*one, "side", "own").agg(F.count_distinct("other").alias("partners"))
+        .groupBy(*one, "side").agg(F.avg(F.when(F.col("partners") == 1, 1.0).otherwise(0.0)).alias("steady"))
+        .groupBy(*one).agg(F.min("steady").alias("steady"))
+    )
+    unchanged = slots.groupBy(*one).agg(
+        F.avg(F.when(F.col("item_slots") == F.col("slots"), 1.0).otherwise(0.0)).alias("same")
     )
     # Without slots there is nothing to disagree on.
-    judged = coverage.join(agreed, one, "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0)))
-    return judged.where(F.col("agreement") >= AGREE).groupBy("doc_id", "item_id").agg(
+    judged = (
+        coverage.join(agreed.join(unchanged, one), one, "left")
+        .withColumn("agreement", F.coalesce(F.greatest("steady", "same"), F.lit(1.0)))
+        .where((F.col("agreement") >= AGREE) | (F.col("exact") >= COVER))
+    )
+    return judged.groupBy("doc_id", "item_id").agg(
         F.max("coverage").alias("coverage"), F.max("agreement").alias("agreement")
     )
 

@@ -36,6 +36,16 @@ def test_copies_and_new_parameters_are_caught(spark):
     assert leaks(spark, docs, [(1, ITEM)]) == [(1, 1), (2, 1), (3, 1)]
 
 
+def test_added_dropped_and_longer_words_are_caught(spark):
+    words = ITEM.split()
+    docs = [
+        (1, " ".join([*words[:11], "really", *words[11:]])),
+        (2, " ".join([*words[:10], *words[11:]])),
+        (3, "so " + ITEM.replace("Tom", "Mary Ann").replace("12", "1 000")),
+    ]
+    assert leaks(spark, docs, [(1, ITEM)]) == [(1, 1), (2, 1), (3, 1)]
+
+
 def test_odd_rows(spark):
     item = "alpha beta gamma delta epsilon zeta"
     docs = [
