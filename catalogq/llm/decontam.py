@@ -1,14 +1,16 @@
 """Benchmark passages in documents, also where numbers, names or units were exchanged.
 
-Words are brought to a template: numbers, names (capitalised inside a sentence) and units become
-typed placeholders, other words lose case and punctuation. A run of names or of numbers is one placeholder,
+A text is read in three ways: as plain words (without case and punctuation), and twice as a
+template, in which numbers, names and units become typed placeholders; a capital that opens a
+sentence makes a name in one of the two only. A run of names or of numbers is one placeholder,
 so values may change their number of words. Windows of WINDOW words or placeholders are
 hash-joined with those of the benchmark; an item shorter than that is one window of its length, and
 one shorter than two windows has windows of LEAST_WORDS too (items under LEAST_WORDS words are
 not searched). Matched windows whose diagonals (position in
 the document minus position in the item) follow each other within a few words are one stretch,
 so words may be added or dropped inside a copy. A document holds an item if the matched windows
-of a stretch cover at least COVER of the item's words and the slots agree: AGREE of the slots are unchanged, or AGREE of the item's values stand for one value of
+of a stretch cover at least COVER of the item's words and the slots agree: plain windows alone
+reach COVER, or AGREE of the slots are unchanged, or AGREE of the item's values stand for one value of
 the document and the other way round. Re-parameterised copies thus match, while text that only shares a
 template does not.
 
@@ -166,11 +168,11 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _streams(read: _Read) -> list[_Stream]:
-    """The template words, with runs of names or numbers as one."""
+    """The plain words, and the template words of both typings with runs of names or numbers as one."""
     n, texts = len(read.value), np.arange(len(read.first))
     at = np.arange(n) - read.first[read.owner]
-    streams = []
-    for openings in (False,):
+    streams = [_Stream(mix(read.value), np.zeros(n, np.int64), read.value, at, at + 1, read.owner, read.first)]
+    for openings in (False, True):
         template, kind = _typed(read, openings)
         head = np.ones(n, bool)
         head[1:] = (kind[1:] != kind[:-1]) | (read.owner[1:] != read.owner[:-1]) | ((kind[1:] != 1) & (kind[1:] != 2))
@@ -217,7 +219,7 @@ def _window_batch(batch: pa.RecordBatch, sizes: list[int], whole: bool, bits: np
             index = typed[np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
             parts = (
                 stream.owner[at], stream.begin[at], stream.end[at + size - 1], np.full(len(at), size),
-                np.zeros(len(at), bool), hashes[at].view(np.int64), counts, stream.begin[index],
+                np.full(len(at), number == 0), hashes[at].view(np.int64), counts, stream.begin[index],
                 stream.kind[index], stream.value[index].view(np.int64),
             )
             for k, part in zip(names, parts):

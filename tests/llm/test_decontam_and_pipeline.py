@@ -46,6 +46,25 @@ def test_added_dropped_and_longer_words_are_caught(spark):
     assert leaks(spark, docs, [(1, ITEM)]) == [(1, 1), (2, 1), (3, 1)]
 
 
+def test_copies_in_any_case_are_caught(spark):
+    short = "Anna has 3 apples. Anna gets 5 pears. Anna sells 2 plums. Who buys them from Anna?"
+    docs = [
+        (1, ITEM.upper()), (2, ITEM.title()), (3, ITEM.lower()), (4, "so " + ITEM.upper() + " it is"),
+        (5, short.replace("Anna", "Tim").replace("3", "8")),
+    ]
+    assert leaks(spark, docs, [(1, ITEM), (2, short)]) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)]
+
+
+def test_changed_copies_of_the_benchmark_are_found(spark, sf_dir):
+    sf_dir = sf_dir.replace("0.001", "0.1")
+    items = duckdb.sql(f"SELECT DISTINCT item_id, text FROM '{sf_dir}/benchmark.parquet'").fetchall()
+    middle = lambda t, n: t.split()[: len(t.split()) // 2] + n + t.split()[len(t.split()) // 2 :]
+    changed = [lambda t: " ".join(middle(t, ["really"])), str.upper, str.lower, str.title]
+    docs = [(i * 10 + k, change(t)) for i, t in items for k, change in enumerate(changed)]
+    found = set(leaks(spark, docs, items))
+    assert items and [d for d, _ in docs if (d, d // 10) not in found] == []
+
+
 def test_odd_rows(spark):
     item = "alpha beta gamma delta epsilon zeta"
     docs = [
