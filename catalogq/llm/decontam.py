@@ -10,8 +10,9 @@ not searched). Matched windows whose diagonals (position in
 the document minus position in the item) follow each other within a few words are one stretch,
 so words may be added or dropped inside a copy. A document holds an item if the matched windows
 of a stretch cover at least COVER of the item's words and the slots agree: plain windows alone
-reach COVER, or AGREE of the slots are unchanged, or AGREE of the item's values stand for one value of
-the document and the other way round. Re-parameterised copies thus match, while text that only shares a
+reach COVER, or AGREE of the slots are unchanged, or values that repeat in the item and names
+stand for one value each (one, or 1 - AGREE of them, may clash), or nearly all of the item is
+covered by many plain words. Re-parameterised copies thus match, while text that only shares a
 template does not.
 
 The tasks that read documents pass on only windows whose hash is in a bitmap of FILTER_BITS bits
@@ -43,6 +44,7 @@ from catalogq.llm.textbatch import (
 WINDOW, LEAST_WORDS = 8, 5
 COVER, AGREE = 0.6, 0.9
 SLACK = 8  # words (or a quarter of the item) between the diagonals of one stretch
+MANY, NEARLY = 20, 0.8  # plain words, and their share of the item, from which values need not agree
 FILTER_BITS = 22
 
 # Units as they follow a number.
@@ -338,22 +340,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("n", "kinds", "item_slots", "slots")).alias("s"))
         .select(*one, "places", "s.kinds", "s.item_slots", "s.slots")
     )
-    # Judged: every distinct value, in both directions.
+    # Judged: what stands at several places of the item, and names of the document at several places.
     sides = [slots.withColumn("own", F.col("item_slots")).withColumn("other", F.col("slots")).withColumn("side", F.lit(0))]
-    sides.append(slots.withColumn("own", F.col("slots")).withColumn("other", F.col("item_slots")).withColumn("side", F.lit(1)))
+    sides.append(
+        slots.where("kinds = 2").withColumn("own", F.col("slots")).withColumn("other", F.col("item_slots")).withColumn("side", F.lit(1))
+    )
     agreed = (
-        sides[0].unionByName(sides[1]).groupBy(*one, "side", "own").agg(F.count_distinct("other").alias("partners"))
-        .groupBy(*one, "side").agg(F.avg(F.when(F.col("partners") == 1, 1.0).otherwise(0.0)).alias("steady"))
-        .groupBy(*one).agg(F.min("steady").alias("steady"))
+        sides[0].unionByName(sides[1]).groupBy(*one, "side", "own")
+        .agg(F.count("*").alias("n"), F.count_distinct("other").alias("partners"))
+        .groupBy(*one)
+        .agg(
+            F.count_if((F.col("n") > 1)).alias("judged"),
+            F.count_if(F.col("partners") > 1).alias("clashes"),
+        )
     )
     unchanged = slots.groupBy(*one).agg(
-        F.avg(F.when(F.col("item_slots") == F.col("slots"), 1.0).otherwise(0.0)).alias("same")
+        F.avg(F.when(F.col("item_slots") == F.col("slots"), 1.0).otherwise(0.0)).alias("same"),
+        F.count("*").alias("n_slots"),
     )
-    # Without slots there is nothing to disagree on.
+    steady = 1 - F.col("clashes") / F.greatest("judged", F.lit(1))
+    plain = F.col("covered") - F.col("n_slots")
     judged = (
+        # Without slots there is nothing to disagree on.
         coverage.join(agreed.join(unchanged, one), one, "left")
-        .withColumn("agreement", F.coalesce(F.greatest("steady", "same"), F.lit(1.0)))
-        .where((F.col("agreement") >= AGREE) | (F.col("exact") >= COVER))
+        .withColumn("agreement", F.coalesce(F.greatest(steady, "same"), F.lit(1.0)))
+        .where(
+            F.col("n_slots").isNull()
+            | (F.col("exact") >= COVER)
+            | (F.col("same") >= AGREE)
+            | (F.col("clashes") <= F.greatest(F.lit(1), F.floor((1 - AGREE) * F.col("judged") + 1e-9)))
+            | ((plain >= MANY) & (plain >= NEARLY * F.col("words")))
+        )
     )
     return judged.groupBy("doc_id", "item_id").agg(
         F.max("coverage").alias("coverage"), F.max("agreement").alias("agreement")

@@ -55,6 +55,17 @@ def test_copies_in_any_case_are_caught(spark):
     assert leaks(spark, docs, [(1, ITEM), (2, short)]) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)]
 
 
+def test_one_clashing_value_is_no_disagreement(spark):
+    item = "there were 3 birds and 5 cats and 7 dogs when Tom came home to feed them all"
+    twice = "give me 12 red beads and 12 blue beads so that Sam can make a necklace for a friend"
+    docs = [
+        (1, item.replace("5", "3").replace("3 birds", "3 birds")),
+        (2, item.replace("3", "4").replace("5", "4")),
+        (3, twice.replace("12 red", "7 red").replace("12 blue", "9 blue")),
+    ]
+    assert leaks(spark, docs, [(1, item), (2, twice)]) == [(1, 1), (2, 1), (3, 2)]
+
+
 def test_changed_copies_of_the_benchmark_are_found(spark, sf_dir):
     sf_dir = sf_dir.replace("0.001", "0.1")
     items = duckdb.sql(f"SELECT DISTINCT item_id, text FROM '{sf_dir}/benchmark.parquet'").fetchall()
