@@ -1,14 +1,15 @@
 """Near copies of documents: MinHash with banding, verified on whole shingle sets, and components.
 
 * Each text gives its set of distinct five-word shingles (64-bit hashes of lower-cased words;
-  a shorter text is one shingle). HASHES universal hash functions give the minima, and BANDS
-  runs of ROWS minima are the keys that near copies share: a pair at the threshold 0.85
-  shares no band with probability (1 - 0.85^5)^32 < 1e-8.
+  a shorter text is one shingle). Universal hash functions give the minima, and runs of minima
+  (bands) are the keys that near copies share. Bands and their rows follow from the threshold
+  (layout): a pair at the threshold shares no band with probability below 1e-8; at 0.85 there
+  are 32 bands of 5 rows.
 * Texts with the same set are one class, met once, whatever their number.
 * Buckets are not expanded into pairs. First every member of a bucket is checked against the
   smallest member; the links found give classes of linked texts. Members of buckets that still
-  hold several classes get a second, finer set of keys (FINE_BANDS runs of FINE_ROWS minima: a
-  pair at the threshold shares none with probability 1e-6, texts that only have a passage in
+  hold several classes get a second, finer set of keys (64 runs of 10 minima at 0.85: a pair at the
+  threshold shares none with probability below 0.95e-6, texts that only have a passage in
   common share none as a rule). The members of its mixed buckets are dealt by hash into small
   hands and checked against the first of their hand, again and again until a deal finds no link;
   what is then left in buckets of several classes is joined across classes on the rare shingles
@@ -22,6 +23,10 @@ same doc_id are one document. Texts without words have an empty set and are link
 
 from __future__ import annotations
 
+from functools import partial
+from math import ceil, log, log1p
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,15 +47,42 @@ from catalogq.llm.textbatch import (
 )
 
 SHINGLE = 5  # words
-BANDS, ROWS = 32, 5
-HASHES = BANDS * ROWS
-FINE_BANDS, FINE_ROWS = 64, 10
+ROWS, LEAST_BANDS, BANDS, MISSED = 5, 32, 64, 1e-8  # rows at most, bands if more rows allow it, chance of a missed pair
+FINE_ROWS, FINE_LEAST, FINE_BANDS, FINE_MISSED = 10, 64, 80, 0.95e-6
 HAND = 4  # members of a mixed bucket that are compared with one of them
 THRESHOLD = 85  # per cent of the union
-DOUBT = 7  # standard errors of the estimate from HASHES minima
+DOUBT = 7  # standard errors of the estimate from the minima of a signature
 COLUMNS = 2048  # shingles hashed at a time
 
 
+class Layout(NamedTuple):
+    bands: int
+    rows: int
+
+    @property
+    def hashes(self) -> int:
+        return self.bands * self.rows
+
+
+def _layout(threshold: int, rows: int, least: int, most: int, missed: float) -> Layout:
+    """The most rows a band whose bands, at most `most` unless rows are 1, miss a pair at the threshold with chance missed."""
+    share = threshold / 100
+    while True:
+        needed = 1 if share >= 1 else ceil(log(missed) / log1p(-(share**rows)))
+        if needed <= most or rows == 1:
+            return Layout(max(least, needed), rows)
+        rows -= 1
+
+
+def layout(threshold: int) -> tuple[Layout, Layout]:
+    """Coarse and fine bands for a threshold in per cent; together they miss a pair with chance below 1e-6."""
+    if not 0 < threshold <= 100:
+        raise ValueError("threshold: per cent, above 0 and at most 100")
+    return (
+        _layout(threshold, ROWS, LEAST_BANDS, BANDS, MISSED),
+        _layout(threshold, FINE_ROWS, FINE_LEAST, FINE_BANDS, FINE_MISSED),
+    )
+
 
 def _drawn(seed: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and shifts of universal hash functions x -> factor * x + shift modulo 2^64."""
@@ -58,8 +90,7 @@ def _drawn(seed: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
     return drawn[0] * np.uint64(2) + np.uint64(1), drawn[1]
 
 
-COARSE = _drawn(8_105, HASHES)
-FINE = _drawn(8_106, FINE_BANDS * FINE_ROWS)
+COARSE_SEED, FINE_SEED = 8_105, 8_106
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -80,7 +111,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     return sets
 
 
-def minima(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray] = COARSE) -> np.ndarray:
+def minima(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The smallest value of each hash function over a set that isn't empty."""
     factor, shift = functions
     least = (shingles[:COLUMNS] * factor + shift).min(axis=1)
@@ -89,14 +120,15 @@ def minima(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray] = COAR
     return least >> np.uint64(32)
 
 
-def band_keys(least: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
     """One key per band; the band's number is part of it."""
     rows = least.reshape(bands, -1)
     rows = mix(rows + np.arange(rows.shape[1], dtype=np.uint64) * np.uint64(1 << 40))
     return mix(rows.sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
-def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _sketch(batch: pa.RecordBatch, coarse: Layout) -> pa.RecordBatch:
+    functions = _drawn(COARSE_SEED, coarse.hashes)
     sets = shingle_sets(batch.column(1))
     sizes = np.array([len(s) for s in sets], np.int64)
     marks = np.zeros((2, len(sets)), np.uint64)
@@ -104,22 +136,23 @@ def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
     for i, s in enumerate(sets):
         if len(s):
             marks[0, i], marks[1, i] = s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)
-            bands.append(band_keys(minima(s)))
+            bands.append(band_keys(minima(s, functions), coarse.bands))
     return pa.RecordBatch.from_arrays(
         [
             batch.column(0),
             pa.array(sizes),
             pa.array(marks[0].view(np.int64)),
             pa.array(marks[1].view(np.int64)),
-            list_column(np.concatenate(bands).view(np.int64), np.where(sizes > 0, BANDS, 0), pa.int64()),
+            list_column(np.concatenate(bands).view(np.int64), np.where(sizes > 0, coarse.bands, 0), pa.int64()),
         ],
         ["doc_id", "n_shingles", "mark_a", "mark_b", "bands"],
     )
 
 
-def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _sets(batch: pa.RecordBatch, coarse: Layout) -> pa.RecordBatch:
+    functions = _drawn(COARSE_SEED, coarse.hashes)
     sets = shingle_sets(batch.column(1))
-    least = [minima(s).astype(np.uint32).view(np.int32) if len(s) else np.zeros(0, np.int32) for s in sets]
+    least = [minima(s, functions).astype(np.uint32).view(np.int32) if len(s) else np.zeros(0, np.int32) for s in sets]
     count = lambda parts: np.array([len(p) for p in parts], np.int64)
     return pa.RecordBatch.from_arrays(
         [
@@ -131,11 +164,12 @@ def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _fine(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _fine(batch: pa.RecordBatch, fine: Layout) -> pa.RecordBatch:
+    functions = _drawn(FINE_SEED, fine.hashes)
     sets = batch.column(1)
     values, ends = sets.flatten().to_numpy().view(np.uint64), np.cumsum(pc.list_value_length(sets).to_numpy())
-    keys = [band_keys(minima(x, FINE), FINE_BANDS) for x in np.split(values, ends[:-1])]
-    bands = list_column(np.concatenate(keys).view(np.int64), np.full(len(keys), FINE_BANDS), pa.int64())
+    keys = [band_keys(minima(x, functions), fine.bands) for x in np.split(values, ends[:-1])]
+    bands = list_column(np.concatenate(keys).view(np.int64), np.full(len(keys), fine.bands), pa.int64())
     return pa.RecordBatch.from_arrays([batch.column(0), bands], ["rep", "bands"])
 
 
@@ -173,8 +207,8 @@ def _stars(members: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; signatures drop the clearly unlike first."""
-    share = threshold / 100
-    least = HASHES * (share - DOUBT * (share * (1 - share) / HASHES) ** 0.5)
+    share, hashes = threshold / 100, layout(threshold)[0].hashes
+    least = hashes * (share - DOUBT * (share * (1 - share) / hashes) ** 0.5)
     signatures = sets.select("rep", "signature")
     alike = F.aggregate(
         F.zip_with("sig_a", "sig_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x
@@ -231,11 +265,12 @@ def _across(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def _linked(classes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """(node, component) of the classes (rep, bands) that have links; texts has doc_id and text."""
+    coarse, finer = layout(threshold)
     members = _buckets(classes, "members")
     sets = keep(
         over_texts(
             texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"),
-            _sets,
+            partial(_sets, coarse=coarse),
             "rep long, signature array<int>, shingles array<long>",
         ),
         "sets",
@@ -244,7 +279,7 @@ def _linked(classes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     first = keep(components(_verified(stars, sets, threshold)), "first")
     mixed = _classed(members, first).select("rep").distinct()
     again = sets.select("rep", "shingles").join(mixed, "rep", "left_semi")
-    fine = _buckets(keep(over_texts(again, _fine, "rep long, bands array<long>"), "fine-sketches"), "fine")
+    fine = _buckets(keep(over_texts(again, partial(_fine, fine=finer), "rep long, bands array<long>"), "fine-sketches"), "fine")
     now, deal = first, 0
     while True:
         classed, classed_path = store(_classed(fine, now), "classed")
@@ -271,7 +306,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = keep(
         over_texts(
-            plain, _sketch, "doc_id long, n_shingles long, mark_a long, mark_b long, bands array<long>"
+            plain, partial(_sketch, coarse=layout(threshold)[0]), "doc_id long, n_shingles long, mark_a long, mark_b long, bands array<long>"
         ),
         "sketches",
     )

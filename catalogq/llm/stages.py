@@ -9,6 +9,8 @@ from catalogq.llm import decontam, minhash, pieces, quality_rules, secret_scan
 from catalogq.llm.registry import PIECE_FILE, table
 from catalogq.llm.scratch import keep
 
+STAGE_THRESHOLD = 80  # per cent of the union of the five-word shingles
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -16,11 +18,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id.
+    """One document of each group of near copies (STAGE_THRESHOLD) stays: the one with the smallest doc_id.
 
     Rows without doc_id stay. Of several rows with a doc_id that stays, one stays.
     """
-    found = minhash.near_duplicates(docs).select("doc_id", "kept")
+    found = minhash.near_duplicates(docs, STAGE_THRESHOLD).select("doc_id", "kept")
     state = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.count("*").alias("rows"), F.bool_or("kept").alias("kept")
     )

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from catalogq.llm import components, minhash
+from catalogq.llm import components, minhash, stages
 
 
 def shingles(text):
@@ -16,7 +16,7 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
 
 
-def brute(rows):
+def brute(rows, threshold=85):
     """Component of each row's id; rows with one id are one document."""
     ids = sorted({i for i, _ in rows if i is not None})
     root = {i: i for i in ids}
@@ -29,15 +29,15 @@ def brute(rows):
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= threshold * len(a | b):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
 
 
-def check(spark, rows):
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = brute(rows)
+def check(spark, rows, threshold=85):
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()
+    want = brute(rows, threshold)
     assert len(got) == len(rows)
     for r in got:
         assert r["component_id"] == (None if r["doc_id"] is None else want[r["doc_id"]])
@@ -62,6 +62,29 @@ def test_families_of_edited_copies(spark):
     check(spark, rows)
 
 
+def test_bands_follow_the_threshold():
+    assert minhash.layout(85) == ((32, 5), (64, 10))
+    for threshold in range(1, 101):
+        missed = [(1 - (threshold / 100) ** part.rows) ** part.bands for part in minhash.layout(threshold)]
+        assert sum(missed) < 1e-6
+
+
+def test_links_at_eighty_per_cent(spark):
+    """Pairs and families from below 0.80 to above 0.85; the stage of the pipeline has this threshold."""
+    draw = random.Random(4)
+    rows = []
+    for k in range(60):
+        base = [f"b{k}x{i}" for i in range(130)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, edited(draw, base, 1 + k % 4))]
+    base = [f"f{i}" for i in range(150)]
+    rows += [(1000 + i, edited(draw, base, draw.choice([0, 1, 2, 3, 4, 5]))) for i in range(80)]
+    check(spark, rows, 80)
+    assert brute(rows, 80) != brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in stages.near_dedup(spark, docs, "").collect())
+    assert kept == sorted(set(brute(rows, 80).values()))
+
+
 def test_odd_rows(spark):
     long_text = " ".join(f"t{i}" for i in range(30_000))
     check(
