@@ -55,6 +55,15 @@ ADDED = (
     Rule("login_url", r"[a-z]+://[A-Za-z0-9._-]+:[A-Za-z0-9._-]+@[A-Za-z0-9.-]+"),
 )
 RULES = BASE + ADDED
+# For masking, a private key is all from its BEGIN line through its END line, and without END the
+# headers and base64 lines that follow. The report has the BEGIN line alone, as its SQL does.
+_NEXT = r"(?:\s|\\[nr])*+"
+_BODY = (
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_NEXT}(?:Proc-Type|DEK-Info|[A-Z][A-Za-z-]*+): ?[A-Za-z0-9, -]++(?=\s|\\|$))*+"
+    rf"(?:{_NEXT}[A-Za-z0-9+/=]{{16,}}+)++(?:{_NEXT}(?=[A-Za-z]*[0-9+/=]|[A-Za-z]++\s*+(?:\n|\\n|$))[A-Za-z0-9+/=]++)?+)?+"
+)
+MASKED = tuple(r._replace(pattern=r.pattern + _BODY) if r.kind == "private_key" else r for r in RULES)
 GAP = None
 
 

@@ -39,8 +39,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret is replaced by a mark; n_chars follows the text. A null text stays null."""
-    found = secret_scan.find_secrets(docs)
+    """Every secret, private keys with their bodies, is replaced by a mark; n_chars follows the text. A null text stays null."""
+    found = secret_scan.find_secrets(docs, secret_scan.MASKED)
     hidden = F.size("_spans") > 0
     masked = secret_scan.masked(F.col("_text"), F.col("_spans"))
     changed = found.withColumn("_new", F.when(hidden, masked).otherwise(F.col("_row.text")))

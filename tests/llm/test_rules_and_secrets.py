@@ -72,6 +72,25 @@ def test_added_kinds_and_masking(spark):
     assert kept[2]["text"] is None and kept[1]["_spans"] == "q"
 
 
+def test_private_keys_are_masked_with_their_bodies(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "aB3+/x" * 8] * 400 + ["Qk=="])
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D\n\n"
+    short, line = body[:400], body[:64]
+    texts = {
+        f"a {begin}\n{body}\n{end} b": "a [SECRET] b",
+        f"a {begin}\n{head}{short}\n{end} b": "a [SECRET] b",
+        f"a {begin}\\n{line}\\n{line}\\n{end} b": "a [SECRET] b",
+        f"a {begin}\n> {line}\n> {line}\n> {end} b {begin}\n{line}\n{end}.": "a [SECRET] b [SECRET].",
+        f"a {begin}\n{head}{line}\n{line}\nabQ=\nand so on it goes": "a [SECRET]\nand so on it goes",
+        f"the line {begin} opens a key": "the line [SECRET] opens a key",
+        f"{begin}\n{line}\n{begin}\n{line}\n{end}\n": "[SECRET]\n[SECRET]\n",
+    }
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    kept = {r["doc_id"]: r["text"] for r in stages.mask_secrets(spark, docs, "").collect()}
+    assert [kept[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
