@@ -2,7 +2,7 @@
 
 A text is read as windows of WINDOW bytes. Filters of several widths run over a window; the
 largest response of each filter feeds a softmax over the languages. The network is trained in
-numpy on a bounded sample of labelled texts (Adam, gradients only at the largest responses);
+numpy on a bounded sample of the texts of every language (Adam, gradients only at the largest responses);
 scoring takes every window of a text and averages the windows' probabilities by their bytes.
 """
 
@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogq.llm.samples import fold, sampled_texts
+from catalogq.llm.samples import bounded_each, fold, picked_texts
 from catalogq.llm.textbatch import lowered, small_batches, text_bytes
 
 FOLDS, HELD_OUT = 5, 0
 WINDOW = 256  # bytes
 WIDTHS, FILTERS = (2, 3, 4), 16
-TRAIN_ROWS, TRAIN_CHARS, TRAIN_WINDOWS = 3_000, 8_000, 8_000  # bound of the training sample
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_WINDOWS = 3_000, 8_000, 8_000  # bound of the training sample, shared alike by the languages
+LEAST_ROWS, LEAST_WINDOWS = 100, 300  # of a language, however many there are
 PASSES, BATCH, RATE = 3, 64, 0.01
 CHUNK = 48  # windows scored at a time
 UNKNOWN = "und"
@@ -134,10 +135,13 @@ class Scorer:
 
 
 def fit(docs: DataFrame) -> Net | None:
-    """Train on at most TRAIN_ROWS texts with a language outside the held-out fold; None if there are none."""
+    """Train on a bounded number of texts and windows of each language outside the held-out fold; None if there are none."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold(FOLDS) != HELD_OUT))
+    known = known.where(F.length("text") > 0)
     known = known.groupBy("doc_id").agg(F.min("lang").cast("string").alias("lang"))
-    rows = sampled_texts(docs, known, TRAIN_ROWS, TRAIN_CHARS).collect()
+    count = max(known.select("lang").distinct().count(), 1)
+    picked = bounded_each(known, "lang", max(TRAIN_ROWS // count, LEAST_ROWS))
+    rows = picked_texts(docs, picked, TRAIN_CHARS).collect()
     rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["doc_id"], r["text"]))
     if not rows:
         return None
@@ -145,7 +149,8 @@ def fit(docs: DataFrame) -> Net | None:
     data, offsets = text_bytes(pa.array([r["text"] for r in rows], pa.large_string()))
     windows, owner, _ = _windows(lowered(data), offsets)
     labels = np.array([languages.index(r["lang"]) for r in rows])[owner]
-    pick = np.random.default_rng(3).permutation(len(windows))[:TRAIN_WINDOWS]
+    draw, share = np.random.default_rng(3), max(TRAIN_WINDOWS // count, LEAST_WINDOWS)
+    pick = np.concatenate([draw.permutation(np.flatnonzero(labels == k))[:share] for k in range(len(languages))])
     return train(windows[pick], labels[pick], languages)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,8 +25,24 @@ def bounded(ids: DataFrame, rows: int) -> DataFrame:
     return hashed.orderBy("_pick", "doc_id").limit(rows).drop("_pick")
 
 
+def bounded_each(ids: DataFrame, column: str, rows: int) -> DataFrame:
+    """At most so many rows of every value of a column of a narrow table with doc_id, picked by a hash of doc_id.
+
+    Each value's rows are thinned by the hash before they are ordered, as in bounded().
+    """
+    totals = ids.groupBy(column).agg(F.count("*").alias("_total"))
+    part = (1.2 * rows + 100) / F.col("_total")
+    hashed = ids.join(totals, column).withColumn("_pick", F.xxhash64(F.lit("sample"), "doc_id"))
+    thinned = hashed.where(F.col("_pick") / F.lit(2.0**64) + 0.5 <= part)
+    order = Window.partitionBy(column).orderBy("_pick", "doc_id")
+    return thinned.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= rows).select(*ids.columns)
+
+
 def sampled_texts(docs: DataFrame, ids: DataFrame, rows: int, chars: int) -> DataFrame:
     """Texts (at most chars code points each) of a bounded sample of ids, with the other columns of ids."""
-    picked = bounded(ids, rows)
-    # At most `rows` narrow rows.
+    return picked_texts(docs, bounded(ids, rows), chars)
+
+
+def picked_texts(docs: DataFrame, picked: DataFrame, chars: int) -> DataFrame:
+    """Texts (at most chars code points each) of a small table of ids, with its other columns."""
     return docs.select("doc_id", F.substring("text", 1, chars).alias("text")).join(F.broadcast(picked), "doc_id")

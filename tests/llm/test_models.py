@@ -1,6 +1,7 @@
 """Held-out accuracy of the trained models, their gradients, and odd rows."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,26 @@ def test_language_of_held_out_texts(languages):
     assert all(0 <= r["score"] <= 1 for r in got.collect()) and got.count() == languages.count()
 
 
+def test_rare_languages_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(L, "TRAIN_ROWS", 60)
+    monkeypatch.setattr(L, "TRAIN_WINDOWS", 200)
+    draw = random.Random(6)
+    rows = [(i, prose(draw, "aa", 60), "aa") for i in range(2000)]
+    ids = [i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % L.FOLDS != L.HELD_OUT]
+    rows += [(i, prose(draw, lang, 60), lang) for lang, i in zip(["bb", "cc"] * 2, ids)] + [(ids[9], "", "dd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = L.fit(docs)
+    assert net.languages == ["aa", "bb", "cc"]
+    rare = [r["lang_pred"] for r in L.predict(docs.where("lang in ('bb', 'cc')").orderBy("lang"), net).collect()]
+    assert rare == ["bb", "bb", "cc", "cc"]
+
+
+def test_samples_of_each_value_are_bounded(spark):
+    ids = spark.range(5000).selectExpr("id AS doc_id", "if(id % 1000 = 7, 'rare', 'usual') AS lang")
+    count = {r["lang"]: r["count"] for r in samples.bounded_each(ids, "lang", 100).groupBy("lang").count().collect()}
+    assert count == {"rare": 5, "usual": 100}
+
+
 def test_pair_tables_equal_the_plain_convolution():
     draw = np.random.default_rng(0)
     net = L.train(draw.integers(0, 256, (40, L.WINDOW), dtype=np.uint8), draw.integers(0, 2, 40), ["x", "y"])
