@@ -130,6 +130,21 @@ def test_open_lines_that_neighbours_share_go(spark):
     assert got[30].startswith("Home\n") and got[31] == got[32] == "" and got[0] == "x"
 
 
+def test_short_texts_in_a_large_shell_and_runs_of_near_copies(spark):
+    shell = "".join(f"<div>Menu entry {w} of the whole site</div>" for w in "abcdefghijklmnopqrst")
+    names = ["red", "green", "blue", "white", "black", "brown"]
+    pages = [(i, f"http://short/{i}", f"{shell}<p>All about {n}.</p><div>Imprint</div>") for i, n in enumerate(names)]
+    story = "".join(f"<p>A long story goes on in part {w}.</p>" for w in "abcdefghijklmnopqrst")
+    few = "<div>Home</div>{}<div>Imprint</div>"
+    pages += [(100 + i, f"http://runs/b/{i}", few.format(f"{story}<p>Read {i} times</p>")) for i in range(12)]
+    pages += [(200 + i, f"http://runs/{p}", few.format(f"<p>{n} is another page.</p>" * 3)) for i, (p, n) in enumerate(zip("acdefg", names))]
+    got = dict(texts(spark, pages))
+    assert [got[i] for i in range(6)] == [f"All about {n}." for n in names]
+    for i in range(12):
+        assert got[100 + i].startswith("A long story goes on in part a.") and got[100 + i].endswith(f"part t.\nRead {i} times")
+    assert all("Home" not in got[200 + i] and f"{names[i]} is another page." in got[200 + i] for i in range(6))
+
+
 def test_broken_markup():
     lines = lambda page: [t for t, k in H.page_lines(page) if k != H.OTHER]
     assert lines("<p>a < b <3 c &am <p>d<!-- open") == ["a < b <3 c &am", "d"]
