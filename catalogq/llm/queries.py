@@ -16,6 +16,7 @@ from catalogq.llm import (
     secret_scan,
     sharding,
     toxicity,
+    whitening,
 )
 from catalogq.llm.registry import ORACLES, PIECE_FILE, QUERIES, query, table  # noqa: F401
 
@@ -75,3 +76,8 @@ def op1(spark, sf_dir):
 @query("op9_html_main_text", oracles.HTML_MAIN)
 def op9(spark, sf_dir):
     return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
