@@ -10,6 +10,7 @@ from catalogq.llm import (
     langid,
     minhash,
     oracles,
+    phrases,
     pieces,
     quality_model,
     quality_rules,
@@ -81,3 +82,8 @@ def op9(spark, sf_dir):
 @query("op13_embedding_whitening")
 def op13(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_phrase_collocations", oracles.PHRASES)
+def op12(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
