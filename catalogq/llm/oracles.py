@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from catalogq.llm import license_scan
+
 GAP = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -205,3 +207,56 @@ FROM least LEFT JOIN longer USING (lang, phrase) JOIN n USING (lang)
 WHERE most IS NULL OR 100 * most < 80 * a
 QUALIFY rank <= 2000
 """
+
+# The templates are fixed values of the operator's module; the rule over them is written out here.
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_TEMPLATES = ",\n  ".join(
+    f"({i}, {_QUOTED(t.label)}, {t.exact}, string_split({_QUOTED(' '.join(t.words))}, ' '))"
+    for i, t in enumerate(license_scan.templates())
+)
+
+LICENSES = rf"""
+WITH t(tid, label, exact, w) AS (VALUES
+  {_TEMPLATES}
+),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+grams AS (
+  SELECT tid, exact, k, unnest(range(0, len(w) - k + 1)) AS place, len(w) AS length, w
+  FROM (SELECT *, least(4, len(w)) AS k FROM t)
+),
+votes AS (
+  SELECT rid, tid, pos, place, k, exact, length, pos - place AS diagonal
+  FROM (
+    SELECT rid, k, i - 1 AS pos, array_to_string(w[i:i + k - 1], ' ') AS gram
+    FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (VALUES (2), (4)) AS sizes(k) WHERE len(w) >= k)
+  ) JOIN (SELECT * EXCLUDE (w), array_to_string(w[place + 1:place + k], ' ') AS gram FROM grams) USING (k, gram)
+),
+lines AS (
+  SELECT rid, tid, diagonal, exact, min(pos) AS first, max(pos + k) AS last FROM votes GROUP BY ALL
+),
+numbered AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY rid, tid ORDER BY diagonal) AS part FROM (
+    SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER s > 3 OR first - lag(last) OVER s > 12
+      OR lag(first) OVER s - last > 12, true) THEN 1 ELSE 0 END AS fresh
+    FROM lines WINDOW s AS (PARTITION BY rid, tid ORDER BY diagonal)
+  )
+),
+spans AS (
+  SELECT rid, tid, part, min(diagonal) AS start, count(DISTINCT word) / any_value(length) AS cover
+  FROM (
+    SELECT rid, tid, diagonal, length, unnest(range(place, place + k)) AS word FROM votes
+  ) JOIN numbered USING (rid, tid, diagonal) GROUP BY rid, tid, part
+),
+found AS (
+  SELECT rid, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word,
+    max(start) FILTER (exact) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact OR cover >= 0.8) AS labels, max(cover) AS score
+  FROM spans JOIN t USING (tid) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN found USING (rid)
+"""

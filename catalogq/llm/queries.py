@@ -8,6 +8,7 @@ from catalogq.llm import (
     decontam,
     html_main,
     langid,
+    license_scan,
     minhash,
     oracles,
     phrases,
@@ -87,3 +88,8 @@ def op13(spark, sf_dir):
 @query("op12_phrase_collocations", oracles.PHRASES)
 def op12(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op11_license_scan", oracles.LICENSES)
+def op11(spark, sf_dir):
+    return license_scan.license_report(table(spark, sf_dir, "documents"))

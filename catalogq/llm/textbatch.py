@@ -140,3 +140,23 @@ def over_texts(docs: DataFrame, function, schema: str) -> DataFrame:
                 yield function(batch)
 
     return docs.mapInArrow(apply, schema)
+
+
+def spaced_words(words: Words, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words with one space after each, and where each begins and ends there; gap as given to split_words."""
+    lengths = words.ends - words.starts
+    ends = np.cumsum(lengths + 1) - 1
+    inside = np.ones(int(lengths.sum()) + len(lengths), bool)
+    inside[ends] = False
+    out = np.full(len(inside), 32, np.uint8)
+    out[inside] = words.data[~gap]
+    return out, ends - lengths, ends
+
+
+def byte_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """An Arrow string column of ranges of bytes, which may overlap."""
+    lengths = ends - starts
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    at = np.arange(int(offsets[-1]), dtype=np.int64) + np.repeat(starts - offsets[:-1], lengths)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[at]))

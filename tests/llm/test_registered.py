@@ -20,6 +20,10 @@ COLUMNS = {
     "op8_quality_model": "doc_id:bigint held_out:boolean score:double predicted:int",
     "op9_html_main_text": "page_id:bigint url:string text:string n_chars:bigint",
     "op10_minhash_near_dedup": "doc_id:bigint n_shingles:bigint component_id:bigint kept:boolean",
+    "op11_license_scan": (
+        "doc_id:bigint n_words:bigint n_base:bigint first_word:bigint last_word:bigint base_labels:string labels:string "
+        "score:double"
+    ),
     "op12_phrase_collocations": "lang:string rank:bigint phrase:string a:bigint l:bigint r:bigint n:bigint score:bigint",
     "op13_embedding_whitening": (
         "vec_id:bigint component:int n:bigint deviation:bigint whitened:double explained:double identity_error:double"
