@@ -5,18 +5,17 @@ three leads inside the piece, padded where the piece ends. Spark's ROLLUP over t
 columns then sums the counts of all shorter prefixes, which are the counts of all shorter
 phrases, so no shorter n-grams are exploded. All counts and scores are exact integers.
 
-Windows are shortened where that can't change a count of LEAST or more: a pair of neighbours that
-occurs less often ends a window, because no longer phrase across it can be frequent. Which pairs
-may be frequent is told by a bitmap of fixed size (BITS), set from counts of all pairs' hashes;
-a shared bit only leaves a window longer than needed. So the bitmap saves shuffled rows and is
-nothing that the results depend on.
+Windows are shortened where that can't change a count of LEAST or more: no phrase across a pair
+or triple of neighbours that occurs less often can be frequent. Which ones may be frequent is
+told by a bitmap of fixed size (BITS), set from counts of their hashes, triples only where both
+pairs may be frequent; a shared bit only leaves a window longer than needed. So the bitmap saves
+shuffled rows and is nothing that the results depend on.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +23,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogq.llm.scratch import keep
-from catalogq.llm.textbatch import lowered, mix, small_batches, span_hashes, split_words, text_bytes, window_hashes
+from catalogq.llm.textbatch import (
+    byte_ranges,
+    lowered,
+    mix,
+    small_batches,
+    spaced_words,
+    span_hashes,
+    split_words,
+    text_bytes,
+    window_hashes,
+)
 from catalogq.operators.topk import top_per_group
 
 LEAST = 30  # occurrences of a candidate
 LONGEST = 4  # words
 TOP = 2000  # phrases of each language
 ABSORBED = 80  # per cent of a phrase's occurrences that lie in one longer candidate
-BITS = 26  # the bitmap of pairs has 2^BITS bits, 8 MB
-PAIRS_HELD = 1 << 21  # pair hashes that a task sorts at a time
+BITS = 26  # the bitmap has 2^BITS bits, 8 MB
+RUNS_HELD = 1 << 21  # hashes that a task sorts at a time
 WINDOWS_OUT = 1 << 17  # windows that a task hands over at a time
 
 _BREAK = np.zeros(256, bool)
@@ -46,13 +55,14 @@ def _salt(lang: str) -> int:
 
 
 class _Batch:
-    """The words of a batch of (lang, text): their bytes, owners, pairs inside pieces, and pair hashes."""
+    """The words of a batch of (lang, text), and which runs of them lie inside a piece and may be frequent."""
 
     def __init__(self, batch: pa.RecordBatch):
         self.langs = batch.column(0)
         data, offsets = text_bytes(batch.column(1))
         data = lowered(data)
-        self.words = split_words(data, offsets, _GAP[data])
+        self.gap = _GAP[data]
+        self.words = split_words(data, offsets, self.gap)
         self.count = len(self.words.starts)
         self.owner = np.repeat(np.arange(batch.num_rows), np.diff(self.words.first))
         # Words with the same number of breaks before them, in the same text, share a piece.
@@ -60,13 +70,34 @@ class _Batch:
         self.joined = (piece[1:] == piece[:-1]) & (self.owner[1:] == self.owner[:-1])
         names = self.langs.dictionary_encode()
         salts = np.array([_salt(x) for x in names.dictionary.to_pylist()], np.uint64)
-        salt = salts[names.indices.to_numpy(zero_copy_only=False)][self.owner] if self.count else np.zeros(0, np.uint64)
-        hashes = span_hashes(data, self.words.starts, self.words.ends)
-        self.pairs = mix(window_hashes(hashes, 2) + salt[1:]) if self.count > 1 else np.zeros(0, np.uint64)
+        self.salt = salts[names.indices.to_numpy(zero_copy_only=False)][self.owner] if self.count else np.zeros(0, np.uint64)
+        self.hashes = span_hashes(data, self.words.starts, self.words.ends)
 
+    def runs(self, size: int) -> np.ndarray:
+        """A hash of each run of so many words, by its first word."""
+        n = max(self.count - size + 1, 0)
+        return mix(window_hashes(self.hashes, size) + self.salt[:n] + np.uint64(size))
 
-def _pair_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """(hash, n) of the pairs inside pieces; a task passes on each hash once per most pairs or so."""
+    def together(self, size: int, bits: np.ndarray | None, asked: int) -> np.ndarray:
+        """Which runs of so many words lie in a piece, with all their runs of 2 to asked words set in the bitmap."""
+        good = self.joined
+        for length in range(2, size + 1):
+            if length > 2:
+                good = good[:-1] & good[1:]
+            if length <= asked:
+                good = good & _bits_set(bits, self.runs(length))
+        return good
+
+
+def _bits_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes >> np.uint64(65 - (8 * len(bits)).bit_length())
+    return (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _run_batches(
+    batches: Iterator[pa.RecordBatch], size: int, bits: np.ndarray | None, most: int
+) -> Iterator[pa.RecordBatch]:
+    """(hash, n) of runs of so many words whose shorter runs may be frequent; each hash once per most runs or so."""
     held: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch:
@@ -76,63 +107,39 @@ def _pair_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.R
 
     for batch in batches:
         read = _Batch(batch)
-        held.append(read.pairs[read.joined])
+        if read.count >= size:
+            held.append(read.runs(size)[read.together(size, bits, size - 1)])
         if sum(map(len, held)) >= most:
             yield flush()
     if any(map(len, held)):
         yield flush()
 
 
-def _joined_bytes(read: _Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words with one space after each, and where each word begins and ends there."""
-    lengths = read.words.ends - read.words.starts
-    ends = np.cumsum(lengths + 1) - 1
-    inside = np.ones(int(ends[-1]) + 1, bool)
-    inside[ends] = False
-    out = np.full(len(inside), 32, np.uint8)
-    out[inside] = read.words.data[~_GAP[read.words.data]]
-    return out, ends - lengths, ends
-
-
-def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """An Arrow string column of byte ranges, which may overlap."""
-    lengths = ends - starts
-    offsets = np.zeros(len(starts) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    at = np.arange(int(offsets[-1]), dtype=np.int64) + np.repeat(starts - offsets[:-1], lengths)
-    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[at]))
-
-
 def _window_batches(
     batches: Iterator[pa.RecordBatch], bits: np.ndarray, longest: int, most: int
 ) -> Iterator[pa.RecordBatch]:
     """(lang, window) of every word, at most so many at a time: the words from it on that the piece and the bitmap leave."""
-    unused = np.uint64(65 - (8 * len(bits)).bit_length())
     for batch in batches:
         read = _Batch(batch)
         if not read.count:
             continue
-        bit = read.pairs >> unused
-        frequent = (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-        link = np.zeros(read.count + longest, bool)
-        link[: read.count - 1] = read.joined & (frequent == 1)
-        last, run = np.arange(read.count), np.ones(read.count, bool)
-        for ahead in range(longest - 1):
-            run = run & link[ahead : ahead + read.count]
-            last = last + run
-        data, starts, ends = _joined_bytes(read)
+        last = np.arange(read.count)
+        for size in range(2, min(longest, read.count) + 1):
+            good = read.together(size, bits, longest - 1)
+            last[: len(good)] += good
+        data, starts, ends = spaced_words(read.words, read.gap)
         for at in range(0, read.count, most):
             part = slice(at, at + most)
             yield pa.RecordBatch.from_arrays(
-                [read.langs.take(pa.array(read.owner[part])), _strings(data, starts[part], ends[last[part]])],
+                [read.langs.take(pa.array(read.owner[part])), byte_ranges(data, starts[part], ends[last[part]])],
                 ["lang", "window"],
             )
 
 
-def _bitmap(pairs: DataFrame, least: int) -> np.ndarray:
-    """The bits of all pair hashes that occur often enough; at most 2^(BITS - 6) longs come to the driver."""
+def _bitmap(runs: DataFrame, least: int) -> np.ndarray:
+    """The bits of all hashes that occur often enough; at most 2^(BITS - 6) longs come to the driver."""
     place = F.shiftrightunsigned("hash", 64 - BITS)
-    often = pairs.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    often = runs.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     bit = F.expr(f"shiftleft(1L, int(shiftrightunsigned(hash, {64 - BITS}) & 63))")
     lanes = often.select(F.shiftright(place, 6).alias("lane"), bit.alias("bit"))
     found = lanes.groupBy("lane").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -149,8 +156,15 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataF
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"))
     small_batches(spark)
-    pairs = texts.mapInArrow(partial(_pair_batches, most=PAIRS_HELD), "hash long, n long")
-    bits, most = spark.sparkContext.broadcast(_bitmap(pairs, least)), WINDOWS_OUT
+    held, most = RUNS_HELD, WINDOWS_OUT
+    bits = spark.sparkContext.broadcast(np.zeros(1 << (BITS - 3), np.uint8))
+    for size in range(2, longest):
+        known = bits
+
+        def runs(batches: Iterator[pa.RecordBatch], size=size, known=known) -> Iterator[pa.RecordBatch]:
+            return _run_batches(batches, size, known.value, held)
+
+        bits = spark.sparkContext.broadcast(known.value | _bitmap(texts.mapInArrow(runs, "hash long, n long"), least))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _window_batches(batches, bits.value, longest, most)

@@ -65,7 +65,7 @@ def test_equals_plain_loops(spark, seed, least):
 
 def test_many_short_pieces_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(P, "WINDOWS_OUT", 7)
-    monkeypatch.setattr(P, "PAIRS_HELD", 11)
+    monkeypatch.setattr(P, "RUNS_HELD", 11)
     rows = texts(5, 40)
     assert mined(spark, rows, least=3) == brute(rows, 3)
 
