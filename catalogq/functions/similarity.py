@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,68 @@ HEADER_ALIASES = {
 }
 
 
+# Cells up to this many code points are compared as they are.
+SHORT_CELL = 64
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Use a value several times inside one expression, computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def common_start(left: Column, right: Column) -> Column:
+    """How many code points two texts begin with alike.
+
+    The length is built from powers of two, the largest first: the next piece counts if it is
+    the same in both. So the pieces compared are together about as long as the texts.
+    """
+    shorter = F.least(F.length(left), F.length(right))
+    powers = F.when(shorter > 0, F.sequence(F.floor(F.log2(shorter + F.lit(0.5))).cast("int"), F.lit(0), F.lit(-1)))
+
+    def longer(known: Column, power: Column) -> Column:
+        step = F.pow(F.lit(2), power).cast("int")
+        same = F.substring(left, known + 1, step) == F.substring(right, known + 1, step)
+        return known + F.when((known + step <= shorter) & same, step).otherwise(0)
+
+    return F.aggregate(F.coalesce(powers, F.array().cast("array<int>")), F.lit(0), longer)
+
+
+def _cut_start(pair: Column) -> Column:
+    """Both texts of a struct (l, r) without their common beginning."""
+    rest = lambda x, n: F.substring(x, n + 1, F.greatest(F.length(x) - n, F.lit(0)))
+    return _let(common_start(pair["l"], pair["r"]), lambda n: F.struct(rest(pair["l"], n).alias("l"), rest(pair["r"], n).alias("r")))
+
+
+def _turned(pair: Column) -> Column:
+    return F.struct(F.reverse(pair["l"]).alias("l"), F.reverse(pair["r"]).alias("r"))
+
+
+def _middle_distance(pair: Column) -> Column:
+    """Edit distance of texts that differ at both ends; where one is empty, the lengths give it."""
+    left, right = pair["l"], pair["r"]
+    empty = (left == "") | (right == "")
+    return F.when(empty, F.greatest(F.length(left), F.length(right))).otherwise(F.levenshtein(left, right))
+
+
+def edit_distance(left: Column, right: Column) -> Column:
+    """Edit distance in code points.
+
+    Of long texts the common beginning and end are cut off first, which leaves the distance as it
+    is; the time grows with the product of what is left, so with the stretch that was changed.
+    """
+    pair = F.struct(left.alias("l"), right.alias("r"))
+    ends_cut = lambda p: _let(_cut_start(p), lambda q: _let(_cut_start(_turned(q)), _middle_distance))
+    short = F.least(F.length(left), F.length(right)) <= SHORT_CELL
+    return F.when(short, F.levenshtein(left, right)).otherwise(_let(pair, ends_cut))
+
+
 def edit_similarity(left: Column, right: Column) -> Column:
     """1 - edit distance / longer length, in code points."""
     longest = F.greatest(F.length(left), F.length(right))
     return (
         F.when(left == right, F.lit(1.0))
         .when((left == "") | (right == ""), F.lit(0.0))
-        .otherwise(1 - F.levenshtein(left, right) / longest)
+        .otherwise(1 - edit_distance(left, right) / longest)
     )
 
 

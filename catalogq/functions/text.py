@@ -81,25 +81,36 @@ def canonical(value: Column) -> Column:
     return canonical_text(trimmed(value))
 
 
-def with_match_key(df: DataFrame, value: Column, name: str) -> DataFrame:
+def _bounded(form: Column) -> Column:
+    """A canonical form as a shuffle key; never NULL, as the planner can see."""
+    digest = F.concat(F.lit("sha256:"), F.sha2(form, 256))
+    return F.coalesce(F.when(F.octet_length(form) > LONGEST_PLAIN_KEY, digest).otherwise(form), F.lit(""))
+
+
+def with_match_key(df: DataFrame, value: Column, name: str, filled: bool = False) -> DataFrame:
     """Add the canonical value as a shuffle key of bounded width; NULL for an empty cell.
 
     Long texts travel as a SHA-256 digest. A digest key is longer than any plain
     key, so the two cannot be confused. The steps are separate projections, so that
-    none is evaluated twice.
+    none is evaluated twice. With `filled`, rows with an empty cell are dropped before
+    the steps and the key is known not to be NULL. A later test for NULL, or the one that
+    a join adds, would carry all the steps down into a filter.
     """
     form = F.col("_form")
-    key = F.when(
-        F.octet_length(form) > LONGEST_PLAIN_KEY, F.concat(F.lit("sha256:"), F.sha2(form, 256))
-    ).otherwise(null_if_empty(form))
+    rows = df.where(trimmed(value) != "") if filled else df
     return (
-        df.withColumn("_trimmed", trimmed(value))
+        rows.withColumn("_trimmed", trimmed(value))
         .withColumn("_form", canonical_text(F.col("_trimmed")))
-        .withColumn(name, key)
+        .withColumn(name, _bounded(form) if filled else null_if_empty(_bounded(form)))
         .drop("_trimmed", "_form")
     )
 
 
+def match_keys(values: Column) -> Column:
+    """The match keys of an array of cells, for few rows: its steps are not compiled."""
+    return F.transform(F.transform(values, lambda v: canonical(v)), lambda f: null_if_empty(_bounded(f)))
+
+
 def round_half_away(value: Column, digits: int) -> Column:
     """Scale, round half away from zero, scale back."""
     scale = F.lit(10.0**digits)

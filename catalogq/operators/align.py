@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogq.functions.text import ratio, with_match_key
+from catalogq.functions.text import is_empty, ratio, with_match_key
 from catalogq.operators.profile import quoted
 from catalogq.operators.topk import first_per_group
 
@@ -17,22 +17,26 @@ def text_columns(columns: Sequence[str], prefix: str) -> list[Column]:
     return [F.expr(f"CAST({quoted(c)} AS STRING) AS {quoted(f'{prefix}:{c}')}") for c in columns]
 
 
-def keyed(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], prefix: str) -> DataFrame:
-    """(_key, <prefix>_ord, prefixed columns); _key is NULL where the key cell is empty."""
+def keyed(
+    df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], prefix: str, kept: Sequence[str] = (),
+    filled: bool = False,
+) -> DataFrame:
+    """(_key, <prefix>_ord, prefixed columns, kept ones); _key is NULL where the key cell is empty, or with filled no such rows."""
     rows = df.select(
+        *kept,
         F.col(quoted(key)).cast("string").alias("_cell"),
         *([F.struct(*order).alias(f"{prefix}_ord")] if order else []),
         *text_columns(columns, prefix),
     )
-    return with_match_key(rows, F.col("_cell"), "_key").drop("_cell")
+    return with_match_key(rows, F.col("_cell"), "_key", filled).drop("_cell")
 
 
 def first_per_key(rows: DataFrame, prefix: str) -> DataFrame:
-    """Empty keys are dropped and repeated keys cut before the shuffle."""
+    """Of rows with filled keys the first of each key; repeated keys are cut before the shuffle."""
     cells = sorted(c for c in rows.columns if c.startswith(f"{prefix}:"))
     # Rows with the same place are told apart by their cells, so every evaluation takes the same one.
     order = [F.col(f"{prefix}_ord"), *([F.xxhash64(*[F.col(f"`{c}`") for c in cells])] if cells else [])]
-    return first_per_group(rows.where("_key is not null"), ["_key"], order)
+    return first_per_group(rows, ["_key"], order)
 
 
 def align_rows(
@@ -48,8 +52,8 @@ def align_rows(
     """
 
     def rows(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], prefix: str) -> DataFrame:
-        found = keyed(df, key, order, columns, prefix)
-        return found.where("_key is not null") if unique else first_per_key(found, prefix)
+        found = keyed(df, key, order, columns, prefix, filled=True)
+        return found if unique else first_per_key(found, prefix)
 
     left = rows(reference, reference_key, reference_order, reference_columns, "ref")
     right = rows(candidate, candidate_key, candidate_order, candidate_columns, "cand")
@@ -105,7 +109,7 @@ def unmatched_rows(
 
     The other side is reduced to distinct keys; rows with an empty key bypass the join.
     """
-    marked = with_match_key(rows, F.col(quoted(key)).cast("string"), "_key")
-    known = keyed(other, other_key, [], [], "any").select("_key").distinct()
-    absent = marked.where("_key is not null").join(known, "_key", "left_anti")
-    return absent.unionByName(marked.where("_key is null")).drop("_key")
+    cell = F.col(quoted(key)).cast("string")
+    known = keyed(other, other_key, [], [], "any", filled=True).select("_key").distinct()
+    absent = with_match_key(rows, cell, "_key", filled=True).join(known, "_key", "left_anti").drop("_key")
+    return absent.unionByName(rows.where(is_empty(cell)))

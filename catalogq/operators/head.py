@@ -32,9 +32,12 @@ def first_rows(df: DataFrame, order: Sequence[str], n: int) -> tuple[DataFrame,
 
     One pass over the order columns finds the last position; each task keeps n positions.
     """
-    position = F.struct(*[F.col(c) for c in order])
-    positions = first_n(df.select(position.alias("position")), [F.col("position")], n)
-    last = positions.agg(F.max("position").alias("last"), F.count("*").alias("rows")).first()
-    if last["rows"] < n:
-        return df, True
-    return df.where(not_after(df, order, last["last"])), False
+    last = last_of_first(df.select(F.struct(*[F.col(c) for c in order]).alias("position")), n)
+    return (df, True) if last is None else (df.where(not_after(df, order, last)), False)
+
+
+def last_of_first(positions: DataFrame, n: int):
+    """The position of the n-th row of (position); None if there are fewer rows."""
+    first = first_n(positions, [F.col("position")], n)
+    last = first.agg(F.max("position").alias("last"), F.count("*").alias("rows")).first()
+    return last["last"] if last["rows"] >= n else None

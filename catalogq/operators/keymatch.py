@@ -4,21 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogq.functions.similarity import header_tokens, token_similarity
 from catalogq.functions.text import ratio, round_half_away, with_match_key
 from catalogq.operators.profile import cells
+from catalogq.session import materialize
 
 # Fixed value: key candidates listed in a report.
 LISTED_CANDIDATES = 10
+SET_BITS = 12
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, key): the non-empty values of each column once."""
-    keys = with_match_key(cells(df, columns), F.col("value"), "key")
-    return keys.select("column", "key").where("key is not null").distinct()
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, key string")
+    return with_match_key(cells(df, columns), F.col("value"), "key", filled=True).select("column", "key").distinct()
+
+
+def value_sketch(key: Column) -> Column:
+    """A mergeable sketch of the set of values; up to 2^SET_BITS values it is the set itself."""
+    return F.theta_sketch_agg(key, SET_BITS)
+
+
+def may_share(left: DataFrame, right: DataFrame) -> list[tuple]:
+    """Pairs of columns of (column, values) that may share a value; the others are proven to share none.
+
+    Sketches of whole sets that do not meet are the proof, so a small overlap of large sets is
+    never lost: such pairs are left to the exact join. Both tables have one row per column.
+    """
+    whole = lambda x: F.theta_sketch_estimate(x) <= 1 << SET_BITS
+    others = [r["column"] for r in right.select("column").collect()]
+    if not others:
+        return []
+    # One row per column on either side: the right ones become a list beside each left one.
+    listed = right.agg(F.collect_list(F.struct("column", "values")).alias("others"))
+    each = left.withColumn("_all", F.lit(1)).join(listed.withColumn("_all", F.lit(1)), "_all")
+    met = each.select(F.col("column").alias("a"), F.col("values").alias("mine"), F.explode("others").alias("o"))
+    apart = whole(F.col("mine")) & whole(F.col("o.values")) & (
+        F.theta_sketch_estimate(F.theta_intersection(F.col("mine"), F.col("o.values"))) == 0
+    )
+    return [(r["a"], r["b"]) for r in met.where(~apart).select("a", F.col("o.column").alias("b")).collect()]
+
+
+def possible_pairs(
+    reference: DataFrame, reference_columns: Sequence[str], candidate: DataFrame, candidate_columns: Sequence[str]
+) -> list[tuple[str, str]]:
+    """Pairs of columns that may share a value, by one pass over each table that shuffles one sketch per column and task."""
+
+    def sketches(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        keys = with_match_key(cells(df, columns), F.col("value"), "key", filled=True)
+        return keys.groupBy("column").agg(value_sketch(F.col("key")).alias("values"))
+
+    sides = ((reference, reference_columns, "left"), (candidate, candidate_columns, "right"))
+    return may_share(*[materialize(sketches(df, columns), f"sets-{name}") for df, columns, name in sides])
 
 
 def key_overlap(
@@ -26,11 +67,14 @@ def key_overlap(
 ) -> DataFrame:
     """(reference_column, candidate_column, intersection_count) for pairs that share values.
 
-    One join on the value serves all pairs of columns. A side holds a value at most
+    Columns that sketches prove to share nothing with the other table are not shuffled. For the
+    others, one join on the value serves all pairs of columns. A side holds a value at most
     once per column, so no value can produce more rows than there are column pairs.
     """
-    left = distinct_values(reference, reference_columns).withColumnRenamed("column", "reference_column")
-    right = distinct_values(candidate, candidate_columns).withColumnRenamed("column", "candidate_column")
+    pairs = possible_pairs(reference, reference_columns, candidate, candidate_columns)
+    some = lambda columns, side: [c for c in columns if any(p[side] == c for p in pairs)]
+    left = distinct_values(reference, some(reference_columns, 0)).withColumnRenamed("column", "reference_column")
+    right = distinct_values(candidate, some(candidate_columns, 1)).withColumnRenamed("column", "candidate_column")
     return (
         left.join(right, "key")
         .groupBy("reference_column", "candidate_column")

@@ -39,14 +39,14 @@ def sample_rows(
     )
     if size <= 0:
         return whole
-    places = keyed(reference, reference_key, reference_order, [], "ref").where("_key is not null")
+    places = keyed(reference, reference_key, reference_order, [], "ref", filled=True)
     places = places.groupBy("_key").agg(F.min("ref_ord").alias("ref_ord"))
-    known = keyed(candidate, candidate_key, [], [], "cand").where("_key is not null").select("_key").distinct()
+    known = keyed(candidate, candidate_key, [], [], "cand", filled=True).select("_key").distinct()
     matched = places.join(known, "_key", "left_semi")
     chosen = materialize(first_n(matched, [F.col("ref_ord"), F.col("_key")], size).select("_key"), "sample")
 
     def side(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], prefix: str) -> DataFrame:
-        rows = keyed(df, key, order, columns, prefix).join(chosen, "_key", "left_semi")
+        rows = keyed(df, key, order, columns, prefix, filled=True).join(chosen, "_key", "left_semi")
         return first_per_key(rows, prefix)
 
     left = side(reference, reference_key, reference_order, reference_columns, "ref")
@@ -54,6 +54,29 @@ def sample_rows(
     return left.join(right, "_key")
 
 
+def first_matches(reference: DataFrame, candidate: DataFrame, size: int) -> DataFrame:
+    """(_key) of the first `size` rows of (place, key) whose key the other table has; keys are unique on both sides."""
+    known = candidate.where("key is not null").select("key")
+    matched = reference.where("key is not null").join(known, "key", "left_semi")
+    return materialize(first_n(matched, [F.col("place"), F.col("key")], size).select(F.col("key").alias("_key")), "sample")
+
+
+def picked_rows(
+    df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], prefix: str, chosen: DataFrame, head: Column | None
+) -> DataFrame:
+    """The chosen rows (_chosen) and the rows of the head (_head) with their cells, in one pass, written.
+
+    head says which rows lie at the start of the table, None: all. The chosen keys are few and
+    written, so Spark knows their size when it plans the join.
+    """
+    marked = df.withColumn("_head", F.lit(True) if head is None else F.coalesce(head, F.lit(False)))
+    rows = keyed(marked, key, order, columns, prefix, ["_head"])
+    found = rows.join(chosen.withColumn("_chosen", F.lit(True)), "_key", "left").withColumn(
+        "_chosen", F.coalesce("_chosen", F.lit(False))
+    )
+    return materialize(found.where("_chosen or _head"), f"picked-{prefix}")
+
+
 def sample_similarity(
     sample: DataFrame, reference_columns: Sequence[str], candidate_columns: Sequence[str]
 ) -> DataFrame:

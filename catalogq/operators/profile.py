@@ -15,6 +15,7 @@ from catalogq.operators.topk import top_per_group
 SAMPLE_CELLS = 500
 # Rows looked at first, as a multiple of the cells wanted.
 HEAD_ROWS_PER_CELL = 4
+HEAD_ROWS = HEAD_ROWS_PER_CELL * SAMPLE_CELLS
 
 
 def header_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -84,13 +85,18 @@ def _first_cells(df: DataFrame, columns: Sequence[str], order: Sequence[str], si
     return top_per_group(filled, ["column"], [F.col("_ord")], size)
 
 
-def profile_sample(df: DataFrame, columns: Sequence[str], order: Sequence[str], size: int = SAMPLE_CELLS) -> DataFrame:
+def profile_sample(
+    df: DataFrame, columns: Sequence[str], order: Sequence[str], size: int = SAMPLE_CELLS,
+    head: tuple[DataFrame, bool] | None = None,
+) -> DataFrame:
     """Number and boolean shares and byte lengths over the first non-empty cells of each column.
 
     The first rows of the table hold the sample of every well-filled column, so only
-    columns that are sparse at the start are looked for in the whole table.
+    columns that are sparse at the start are looked for in the whole table. A caller that
+    has fetched the first rows (HEAD_ROWS_PER_CELL * size of them, with the order columns) gives
+    them as head, with whether they are the whole table.
     """
-    head, whole = first_rows(df, order, HEAD_ROWS_PER_CELL * size)
+    head, whole = head or first_rows(df, order, HEAD_ROWS_PER_CELL * size)
     first = _first_cells(head, columns, order, size)
     if not whole:
         found = {r["column"]: r["n"] for r in first.groupBy("column").agg(F.count("*").alias("n")).collect()}
@@ -114,5 +120,5 @@ def profile_sample(df: DataFrame, columns: Sequence[str], order: Sequence[str],
 
 
 def unique_columns(counts: DataFrame) -> DataFrame:
-    """The columns whose non-empty values never repeat, in header order."""
+    """Of a table of counts, the columns whose non-empty values never repeat, in header order."""
     return counts.where("is_unique").select("position", "column").orderBy("position")

@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogq.operators.align import align_rows, alignment_counts
-from catalogq.operators.keymatch import rank_keys
+from catalogq.operators.align import align_rows
+from catalogq.operators.head import last_of_first, not_after
+from catalogq.operators.keymatch import LISTED_CANDIDATES, key_candidates
+from catalogq.operators.keytable import KeyFigures, KeyTable, exactly_unique, key_figures, key_table, repeated_early
 from catalogq.operators.mapping import (
     DEFAULT_SAMPLE,
     LISTED_PAIRS,
     assign_columns,
+    first_matches,
     mapping_pairs,
-    sample_rows,
+    picked_rows,
     sample_similarity,
 )
-from catalogq.operators.profile import profile_counts, profile_sample
+from catalogq.operators.profile import HEAD_ROWS, profile_sample
 from catalogq.operators.scoring import CellSimilarity, column_scores
 
 OK, PARTIAL, NO_KEY = "ok", "partial_key_match", "no_complete_key_match"
@@ -157,56 +162,118 @@ def _zero_report(ref: Table, cand: Table, sample_size: int, counts: dict, keys:
     return _report(ref, cand, NO_KEY, sample_size, counts, keys, alignment, mapping, scores)
 
 
+def _both(*jobs: Callable[[], Any]) -> list:
+    """The results of independent steps, usually one per side, that Spark works on at the same time."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
+def _candidate_keys(table: Table) -> KeyTable | None:
+    """The key table of the columns that may be unique; None if there are none."""
+    repeated = set(repeated_early(table.df, table.headers))
+    columns = [c for c in table.headers if c not in repeated]
+    return key_table(table.df, table.order, columns) if columns else None
+
+
+def _small_counts(spark: SparkSession, headers: Sequence[str], figures: KeyFigures, side: int) -> DataFrame:
+    rows, filled = figures.rows[side], figures.filled[side]
+    schema = "position int, column string, row_count long, non_empty_count long, unique_non_empty_count long"
+    unique = [(headers.index(c), c, rows, filled[c], filled[c]) for c in figures.unique[side]]
+    return spark.createDataFrame(unique, schema)
+
+
+def _find_keys(ref: Table, cand: Table) -> tuple[KeyTable | None, KeyTable | None, KeyFigures, list[dict]]:
+    """The key tables of both sides, their figures, and the best pairs of columns that identify rows."""
+    spark = ref.df.sparkSession
+    left, right = _both(lambda: _candidate_keys(ref), lambda: _candidate_keys(cand))
+    if left is None or right is None:
+        counted = _both(*[lambda t=t: t.df.count() for t in (ref, cand)])
+        nothing: tuple[dict, dict] = ({}, {})
+        unique = tuple([c for c in (exactly_unique(k) if k else [])] for k in (left, right))
+        return left, right, KeyFigures(tuple(counted), nothing, unique, {}), []
+    figures = key_figures(left, right)
+    if not figures.overlaps:
+        return left, right, figures, []
+    overlap = spark.createDataFrame(
+        [(a, b, n) for (a, b), n in figures.overlaps.items()],
+        "reference_column string, candidate_column string, intersection_count long",
+    )
+    counts = (_small_counts(spark, t.headers, figures, i) for i, t in enumerate((ref, cand)))
+    ranked = key_candidates(overlap, *counts).limit(LISTED_CANDIDATES)
+    return left, right, figures, [r.asDict() for r in ranked.collect()]
+
+
+def _alignment(figures: KeyFigures, reference_key: str, candidate_key: str) -> dict:
+    """Row alignment on a pair of unique columns: every shared value is one aligned pair."""
+    matched = figures.overlaps[reference_key, candidate_key]
+    ref_rows, cand_rows = figures.rows
+    missing = cand_rows - matched
+    return {
+        "complete": missing == 0 and matched == ref_rows,
+        "reference_rows": ref_rows,
+        "candidate_rows": cand_rows,
+        "matched_rows": matched,
+        "duplicate_reference_keys": 0,
+        "duplicate_candidate_matches": 0,
+        "missing_candidate_keys": missing,
+        "coverage_reference": matched / ref_rows if ref_rows else 0.0,
+        "coverage_candidate": matched / cand_rows if cand_rows else 0.0,
+        "reference_key": reference_key,
+        "candidate_key": candidate_key,
+    }
+
+
+def _picked(table: Table, key: str, prefix: str, chosen: DataFrame, last) -> tuple[DataFrame, DataFrame]:
+    """(the chosen rows, the profile of the columns), from one pass over the table.
+
+    A further pass, over them alone, is made for columns with too few filled cells in the head.
+    """
+    head = None if last is None else not_after(table.df, table.order, last)
+    rows = picked_rows(table.df, key, table.order, table.headers, prefix, chosen, head)
+    order = [F.col(f"{prefix}_ord").getField(c).alias(c) for c in table.order]
+    cells = [F.col(f"`{prefix}:{c}`").alias(c) for c in table.headers if c not in table.order]
+    start = rows.where("_head").select(*order, *cells)
+    kinds = profile_sample(table.df, table.headers, table.order, head=(start, last is None))
+    return rows.where("_chosen").drop("_head", "_chosen"), kinds
+
+
 def compare(
     reference: Table, candidate: Table, sample_size: int = DEFAULT_SAMPLE, cell_similarity: CellSimilarity | None = None
 ) -> dict:
     """Find the key, align the rows, map the columns and score them; the report as nested dicts.
 
-    Only figures about columns reach the driver (one row per column or per pair of
-    columns); rows and cells never do.
+    Each table is read three times, after a look at its first rows: for the key table of the
+    columns that may be unique, from which uniqueness, overlaps, counts and the sample come; for
+    the rows of the sample and of the head; and for the scores of the mapped columns. Only
+    figures about columns reach the driver (one row per column or per pair of columns), and the
+    bounded keys of the first rows; other rows and cells never do.
     """
     sample_size = max(sample_size, 0)
     ref, cand = reference, candidate
-    ref_counts = profile_counts(ref.df, ref.headers).orderBy("position").collect()
-    cand_counts = profile_counts(cand.df, cand.headers).orderBy("position").collect()
-    spark = ref.df.sparkSession
-    ref_unique = [r["column"] for r in ref_counts if r["is_unique"]]
-    cand_unique = [r["column"] for r in cand_counts if r["is_unique"]]
-    counts = {"reference_unique": ref_unique}
-    ref_rows = ref_counts[0]["row_count"] if ref_counts else 0
-    cand_rows = cand_counts[0]["row_count"] if cand_counts else 0
-
-    candidates = []
-    if ref_unique and cand_unique:
-        schema = "position int, column string, row_count long, non_empty_count long, unique_non_empty_count long"
-
-        def small(rows):
-            fields = [name.split()[0] for name in schema.split(", ")]
-            return spark.createDataFrame([tuple(r[f] for f in fields) for r in rows], schema)
-
-        ranked = rank_keys(ref.df, cand.df, small(ref_counts), small(cand_counts), ref_unique, cand_unique)
-        candidates = [r.asDict() for r in ranked.collect()]
+    left, right, figures, candidates = _find_keys(ref, cand)
+    counts = {"reference_unique": figures.unique[0]}
     keys = _key_match(candidates)
     if not keys["found_usable_match"]:
         nothing = {
-            "complete": False, "matched_rows": 0, "reference_rows": ref_rows, "candidate_rows": cand_rows,
+            "complete": False, "matched_rows": 0, "reference_rows": figures.rows[0], "candidate_rows": figures.rows[1],
             "coverage_reference": 0.0, "coverage_candidate": 0.0,
         }
         return _zero_report(ref, cand, sample_size, counts, keys, nothing)
 
     ref_key, cand_key = keys["reference_column"], keys["candidate_column"]
-    alignment = alignment_counts(ref.df, cand.df, ref_key, cand_key).first().asDict()
-    alignment.update(reference_key=ref_key, candidate_key=cand_key)
-    if alignment["matched_rows"] == 0:
-        return _zero_report(ref, cand, sample_size, counts, keys, alignment)
-
+    alignment = _alignment(figures, ref_key, cand_key)
     sides = (ref.df, cand.df, ref_key, cand_key, ref.order, cand.order)
-    sample = sample_rows(*sides, ref.headers, cand.headers, sample_size)
-    pairs = mapping_pairs(
-        sample_similarity(sample, ref.headers, cand.headers),
-        profile_sample(ref.df, ref.headers, ref.order),
-        profile_sample(cand.df, cand.headers, cand.order),
+    # Key columns are unique, so every step takes the rows as they are.
+    first_places = [lambda k=k: last_of_first(k.places(), HEAD_ROWS) for k in (left, right)]
+    chosen, *lasts = _both(lambda: first_matches(left.of(ref_key), right.of(cand_key), sample_size or 1), *first_places)
+    (ref_rows, ref_kinds), (cand_rows, cand_kinds) = _both(
+        lambda: _picked(ref, ref_key, "ref", chosen, lasts[0]), lambda: _picked(cand, cand_key, "cand", chosen, lasts[1])
     )
+    if sample_size:
+        sample = ref_rows.join(cand_rows, "_key")
+    else:
+        sample = align_rows(*sides, ref.headers, cand.headers, unique=True)
+    pairs = mapping_pairs(sample_similarity(sample, ref.headers, cand.headers), ref_kinds, cand_kinds)
     ranked_pairs = [_pair_fields(r.asDict()) for r in pairs.collect()]
     accepted = assign_columns(ranked_pairs)
     by_ref = {p["reference_column"]: p for p in accepted}
@@ -224,8 +291,7 @@ def compare(
     scored = {}
     if accepted:
         mapped = [(p["reference_column"], p["candidate_column"]) for p in accepted]
-        unique = alignment["duplicate_reference_keys"] == 0 == alignment["duplicate_candidate_matches"]
-        aligned = align_rows(*sides, [m[0] for m in mapped], [m[1] for m in mapped], unique)
+        aligned = align_rows(*sides, [m[0] for m in mapped], [m[1] for m in mapped], unique=True)
         scored = {r["reference_column"]: r for r in column_scores(aligned, mapped, cell_similarity).collect()}
     per_column = []
     for name in ref.headers:

@@ -33,6 +33,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .appName("catalogq")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
+        # Small tables on many cores: the defaults, made for large ones, would put them into one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        .config("spark.sql.files.openCostInBytes", "128k")
+        # Else every function call from Python also records where it stands.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogq.functions import similarity, text
-from catalogq.operators import align, keymatch, mapping, perturb, profile, scoring
+from catalogq.operators import align, keymatch, keytable, mapping, perturb, profile, scoring
 from catalogq.plans import compare as comparison
 from catalogq.session import materialize, new_folder
 from catalogq.sources import sinks, tables
@@ -35,7 +35,7 @@ def col_profile_counts_text(spark: SparkSession, d: str) -> DataFrame:
     f'SELECT position, "column" FROM ({sql.profile_counts("customer", CUSTOMER)}) WHERE is_unique',
 )
 def unique_columns(spark: SparkSession, d: str) -> DataFrame:
-    return profile.unique_columns(profile.profile_counts(table(spark, d, "customer"), CUSTOMER))
+    return keytable.find_unique(table(spark, d, "customer"), CUSTOMER)
 
 
 def _rounded_sample(df: DataFrame) -> DataFrame:
@@ -409,9 +409,10 @@ def _compared(
     spark: SparkSession, d: str, kept: Column | None = None, sample_size: int = mapping.DEFAULT_SAMPLE
 ) -> dict:
     """A comparison reads its tables several times, so the two views are written first."""
-    other = candidate(spark, d) if kept is None else candidate(spark, d).where(kept)
+    made = materialize(products(spark, d), "ref")
+    other = candidate(spark, d, made) if kept is None else candidate(spark, d, made).where(kept)
     return comparison.compare(
-        comparison.Table(materialize(products(spark, d), "ref"), ["gtin"], sql.REFERENCE_COLUMNS, "products"),
+        comparison.Table(made, ["gtin"], sql.REFERENCE_COLUMNS, "products"),
         comparison.Table(materialize(other, "cand"), ["gtin_code"], sql.CANDIDATE_COLUMNS, "candidate"),
         sample_size,
     )

@@ -31,9 +31,10 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidate(spark: SparkSession, sf_dir: str, made_from: DataFrame | None = None) -> DataFrame:
+    """The candidate table; made_from: the products where they are written already."""
     dan, name, price = F.col("dan"), F.col("name"), F.col("price_eur")
-    return products(spark, sf_dir).select(
+    return (products(spark, sf_dir) if made_from is None else made_from).select(
         F.col("gtin").alias("gtin_code"),
         dan.alias("dan_code"),
         F.when(dan % 5 == 0, F.concat(name, F.lit("x"))).when(dan % 7 == 0, F.upper(name)).otherwise(name)
