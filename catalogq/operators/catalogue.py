@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogq.functions.text import WHITESPACE, null_if_empty
+from catalogq.operators.rankdir import Ranked, ranked
 from catalogq.operators.rowindex import with_position
 from catalogq.operators.topk import first_n, top_per_group
 from catalogq.session import materialize
@@ -29,6 +30,9 @@ SIMILAR_ITEMS = 8
 SEARCH_FIELDS = ("name", "brand", "category_path")
 MIN_QUERY_LENGTH = 3
 PAGE_SIZE = 10
+# Rows from the start up to which a page is cut out of one pass; and the pieces that a query of many probes with.
+NEAR_ROWS = 10_000
+PROBES = 2
 SHARD_SIZE = 10_000
 MAX_SHARD_SIZE = 50_000
 
@@ -203,20 +207,25 @@ def _matches(fields: Sequence[str], needle: Column) -> Column:
     return condition
 
 
-def _search_order(fields: Sequence[str], needle: Column, identifier: str) -> list[Column]:
-    """Prefix hits field by field, then popularity, rating, name; the id settles ties."""
+def _search_keys(fields: Sequence[str], needle: Column, identifier: str) -> list[tuple[Column, bool]]:
+    """(key, descending): prefix hits field by field, then popularity, rating, name; the id settles ties."""
     prefix = [
         F.when(F.coalesce(ascii_lower(F.col(f)).startswith(needle), F.lit(False)), 0).otherwise(1) for f in fields
     ]
     return [
-        *prefix,
-        F.col("rating_count").desc_nulls_last(),
-        F.col("rating_value").desc_nulls_last(),
-        F.col("name"),
-        F.col(identifier),
+        *[(p, False) for p in prefix],
+        (F.col("rating_count"), True),
+        (F.col("rating_value"), True),
+        (F.col("name"), False),
+        (F.col(identifier), False),
     ]
 
 
+def _search_order(fields: Sequence[str], needle: Column, identifier: str) -> list[Column]:
+    keys = _search_keys(fields, needle, identifier)
+    return [key.desc_nulls_last() if down else key.asc_nulls_first() for key, down in keys]
+
+
 def _search_items(rows: DataFrame, identifier: str) -> list[Column]:
     shown = "gtin" if "gtin" in rows.columns else identifier
     ident = F.coalesce(F.col(shown).cast("string"), F.lit(""))
@@ -265,11 +274,31 @@ def search_matches(catalogue: DataFrame, query: str) -> DataFrame:
     return catalogue.where(_matches(search_fields(catalogue), needle))
 
 
+def ranked_matches(catalogue: DataFrame, query: str, identifier: str = "gtin") -> Ranked:
+    """All matches put in order once, for any number of pages however deep."""
+    hits = search_matches(catalogue, query)
+    needle = ascii_lower(F.lit(checked_query(query)))
+    needed = list(dict.fromkeys([identifier, *[c for c in ITEM_COLUMNS if c in hits.columns]]))
+    return ranked(hits.select(*needed), _search_keys(search_fields(catalogue), needle, identifier), "matches")
+
+
+def ranked_page(matches: Ranked, page: int = 1, page_size: int = PAGE_SIZE, identifier: str = "gtin") -> DataFrame:
+    """One page of the ordered matches: reads the ranges that hold it."""
+    rows = matches.page(checked_offset(page, page_size), page_size)
+    return rows.select(*_search_items(rows, identifier))
+
+
 def search_items(
     catalogue: DataFrame, query: str, page: int = 1, page_size: int = PAGE_SIZE, identifier: str = "gtin"
 ) -> DataFrame:
-    """One page of ranked matches: a scan that keeps page * page_size rows per task, in two levels."""
+    """One page of ranked matches.
+
+    Up to NEAR_ROWS rows from the start each task keeps the rows that can be on the page, in one
+    pass and two levels. Further on, all matches are put in order once, and the page is read from there.
+    """
     offset = checked_offset(page, page_size)
+    if offset + page_size > NEAR_ROWS:
+        return ranked_page(ranked_matches(catalogue, query, identifier), page, page_size, identifier)
     needle = ascii_lower(F.lit(checked_query(query)))
     hits = search_matches(catalogue, query)
     order = _search_order(search_fields(catalogue), needle, identifier)
@@ -282,10 +311,13 @@ def search(
     """The page with its totals."""
     query = checked_query(query)
     offset = checked_offset(page, page_size)
-    total = search_matches(catalogue, query).count()
+    if offset + page_size > NEAR_ROWS:
+        matches = ranked_matches(catalogue, query, identifier)
+        total, items = matches.total, ranked_page(matches, page, page_size, identifier)
+    else:
+        total, items = search_matches(catalogue, query).count(), search_items(catalogue, query, page, page_size, identifier)
     return SearchPage(
-        query, page, page_size, offset, total, -(-total // page_size), search_fields(catalogue),
-        search_items(catalogue, query, page, page_size, identifier),
+        query, page, page_size, offset, total, -(-total // page_size), search_fields(catalogue), items
     )
 
 
@@ -297,29 +329,63 @@ def _trigrams(text: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def query_hits(catalogue: DataFrame, queries: DataFrame, identifier: str = "gtin") -> DataFrame:
-    """Catalogue rows with each query (column `query`) they match.
+def _row_pieces(catalogue: DataFrame, fields: Sequence[str], identifier: str) -> DataFrame:
+    """(_id, _piece): the distinct pieces of each row; nothing else of the row travels with them."""
+    pieces = F.array_distinct(
+        F.flatten(F.array(*[_trigrams(F.coalesce(ascii_lower(F.col(f)), F.lit(""))) for f in fields]))
+    )
+    return catalogue.select(F.col(identifier).alias("_id"), F.explode(pieces).alias("_piece"))
+
 
-    A query has at least three characters, so every match holds the query's first
-    three: rows and queries meet in an equi-join on a three-character piece, and only
-    those pairs are checked in full. A query has one such piece and a row holds it
-    once, so no pair comes up twice. Adaptive execution chooses the join by size and
-    splits a piece that most rows share.
+def _rarest_pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query, _needle, _piece, _parts): the PROBES pieces of each query that the fewest rows hold.
+
+    A query with a piece that no row holds has no hits and is left out. Frequencies are counted
+    before the shuffle, for the pieces of queries only.
+    """
+    asked = materialize(wanted.select("query", "_needle", F.explode(_trigrams(F.col("_needle"))).alias("_piece")), "pieces")
+    held = rows.join(asked.select("_piece").distinct(), "_piece", "left_semi").groupBy("_piece").agg(F.count("*").alias("n"))
+    counted = asked.join(held, "_piece", "left").select(
+        "query", "_needle", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_piece").alias("piece")
+    )
+    # A query has as many pieces as characters.
+    rarest = counted.groupBy("query", "_needle").agg(F.slice(F.array_sort(F.collect_list("piece")), 1, PROBES).alias("rare"))
+    found = rarest.where(F.col("rare")[0]["n"] > 0)
+    return found.select("query", "_needle", F.size("rare").alias("_parts"), F.explode(F.col("rare")["_piece"]).alias("_piece"))
+
+
+def candidate_pairs(catalogue: DataFrame, queries: DataFrame, identifier: str = "gtin") -> DataFrame:
+    """(_id, query, _needle): rows that hold the rarest pieces of a query, written; every hit is among them.
+
+    Rows and queries meet in an equi-join on three-character pieces. Each query probes with its
+    rarest pieces and a row must hold all of them, so a piece that stands in every name brings
+    rows only to queries that have no rarer one.
     """
-    fields = search_fields(catalogue)
     wanted = (
         queries.select(F.btrim(F.col("query"), F.lit(WHITESPACE)).alias("query"))
         .where(F.length("query") >= MIN_QUERY_LENGTH)
         .distinct()
         .withColumn("_needle", ascii_lower(F.col("query")))
-        .withColumn("_piece", F.substring("_needle", 1, 3))
     )
-    pieces = F.array_distinct(
-        F.flatten(F.array(*[_trigrams(F.coalesce(ascii_lower(F.col(f)), F.lit(""))) for f in fields]))
+    rows = _row_pieces(catalogue, search_fields(catalogue), identifier)
+    probes = materialize(_rarest_pieces(rows, wanted), "probes")
+    met = rows.join(probes, "_piece").groupBy("_id", "query", "_needle").agg(
+        F.count_distinct("_piece").alias("n"), F.max("_parts").alias("_parts")
     )
+    return materialize(met.where("n = _parts").select("_id", "query", "_needle"), "candidates")
+
+
+def query_hits(catalogue: DataFrame, queries: DataFrame, identifier: str = "gtin") -> DataFrame:
+    """Catalogue rows with each query (column `query`) they match.
+
+    Only ids and pieces go through the piece join; the rows themselves are fetched for the
+    pairs that are left, by a join that adaptive execution chooses by size, and checked in full.
+    """
+    fields = search_fields(catalogue)
     needed = list(dict.fromkeys([identifier, *[c for c in ITEM_COLUMNS if c in catalogue.columns]]))
-    rows = catalogue.select(*needed, F.explode(pieces).alias("_piece"))
-    return rows.join(wanted, "_piece").where(_matches(fields, F.col("_needle"))).drop("_piece")
+    rows, pairs = catalogue.select(*needed), candidate_pairs(catalogue, queries, identifier)
+    hits = rows.join(pairs, rows[identifier].eqNullSafe(pairs["_id"])).drop("_id")
+    return hits.where(_matches(fields, F.col("_needle")))
 
 
 def search_many(
@@ -385,8 +451,12 @@ def shard_index(
 
 def find_by_id(table: DataFrame, identifier: str, value) -> DataFrame:
     """The row with this id (at most one); the filter reaches the scan."""
-    kind = table.schema[identifier].dataType
-    return table.where(F.col(identifier) == F.lit(value).try_cast(kind)).limit(1)
+    return rows_with(table, identifier, value).limit(1)
+
+
+def rows_with(table: DataFrame, column: str, value) -> DataFrame:
+    """All rows with this value; the filter reaches the scan, which skips files and row groups by it."""
+    return table.where(F.col(column) == F.lit(value).try_cast(table.schema[column].dataType))
 
 
 def find_by_ids(table: DataFrame, identifier: str, wanted: DataFrame) -> DataFrame:

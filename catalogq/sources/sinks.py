@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from catalogq.functions.display import float_text
 from catalogq.plans.quality import render_markdown
+from catalogq.sources.layout import clustered
 
 # Fixed value: columns written with a decimal point even when whole.
 FLOAT_COLUMNS = ("price_eur", "unit_quantity", "unit_price_eur", "unit_price_per_quantity", "rating_value")
+# Columns of the clean table that lookups use, and those of them that are ids.
+LOOKUP_COLUMNS = ("category_path", "brand", "gtin", "dan")
+ID_COLUMNS = ("gtin", "dan")
+ROW_GROUP_BYTES = 32 << 20
 
 
 def csv_cell(df: DataFrame, name: str) -> Column:
@@ -49,9 +54,22 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] = ()) -> None:
     )
 
 
-def write_clean_table(df: DataFrame, path: str) -> None:
-    """Parquet, sorted inside each file so that category and brand filters skip row groups."""
-    df.sortWithinPartitions("category_path", "brand").write.mode("overwrite").parquet(path)
+def write_clean_table(
+    df: DataFrame, path: str, columns: Sequence[str] = LOOKUP_COLUMNS, row_group_bytes: int = ROW_GROUP_BYTES
+) -> None:
+    """Parquet laid out so that a lookup on any of the columns reads few row groups.
+
+    Ids get Bloom filters besides: their ranges in a row group are narrow only in part. Columns
+    that the table does not have are passed over.
+    """
+    present = [c for c in columns if c in df.columns]
+    rows = clustered(df, present) if present else df
+    writer = rows.write.mode("overwrite").option("parquet.block.size", row_group_bytes)
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+    for name in ID_COLUMNS:
+        if name in present:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    writer.parquet(path)
 
 
 def write_profile(profile: DataFrame, path: str) -> str:

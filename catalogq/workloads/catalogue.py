@@ -87,6 +87,21 @@ def search_page(spark: SparkSession, d: str) -> DataFrame:
     return ops.search(products(spark, d), " ReD ", page=2).items
 
 
+# A page near the end of a long result, read from the ranges that hold it.
+_DEEP, _DEEP_ORDER = _search_sql("'brand'", "products")
+
+
+@query(
+    "search_deep_page",
+    f"WITH products AS ({sql.PRODUCTS}), ranked AS (SELECT *, row_number() OVER (ORDER BY {_DEEP_ORDER}) AS rank, "
+    f"count(*) OVER () AS total FROM products WHERE {_DEEP}) SELECT {SHOWN_SQL} FROM ranked "
+    f"WHERE rank > 7 * CAST(floor(total * 0.9 / 7) AS BIGINT) AND rank <= 7 * CAST(floor(total * 0.9 / 7) AS BIGINT) + 7",
+)
+def search_deep_page(spark: SparkSession, d: str) -> DataFrame:
+    matches = ops.ranked_matches(products(spark, d), "Brand")
+    return ops.ranked_page(matches, int(matches.total * 0.9 / 7) + 1, 7)
+
+
 @query(
     "search_totals",
     f"WITH products AS ({sql.PRODUCTS}) SELECT count(*) AS total FROM products WHERE {_HIT}",
