@@ -334,6 +334,38 @@ def summary_frame(spark, report: dict) -> DataFrame:
     return report_frame(spark, report).select("summary.*")
 
 
+def report_rows(spark, report: dict) -> DataFrame:
+    """The report in long form, (section, item, metric, value, text): one row per figure or name."""
+    rows: list[tuple] = []
+
+    def add(section: str, item: str, figures: dict) -> None:
+        for metric, found in figures.items():
+            if found is not None:
+                word = isinstance(found, str)
+                rows.append((section, item, metric, None if word else float(found), found if word else None))
+
+    names = ("reference_column", "candidate_column")
+    mapping, scores = report["column_mapping"], report["scores"]
+    add("summary", "", report["summary"])
+    for side in ("reference", "candidate"):
+        add(f"{side}_profile", "", {k: v for k, v in report[f"{side}_profile"].items() if k != "unique_columns"})
+        for column in mapping[f"{side}_unmatched"]:
+            add(f"{side}_unmatched", column, {"unmatched": True})
+    for column in report["reference_profile"]["unique_columns"]:
+        add("reference_profile", column, {"unique": True})
+    add("row_alignment", "", report["row_alignment"])
+    for section, listed in (("key", report["key_match"]["candidates"]), ("pair", mapping["pair_candidates_top"])):
+        for rank, pair in enumerate(listed, 1):
+            add(section, "=".join(pair[n] for n in names), {"rank": rank, **{k: v for k, v in pair.items() if k not in names}})
+    add("column_mapping", "", {"mapping_confidence_avg": mapping["mapping_confidence_avg"]})
+    for column, pair in mapping["mapping"].items():
+        add("column_mapping", column, {k: v for k, v in pair.items() if k != "reference_column"})
+    for column in scores["per_reference_column"]:
+        add("score", column["reference_column"], {k: v for k, v in column.items() if k != "reference_column"})
+    add("scores", "", {k: v for k, v in scores.items() if k != "per_reference_column"})
+    return spark.createDataFrame(rows, "section string, item string, metric string, value double, text string")
+
+
 def write_report(spark, report: dict, path: str) -> None:
     """One JSON document with the whole report."""
     report_frame(spark, report).coalesce(1).write.mode("overwrite").json(path)

@@ -10,7 +10,7 @@ from catalogq.plans import quality, reference
 from catalogq.session import materialize, new_folder
 from catalogq.sources import sinks, tables
 from catalogq.workloads import sql
-from catalogq.workloads.registry import query, table
+from catalogq.workloads.registry import ORACLES, query, table
 from catalogq.workloads.views import products
 
 LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -583,9 +583,74 @@ def build_counts(spark: SparkSession, d: str) -> DataFrame:
     return quality.dataset_shape(kept, counts["source_rows"], counts["invalid_rows"], width)
 
 
+# The built rows with the columns that the profile looks at; all other columns are empty in every document.
+_FILLED_ALWAYS = (
+    "breadcrumbs_count breadcrumbs_path category_path currency description_headers description_headers_count "
+    "description_headers_json desc_material eyecatchers_count gross_price_infos gtin_matches_nested name product_gtin "
+    "product_is_pharmacy title_subheadline unit_info_raw unit_price_eur unit_price_per_quantity unit_price_per_unit "
+    "unit_quantity unit_quantity_unit price_eur"
+).split()
+_PROFILED = {
+    "gtin": "gtin", "dan": "dan", "brand": "nullif(trim(brand), '')", "brand_product_name": "nullif(trim(brand), '')",
+    "breadcrumb_1": "category_path", "breadcrumb_3": "name", "eyecatchers": "CASE WHEN has_eyecatchers THEN 'x' END",
+    "pills": "CASE WHEN has_pills THEN 'x' END", "has_eyecatchers": "has_eyecatchers", "has_pills": "has_pills",
+    "has_seals": "false", "has_variants": "false", "has_videos": "false", "rating_count": "rating_count", "rating_value": "rating_value",
+    "price_eur_top": "CASE WHEN dan % 3 = 0 THEN floor(price_eur) END", "price_raw": "CASE WHEN dan % 3 = 0 THEN 'x' END",
+    "price_diff_top_vs_gross": "CASE WHEN dan % 3 = 0 THEN 0 END", "gross_price_current_eur": "floor(price_eur * 100) / 100",
+    "scraped_at_utc": "CASE WHEN dan % 5 <> 0 THEN '2024-01-02 07:00:00.5' END", **{c: "'x'" for c in _FILLED_ALWAYS},
+}
+_ADDED_COLUMNS = (
+    "price_diff_top_vs_gross", "gtin_matches_nested", "available_norm", "unit_info_raw", "product_gtin", "gross_price_current_eur",
+    "price_diff_top_vs_meta", "dan_matches_nested", "price_diff_gross_vs_meta", "price_eur_top",
+)
+
+
+def _profile_sql() -> str:
+    columns = sorted({*reference.EXPORT_COLUMNS, *FLATTENED, *_ADDED_COLUMNS})
+    shown = ", ".join(f"{_PROFILED.get(c, 'NULL::VARCHAR')} AS {c}" for c in columns)
+    number = lambda section, item, metric, value, source: (
+        f"SELECT '{section}' AS section, {item} AS item, '{metric}' AS metric, round(CAST({value} AS DOUBLE), 6) AS value, "
+        f"CAST(NULL AS VARCHAR) AS text FROM {source}"
+    )
+    missing = " UNION ALL ".join(
+        f"SELECT '{c}' AS col, avg(CASE WHEN trim(coalesce(CAST({c} AS VARCHAR), '')) = '' THEN 100.0 ELSE 0.0 END) AS pct FROM k"
+        for c in columns
+    )
+    ties = ", ".join(f"'{c}'" for c in quality.MISSING_TIE_RANK)
+    parts = [
+        number("shape", "''", "source_rows", "2 * count(*) + count(*) FILTER (dan % 5 = 0) + count(*) FILTER (dan % 9 = 0) + count(*) FILTER (dan % 12 = 0)", "k"),
+        number("shape", "''", "invalid_rows", "count(*) FILTER (dan % 9 = 0) + count(*) FILTER (dan % 12 = 0)", "k"),
+        number("shape", "''", "clean_rows", "count(*)", "k"),
+        number("shape", "''", "columns", str(len(columns)), "(SELECT 1)"),
+        *[number("missing", "col", "missing_pct", "pct", f"({missing}) ORDER BY pct DESC, nullif(list_position([{ties}], col), 0) NULLS LAST, col LIMIT 20")],
+        number("headers", "'Material'", "count", "2 * count(*) + count(*) FILTER (dan % 5 = 0)", "k"),
+    ]
+    for c in quality.KEY_COLUMNS:
+        parts.append(number("uniqueness", f"'{c}'", "unique_values", f"count(DISTINCT {c})", "k"))
+        parts.append(number("uniqueness", f"'{c}'", "duplicate_rows", f"coalesce(sum(n) FILTER (n > 1), 0)", f"(SELECT count({c}) AS n FROM k GROUP BY {c})"))
+    for c in quality.NUMERIC_COLUMNS:
+        for metric, value in (("count", f"count({c})"), ("min", f"min({c})"), ("median", f"median({c})"), ("mean", f"avg({c})"), ("max", f"max({c})")):
+            parts.append(number("numeric", f"'{c}'", metric, value, f"(SELECT CAST({c} AS DOUBLE) AS {c} FROM k) HAVING count({c}) > 0"))
+    for c in quality.COUNTED_COLUMNS:
+        value = f"CASE WHEN trim(coalesce(CAST({c} AS VARCHAR), '')) = '' THEN '<NA>' WHEN CAST({c} AS VARCHAR) IN ('true', 'false') THEN upper(substr(CAST({c} AS VARCHAR), 1, 1)) || substr(CAST({c} AS VARCHAR), 2) ELSE CAST({c} AS VARCHAR) END"
+        counted = f"(SELECT v, n, row_number() OVER (ORDER BY n DESC, v) AS place FROM (SELECT {value} AS v, count(*) AS n FROM k GROUP BY 1) QUALIFY place <= 20)"
+        parts += [number("values", f"'{c}=' || v", metric, figure, counted) for metric, figure in (("count", "n"), ("rank", "place"))]
+    for name, a, b in quality.PRICE_PAIRS:
+        parts.append(number("prices", f"'{name}'", "rows", f"count(*) FILTER (abs(CAST({a} AS DOUBLE) - CAST({b} AS DOUBLE)) > 0.01)", "k"))
+    for metric in ("min", "max"):
+        parts.append(f"SELECT 'time', '', '{metric}_time', NULL, {metric}(scraped_at_utc) FROM k")
+    return f"WITH k AS (SELECT {shown} FROM ({sql.PRODUCTS}))\n" + "\nUNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
+
+
 @query("quality_profile")
 def quality_profile(spark: SparkSession, d: str) -> DataFrame:
-    return reference.build_from_lines(product_lines(spark, d)).profile
+    """The whole profile; figures to six digits, times as text."""
+    made = reference.build_from_lines(product_lines(spark, d)).profile
+    time = F.col("section") == "time"
+    return made.select(
+        "section", "item", "metric",
+        F.when(~time, F.round(F.col("value").cast("double"), 6)).alias("value"), F.when(time, F.col("value")).alias("text"),
+    )
 
 
 def _csv_sql(column: str) -> str:
@@ -700,3 +765,6 @@ def _order_documents(spark: SparkSession, d: str) -> DataFrame:
 @query("flatten_all", f"SELECT {', '.join(f'{x} AS {c}' for c, x in FLATTENED.items())} FROM orders")
 def flatten_all(spark: SparkSession, d: str) -> DataFrame:
     return reference.flatten_products(tables.parse_lines(_order_documents(spark, d))).select(*FLATTENED)
+
+
+ORACLES["quality_profile"] = _profile_sql()  # its columns are listed above

@@ -204,24 +204,33 @@ def key_overlap(spark: SparkSession, d: str) -> DataFrame:
     return keymatch.key_overlap(table(spark, d, "customer"), CUSTOMER, _other_customer(spark, d), OTHER)
 
 
-@query(
-    "key_rank",
-    f"""WITH r AS ({sql.profile_counts('customer', CUSTOMER)}), c AS ({sql.profile_counts(f'({OTHER_CUSTOMER})', OTHER)}),
- o AS ({OVERLAP_SQL}),
- s AS (SELECT o.*, r.row_count = c.row_count AND r.unique_non_empty_count = intersection_count
+def _key_rank_sql(reference: str, columns, candidate_: str, others) -> str:
+    """CTEs u (unique columns of the reference) and keys: pairs of unique columns that share values, scored."""
+    overlap = (
+        f"SELECT r.col AS reference_column, c.col AS candidate_column, count(*) AS intersection_count "
+        f"FROM ({_values_sql(reference, columns)}) r JOIN ({_values_sql(candidate_, others)}) c USING (v) GROUP BY 1, 2"
+    )
+    return f"""kr AS ({sql.profile_counts(reference, columns)}), kc AS ({sql.profile_counts(candidate_, others)}),
+ u AS (SELECT "column" FROM kr WHERE is_unique), o AS ({overlap}),
+ ks AS (SELECT o.*, r.row_count = c.row_count AND r.unique_non_empty_count = intersection_count
    AND c.unique_non_empty_count = intersection_count AS complete_set_match,
    CAST(intersection_count AS DOUBLE) / c.unique_non_empty_count AS cc,
    CAST(intersection_count AS DOUBLE) / r.unique_non_empty_count AS rc,
    {sql.header_similarity('reference_column', 'candidate_column')} AS hs,
    least(CAST(r.unique_non_empty_count AS DOUBLE) / r.row_count,
          CAST(c.unique_non_empty_count AS DOUBLE) / c.row_count) AS su,
-   r.non_empty_count AS rn, c.non_empty_count AS cn
-   FROM o JOIN r ON r."column" = reference_column JOIN c ON c."column" = candidate_column
-   WHERE r.is_unique AND c.is_unique)
- SELECT reference_column, candidate_column, complete_set_match, intersection_count,
+   r.non_empty_count AS rn, c.non_empty_count AS cn, r.position AS rp, c.position AS cp
+   FROM o JOIN kr r ON r."column" = reference_column JOIN kc c ON c."column" = candidate_column
+   WHERE r.is_unique AND c.is_unique),
+ keys AS (SELECT reference_column, candidate_column, complete_set_match, intersection_count,
   round(cc, 6) AS candidate_key_coverage, round(rc, 6) AS reference_key_coverage,
   round(hs, 6) AS header_similarity, rn AS reference_non_empty, cn AS candidate_non_empty,
-  round(CASE WHEN complete_set_match THEN 10.0 ELSE 0.0 END + 2 * cc + rc + hs + 3 * su, 6) AS score FROM s""",
+  round(CASE WHEN complete_set_match THEN 10.0 ELSE 0.0 END + 2 * cc + rc + hs + 3 * su, 6) AS score, rp, cp FROM ks)"""
+
+
+@query(
+    "key_rank",
+    f"WITH {_key_rank_sql('customer', CUSTOMER, f'({OTHER_CUSTOMER})', OTHER)} SELECT * EXCLUDE (rp, cp) FROM keys",
 )
 def key_rank(spark: SparkSession, d: str) -> DataFrame:
     ref, cand = table(spark, d, "customer"), _other_customer(spark, d)
@@ -279,19 +288,50 @@ def unmatched_rows(spark: SparkSession, d: str) -> DataFrame:
 
 # --- mapping and scoring of the product candidate ---------------------------------------------
 
-_R = ", ".join(f"{sql.canonical(c)} AS r{i}" for i, c in enumerate(sql.REFERENCE_COLUMNS))
-_C = ", ".join(f"{sql.canonical(c)} AS c{i}" for i, c in enumerate(sql.CANDIDATE_COLUMNS))
-SAMPLE_SQL = (
-    f"WITH joined AS (SELECT {_R}, {_C} FROM {PAIRED} ORDER BY gtin LIMIT 256), sims AS ("
-    + " UNION ALL ".join(
+
+
+def _sample_sql(candidate_columns=sql.CANDIDATE_COLUMNS, source: str = sql.CANDIDATE) -> str:
+    """CTE sims: the sample similarity of every pair of columns."""
+    left = ", ".join(f"{sql.canonical(c)} AS r{i}" for i, c in enumerate(sql.REFERENCE_COLUMNS))
+    right = ", ".join(f"{sql.canonical(c)} AS c{i}" for i, c in enumerate(candidate_columns))
+    pairs = " UNION ALL ".join(
         f"SELECT {i} AS reference_position, {j} AS candidate_position, "
         f"avg(CASE WHEN r{i} = c{j} THEN 1.0 ELSE 0.0 END) * 0.85 + "
         f"avg(CASE WHEN (r{i} = '') = (c{j} = '') THEN 1.0 ELSE 0.0 END) * 0.15 AS s FROM joined"
         for i in range(len(sql.REFERENCE_COLUMNS))
-        for j in range(len(sql.CANDIDATE_COLUMNS))
+        for j in range(len(candidate_columns))
+    )
+    return (
+        f"WITH RECURSIVE joined AS (SELECT {left}, {right} FROM ({sql.PRODUCTS}) r JOIN ({source}) c ON r.gtin = c.gtin_code "
+        f"ORDER BY gtin LIMIT 256), sims AS ({pairs})"
     )
-    + ")"
-)
+
+
+def _pairs_sql(candidate_columns=sql.CANDIDATE_COLUMNS, source: str = sql.CANDIDATE) -> str:
+    """CTE pairs: every pair of columns with its figures."""
+    return f"""{_sample_sql(candidate_columns, source)}, products AS ({sql.PRODUCTS}), candidate AS ({source}),
+ r AS ({sql.profile_sample('products', sql.REFERENCE_COLUMNS, 'gtin')}),
+ c AS ({sql.profile_sample('candidate', candidate_columns, 'gtin_code')}),
+ f AS (SELECT r.position AS rp, c.position AS cp, r."column" AS reference_column, c."column" AS candidate_column,
+  {sql.header_similarity('r."column"', 'c."column"')} AS h,
+  {sql.type_compatibility('r.numeric_ratio', 'r.bool_ratio', 'c.numeric_ratio', 'c.bool_ratio')} AS t FROM r, c),
+ pairs AS (SELECT reference_position, candidate_position, reference_column, candidate_column,
+  round(h, 6) AS header_similarity, t AS type_compatibility, round(CAST(s AS DOUBLE), 6) AS sample_similarity,
+  round(CAST(0.35 * h + 0.10 * t + 0.55 * s AS DOUBLE), 6) AS mapping_confidence
+  FROM f JOIN sims ON rp = reference_position AND cp = candidate_position)"""
+
+
+# Best pair first: each pair is taken if it is good enough and neither of its columns is taken.
+_GREEDY_SQL = """ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY mapping_confidence DESC, sample_similarity DESC,
+  header_similarity DESC, reference_position, candidate_position) AS n FROM pairs),
+ picked AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS refs, CAST([] AS VARCHAR[]) AS cands UNION ALL
+  SELECT ranked.n, CASE WHEN free THEN list_append(refs, reference_column) ELSE refs END,
+   CASE WHEN free THEN list_append(cands, candidate_column) ELSE cands END
+  FROM (SELECT ranked.*, refs, cands, (mapping_confidence >= 0.55 OR sample_similarity >= 0.85)
+    AND NOT list_contains(refs, reference_column) AND NOT list_contains(cands, candidate_column) AS free
+   FROM picked JOIN ranked ON ranked.n = picked.n + 1) AS ranked),
+ accepted AS (SELECT unnest(refs) AS reference_column, unnest(cands) AS candidate_column
+  FROM (SELECT * FROM picked ORDER BY n DESC LIMIT 1))"""
 
 
 def _sample(spark: SparkSession, d: str) -> DataFrame:
@@ -317,7 +357,7 @@ def mapping_sample_ties(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "mapping_sample",
-    f"{SAMPLE_SQL} SELECT reference_position, candidate_position, round(CAST(s AS DOUBLE), 6) AS sample_similarity FROM sims",
+    f"{_sample_sql()} SELECT reference_position, candidate_position, round(CAST(s AS DOUBLE), 6) AS sample_similarity FROM sims",
 )
 def mapping_sample(spark: SparkSession, d: str) -> DataFrame:
     found = mapping.sample_similarity(_sample(spark, d), sql.REFERENCE_COLUMNS, sql.CANDIDATE_COLUMNS)
@@ -332,22 +372,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_KINDS = "'{0}' AS \"column\", {1} AS position"
-
-
-@query(
-    "mapping_pairs",
-    f"""{SAMPLE_SQL}, products AS ({sql.PRODUCTS}), candidate AS ({sql.CANDIDATE}),
- r AS ({sql.profile_sample('products', sql.REFERENCE_COLUMNS, 'gtin')}),
- c AS ({sql.profile_sample('candidate', sql.CANDIDATE_COLUMNS, 'gtin_code')}),
- f AS (SELECT r.position AS rp, c.position AS cp, r."column" AS reference_column, c."column" AS candidate_column,
-  {sql.header_similarity('r."column"', 'c."column"')} AS h,
-  {sql.type_compatibility('r.numeric_ratio', 'r.bool_ratio', 'c.numeric_ratio', 'c.bool_ratio')} AS t FROM r, c)
- SELECT reference_position, candidate_position, reference_column, candidate_column,
-  round(h, 6) AS header_similarity, t AS type_compatibility, round(CAST(s AS DOUBLE), 6) AS sample_similarity,
-  round(CAST(0.35 * h + 0.10 * t + 0.55 * s AS DOUBLE), 6) AS mapping_confidence
- FROM f JOIN sims ON rp = reference_position AND cp = candidate_position""",
-)
+@query("mapping_pairs", f"{_pairs_sql()} SELECT * FROM pairs")
 def mapping_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d)
 
@@ -355,12 +380,7 @@ def mapping_pairs(spark: SparkSession, d: str) -> DataFrame:
 _EXPECTED = list(zip(sql.REFERENCE_COLUMNS, sql.CANDIDATE_COLUMNS))
 
 
-@query(
-    "mapping_greedy",
-    " UNION ALL ".join(
-        f"SELECT '{r}' AS reference_column, '{c}' AS candidate_column FROM part HAVING count(*) > 0" for r, c in _EXPECTED
-    ),
-)
+@query("mapping_greedy", f"{_pairs_sql()}, {_GREEDY_SQL} SELECT * FROM accepted")
 def mapping_greedy(spark: SparkSession, d: str) -> DataFrame:
     accepted = mapping.assign_columns([r.asDict() for r in _pairs(spark, d).collect()])
     rows = [(p["reference_column"], p["candidate_column"]) for p in accepted]
@@ -390,16 +410,25 @@ def column_scores(spark: SparkSession, d: str) -> DataFrame:
     return scores.withColumn("similarity", F.round("similarity", 6))
 
 
+# The coverage of a candidate that lacks every fourth product.
+_COVERAGE = f"(SELECT CAST(count(c.gtin_code) AS DOUBLE) / count(*) FROM ({sql.PRODUCTS}) r LEFT JOIN ({sql.CANDIDATE}) c ON r.gtin = c.gtin_code AND dan_code % 4 <> 0)"
+
+
 @query(
     "dataset_score",
     f"SELECT round(sum(similarity) / {len(_EXPECTED)}, 6) AS dataset_similarity_equal_weighted, "
-    f"round(sum(similarity) / {len(_EXPECTED)} * 0.5, 6) AS overall_score_with_coverage, "
+    f"round(sum(similarity) / {len(_EXPECTED)} * {_COVERAGE}, 6) AS overall_score_with_coverage, "
     f"count(*) AS mapped_reference_columns, CAST({len(_EXPECTED)} AS BIGINT) AS reference_columns_total "
-    f"FROM ({SCORES_SQL})",
+    f"FROM ({SCORES_SQL.replace(f'FROM {PAIRED}', f'FROM (SELECT * FROM {PAIRED} WHERE dan_code % 4 <> 0)')})",
 )
 def dataset_score(spark: SparkSession, d: str) -> DataFrame:
-    scores = scoring.column_scores(_aligned(spark, d), _EXPECTED)
-    total = scoring.dataset_score(scores, sql.REFERENCE_COLUMNS, 0.5)
+    other = candidate(spark, d).where("dan_code % 4 <> 0")
+    counts = align.alignment_counts(products(spark, d), other, "gtin", "gtin_code").first()
+    aligned = align.align_rows(
+        products(spark, d), other, "gtin", "gtin_code", ["gtin"], ["gtin_code"], sql.REFERENCE_COLUMNS, sql.CANDIDATE_COLUMNS
+    )
+    scores = scoring.column_scores(aligned, _EXPECTED)
+    total = scoring.dataset_score(scores, sql.REFERENCE_COLUMNS, counts["coverage_reference"])
     return total.withColumns(
         {c: F.round(c, 6) for c in ("dataset_similarity_equal_weighted", "overall_score_with_coverage")}
     )
@@ -418,15 +447,15 @@ def _compared(
     )
 
 
-def _summary_sql(status: str, mode: str, condition: str = "true") -> str:
+def _summary_sql(condition: str = "true") -> str:
     scores = SCORES_SQL.replace(f"FROM {PAIRED}", f"FROM (SELECT * FROM {PAIRED} WHERE {condition})")
     return f"""WITH s AS ({scores}), n AS (SELECT count(*) AS n FROM part),
  m AS (SELECT count(*) AS m FROM {PAIRED} WHERE {condition}),
  t AS (SELECT sum(similarity) / {len(_EXPECTED)} AS t, count(*) AS c FROM s)
- SELECT '{status}' AS status, round(t, 6) AS dataset_similarity_equal_weighted, CAST(m AS DOUBLE) / n AS coverage_reference,
+ SELECT CASE WHEN m = n THEN 'ok' ELSE 'partial_key_match' END AS status, round(t, 6) AS dataset_similarity_equal_weighted, CAST(m AS DOUBLE) / n AS coverage_reference,
   CAST(1 AS DOUBLE) AS coverage_candidate, round(t * m / n, 6) AS overall_score_with_coverage, m AS matched_rows,
   n AS reference_rows, m AS candidate_rows, c AS mapped_reference_columns,
-  CAST({len(_EXPECTED)} AS BIGINT) AS reference_columns_total, '{mode}' AS key_match_mode,
+  CAST({len(_EXPECTED)} AS BIGINT) AS reference_columns_total, CASE WHEN m = n THEN 'complete' ELSE 'partial' END AS key_match_mode,
   'gtin' AS key_reference_column, 'gtin_code' AS key_candidate_column FROM t, n, m"""
 
 
@@ -436,24 +465,24 @@ def _summary(spark: SparkSession, report: dict) -> DataFrame:
     )
 
 
-@query("compare_summary", _summary_sql("ok", "complete"))
+@query("compare_summary", _summary_sql())
 def compare_summary(spark: SparkSession, d: str) -> DataFrame:
     return _summary(spark, _compared(spark, d))
 
 
-@query("compare_all_rows", _summary_sql("ok", "complete"))
+@query("compare_all_rows", _summary_sql())
 def compare_all_rows(spark: SparkSession, d: str) -> DataFrame:
     return _summary(spark, _compared(spark, d, sample_size=0))
 
 
 # A candidate that lacks every fourth product.
-@query("compare_partial", _summary_sql("partial_key_match", "partial", "dan_code % 4 <> 0"))
+@query("compare_partial", _summary_sql("dan_code % 4 <> 0"))
 def compare_partial(spark: SparkSession, d: str) -> DataFrame:
     return _summary(spark, _compared(spark, d, F.col("dan_code") % 4 != 0))
 
 
 # Both tables through CSV files, as the comparison of two files reads them.
-@query("compare_csv", _summary_sql("ok", "complete"))
+@query("compare_csv", _summary_sql())
 def compare_csv(spark: SparkSession, d: str) -> DataFrame:
     def through_csv(df: DataFrame, order: str, label: str) -> comparison.Table:
         path = new_folder(spark, label)
@@ -465,10 +494,110 @@ def compare_csv(spark: SparkSession, d: str) -> DataFrame:
     return _summary(spark, comparison.compare(reference, other))
 
 
-@query("compare_report")
+# A candidate without ratings but with a column that the reference lacks: every figure of its report.
+_REPORT_COLUMNS = (*[c for c in sql.CANDIDATE_COLUMNS if c != "rating_score"], "extra_noise")
+_REPORT_CANDIDATE = (
+    f"SELECT * EXCLUDE (rating_score), concat('n', CAST(dan_code % 10 AS VARCHAR)) AS extra_noise FROM ({sql.CANDIDATE}) q"
+)
+
+
+def _long_sql(section: str, item: str, metrics: dict[str, str], source: str) -> list[str]:
+    return [
+        f"SELECT '{section}' AS section, {item} AS item, '{metric}' AS metric, CAST({value} AS DOUBLE) AS value, "
+        f"CAST(NULL AS VARCHAR) AS text FROM {source}"
+        for metric, value in metrics.items()
+    ]
+
+
+def _names_sql(section: str, item: str, metric: str, text: str, source: str) -> str:
+    return f"SELECT '{section}' AS section, {item} AS item, '{metric}' AS metric, CAST(NULL AS DOUBLE) AS value, {text} AS text FROM {source}"
+
+
+def _report_sql() -> str:
+    pair = "reference_column || '=' || candidate_column"
+    figures = ("header_similarity", "type_compatibility", "sample_similarity", "mapping_confidence")
+    matched = [(r, c) for r, c in _EXPECTED if c in _REPORT_COLUMNS]
+    scores = " UNION ALL ".join(
+        f"SELECT '{r}' AS reference_column, '{c}' AS candidate_column, avg({sql.cell_similarity(r, c)}) AS similarity, "
+        f"count(*) AS row_count_scored FROM products r JOIN candidate c ON r.gtin = c.gtin_code"
+        for r, c in matched
+    )
+    total = len(sql.REFERENCE_COLUMNS)
+    counts = {"reference_rows": "n", "candidate_rows": "m", "matched_rows": "k", "coverage_reference": "round(k / n, 6)", "coverage_candidate": "round(k / m, 6)"}
+    overall = {
+        "dataset_similarity_equal_weighted": "round(t, 6)", "overall_score_with_coverage": "round(t * k / n, 6)",
+        "mapped_reference_columns": "mapped", "reference_columns_total": str(total),
+    }
+    lists = lambda names: "(SELECT unnest([" + ", ".join(f"'{c}'" for c in names) + "]) AS col)"
+    status = "CASE WHEN k = n AND k = m THEN 'ok' ELSE 'partial_key_match' END"
+    mode = "CASE WHEN k = n AND k = m THEN 'complete' ELSE 'partial' END"
+    parts = [
+        *_long_sql("summary", "''", {**{k: v for k, v in counts.items()}, **overall}, "facts"),
+        _names_sql("summary", "''", "status", status, "facts"),
+        _names_sql("summary", "''", "key_match_mode", mode, "facts"),
+        _names_sql("summary", "''", "key_reference_column", "reference_column", "best"),
+        _names_sql("summary", "''", "key_candidate_column", "candidate_column", "best"),
+        *_long_sql("reference_profile", "''", {"row_count": "n", "column_count": str(total)}, "facts"),
+        *_long_sql("candidate_profile", "''", {"row_count": "m", "column_count": str(len(_REPORT_COLUMNS))}, "facts"),
+        *_long_sql("reference_profile", '"column"', {"unique": "1"}, "u"),
+        *_long_sql("reference_unmatched", "col", {"unmatched": "1"}, f"{lists(sql.REFERENCE_COLUMNS)} WHERE col NOT IN (SELECT reference_column FROM accepted)"),
+        *_long_sql("candidate_unmatched", "col", {"unmatched": "1"}, f"{lists(_REPORT_COLUMNS)} WHERE col NOT IN (SELECT candidate_column FROM accepted)"),
+        *_long_sql(
+            "row_alignment", "''",
+            {
+                **counts, "complete": "CASE WHEN k = n AND k = m THEN 1 ELSE 0 END", "duplicate_reference_keys": "0",
+                "duplicate_candidate_matches": "0", "missing_candidate_keys": "m - k",
+            },
+            "facts",
+        ),
+        _names_sql("row_alignment", "''", "reference_key", "reference_column", "best"),
+        _names_sql("row_alignment", "''", "candidate_key", "candidate_column", "best"),
+        *_long_sql(
+            "key", pair,
+            {c: c for c in (
+                "rank", "complete_set_match", "intersection_count", "candidate_key_coverage", "reference_key_coverage",
+                "header_similarity", "reference_non_empty", "candidate_non_empty", "score",
+            )},
+            "listed",
+        ),
+        *_long_sql("pair", pair, {"rank": "n", **{c: c for c in figures}}, "ranked WHERE n <= 50"),
+        *_long_sql("column_mapping", "''", {"mapping_confidence_avg": "round(avg(mapping_confidence), 6)"}, "chosen"),
+        _names_sql("column_mapping", "reference_column", "candidate_column", "candidate_column", "chosen"),
+        *_long_sql("column_mapping", "reference_column", {c: c for c in figures}, "chosen"),
+        *_long_sql(
+            "score", "reference_column",
+            {
+                "similarity": "round(similarity, 6)", "matched": "1", "row_count_scored": "row_count_scored",
+                **{c: c for c in ("mapping_confidence", "header_similarity", "sample_similarity")},
+            },
+            "chosen JOIN scored USING (reference_column, candidate_column)",
+        ),
+        _names_sql("score", "reference_column", "candidate_column", "candidate_column", "chosen"),
+        *_long_sql("score", "col", {"similarity": "0", "matched": "0"}, f"{lists(sql.REFERENCE_COLUMNS)} WHERE col NOT IN (SELECT reference_column FROM accepted)"),
+        *_long_sql("scores", "''", overall, "facts"),
+    ]
+    return f"""{_pairs_sql(_REPORT_COLUMNS, _REPORT_CANDIDATE)}, {_GREEDY_SQL},
+ {_key_rank_sql('products', sql.REFERENCE_COLUMNS, 'candidate', _REPORT_COLUMNS)},
+ listed AS (SELECT *, row_number() OVER (ORDER BY score DESC, reference_non_empty DESC, rp, cp) AS rank FROM keys QUALIFY rank <= 10),
+ best AS (SELECT * FROM listed WHERE rank = 1),
+ chosen AS (SELECT ranked.* FROM ranked JOIN accepted USING (reference_column, candidate_column)), scored AS ({scores}),
+ facts AS (SELECT (SELECT count(*) FROM products) AS n, (SELECT count(*) FROM candidate) AS m,
+  (SELECT count(*) FROM products JOIN candidate ON gtin = gtin_code) AS k,
+  (SELECT sum(similarity) / {total} FROM scored JOIN accepted USING (reference_column, candidate_column)) AS t,
+  (SELECT count(*) FROM accepted) AS mapped)
+ {' UNION ALL '.join(parts)}"""
+
+
+@query("compare_report", _report_sql())
 def compare_report(spark: SparkSession, d: str) -> DataFrame:
-    report = comparison.report_frame(spark, _compared(spark, d))
-    return report.select(F.to_json(F.struct("*")).alias("report"))
+    made = materialize(products(spark, d), "ref")
+    noise = F.concat(F.lit("n"), (F.col("dan_code") % 10).cast("string"))
+    noisy = candidate(spark, d, made).drop("rating_score").withColumn("extra_noise", noise)
+    report = comparison.compare(
+        comparison.Table(made, ["gtin"], sql.REFERENCE_COLUMNS, "products"),
+        comparison.Table(materialize(noisy, "cand"), ["gtin_code"], _REPORT_COLUMNS, "candidate"),
+    )
+    return comparison.report_rows(spark, report).withColumn("value", F.round("value", 6))
 
 
 @query(
