@@ -14,6 +14,11 @@ from catalogq.plans.compare import Table
 from catalogq.session import materialize
 
 
+LARGE_CSV = 1 << 30
+# Fixed value: bytes of the longest line of JSON Lines that is read; longer ones count as invalid rows.
+LONGEST_LINE = 20 * 1024 * 1024
+
+
 def input_position() -> Column:
     """Order of a file source: file, then split, then row inside the split."""
     return F.struct(
@@ -61,11 +66,34 @@ def _header(spark: SparkSession, path: str, columns: Sequence[str]) -> list[str]
     return [n or c for c, n in zip(columns, names)] if same else list(columns)
 
 
-def csv_table(spark: SparkSession, path: str, multi_line: bool = True) -> Table:
+def _largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file; only the listing is read."""
+    files = spark.read.format("binaryFile").load(path).select("length")
+    return files.agg(F.max("length").alias("n")).first()["n"] or 0
+
+
+def _refuse_open_quotes(spark: SparkSession, path: str) -> None:
+    """Raise if a line holds an odd number of quotes: its cell goes on in the next line, or its quote is broken."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    broken = spark.read.text(path).where(quotes % 2 == 1).select(F.col("_metadata.file_name").alias("file"), "value").limit(1).first()
+    if broken is not None:
+        raise ValueError(
+            f"{broken['file']}: a quote is not closed on its line ({broken['value'][:60]!r}); "
+            "read cells with line breaks with multi_line=True, and large inputs of that kind as many files"
+        )
+
+
+def csv_table(spark: SparkSession, path: str, multi_line: bool | None = None) -> Table:
     """A CSV input to compare(); parsed once, since the comparison reads it several times.
 
-    Pass multi_line=False where no cell holds a line break: large files are then split over tasks.
+    Cells may hold line breaks, which ties each file to one task. Files beyond LARGE_CSV bytes are
+    therefore split at lines instead; that is refused, with the place, where a quote is open at the
+    end of a line. multi_line says which way to go whatever the size.
     """
+    if multi_line is None:
+        multi_line = _largest_file(spark, path) <= LARGE_CSV
+    if not multi_line:
+        _refuse_open_quotes(spark, path)
     return Table(materialize(read_csv(spark, path, multi_line), "csv"), ["_ord"], path=path)
 
 
@@ -104,14 +132,16 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """(_ord, doc, valid): the non-blank lines as variants.
 
     A JSON object is valid, and so is a bare null, which reads as a row without values.
-    Anything else, or text that is not JSON, is invalid.
+    Anything else, or text that is not JSON, is invalid, and so is a line of more than LONGEST_LINE
+    bytes, which is not parsed.
 
     The document comes out of a one-element explode, which the optimizer does not move
     filters across: as a plain column it would be parsed again for every filter on it.
     """
     text = F.trim(F.translate(F.col("value"), "\t\r\n", "   "))
+    parsed = F.when(F.octet_length("value") <= LONGEST_LINE, F.try_parse_json("value"))
     docs = lines.where(text != "").select(
-        "_ord", F.substring(text, 1, 1).alias("_first"), F.explode(F.array(F.try_parse_json("value"))).alias("doc")
+        "_ord", F.substring(text, 1, 1).alias("_first"), F.explode(F.array(parsed)).alias("doc")
     )
     # Text that parses and opens with a brace is an object.
     valid = F.col("doc").isNotNull() & ((F.col("_first") == "{") | F.is_variant_null("doc"))

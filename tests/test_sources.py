@@ -125,3 +125,25 @@ def test_shared_folder_of_a_session_that_names_none(spark, monkeypatch):
     Session.sparkContext.master = "spark://host:7077"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def test_large_csv_files_are_split_at_lines_and_open_quotes_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "LARGE_CSV", 100)
+    good = tmp_path / "good.csv"
+    good.write_text('a,b\n' + "".join(f'{i},"x ""{i}"", y"\n' for i in range(50)), encoding="utf-8")
+    rows = tables.csv_table(spark, str(good)).df.collect()
+    assert len(rows) == 50 and {r["b"] for r in rows} == {f'x "{i}", y' for i in range(50)}
+    broken = tmp_path / "broken.csv"
+    broken.write_text('a,b\n1,"two\nlines"\n' + "2,x\n" * 50, encoding="utf-8")
+    with pytest.raises(ValueError, match="broken.csv.*not closed"):
+        tables.csv_table(spark, str(broken))
+    assert tables.csv_table(spark, str(broken), multi_line=True).df.where("b = 'two\nlines'").count() == 1
+    monkeypatch.setattr(tables, "LARGE_CSV", 1 << 30)
+    assert tables.csv_table(spark, str(broken)).df.count() == 51
+
+
+def test_a_line_beyond_the_limit_is_an_invalid_row(spark, monkeypatch):
+    monkeypatch.setattr(tables, "LONGEST_LINE", 40)
+    lines = spark.createDataFrame([('{"a": 1}', 1), ('{"a": "' + "x" * 40 + '"}', 2), ("null", 3)], "value string, _ord long")
+    counts = tables.line_counts(tables.parse_lines(lines)).first()
+    assert (counts["source_rows"], counts["invalid_rows"]) == (3, 1)
