@@ -20,6 +20,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalogq.llm.scratch import keep
+
 ALTERNATIVES = 64  # beyond so many clauses, a part of an expression counts as a gap
 
 
@@ -51,8 +53,9 @@ ADDED = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    Rule("login_url", r"[a-z]+://[A-Za-z0-9._-]+:[A-Za-z0-9._-]+@[A-Za-z0-9.-]+"),
+    # All starts inside one run of such characters match or fail together, so only the first is tried.
+    Rule("jwt", r"(?<!eyJ[A-Za-z0-9_-]{0,500})eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("login_url", r"(?<![a-z])[a-z]++://[A-Za-z0-9._-]++:[A-Za-z0-9._-]++@[A-Za-z0-9.-]+"),
 )
 RULES = BASE + ADDED
 # For masking, a private key is all from its BEGIN line through its END line, and without END the
@@ -172,6 +175,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
     scanned = [r.kind for r in rules if trigram_query(r.pattern) is None]
     chosen = candidates(rows, rules)
+    if chosen is not None:
+        # Written first: few rows have any, so Spark sees that the list is short and leaves the texts where they are.
+        chosen = keep(chosen, "candidates")
     no_rules = F.array().cast("array<string>").alias("_rules")
     rows = rows.select("*", no_rules) if chosen is None else rows.join(chosen, "_key", "left")
     empty = F.array().cast("array<struct<start:int,rank:int,stop:int,size:int>>")

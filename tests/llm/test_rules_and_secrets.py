@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+import regex  # look-behinds of any length, as in Java
 from pyspark.sql import functions as F
 
 from catalogq.llm import quality_rules as Q
@@ -49,7 +50,7 @@ def test_every_match_satisfies_the_trigram_query(rule):
     clauses = S.trigram_query(rule.pattern)
     samples = [t or "" for t in TEXTS] + ["xoxb-1234567890ab", "sk_live_" + "a" * 16, "AIza" + "b" * 35, "eyJa.eyJb.c", "ftp://u:p@h.x"]
     for text in samples:
-        for match in re.finditer(rule.pattern, text):
+        for match in regex.finditer(rule.pattern, text):
             low = match[0].lower()
             assert clauses is None or any(all(g in low for g in clause) for clause in clauses)
 
@@ -174,3 +175,38 @@ def test_rejected_rows_go_and_columns_stay(spark):
     kept = Q.keep_good(docs, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int"))
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["_words"], r["rule"]) for r in kept.collect()) == [(0, 7, "c"), (1, 5, "a"), (1, 5, "a")]
+
+
+def test_guarded_rules_match_as_the_plain_ones(spark):
+    """The guards against repeated starts change no match."""
+    import random
+    import re
+
+    plain = {
+        "jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+        "login_url": r"[a-z]+://[A-Za-z0-9._-]+:[A-Za-z0-9._-]+@[A-Za-z0-9.-]+",
+    }
+    draw = random.Random(9)
+    parts = ["eyJ", "eyJa", ".eyJ", "b.c", "ws://u:p@", ".", "a", "_", "X", "://", "://", ":", "@", "http", " ", "user", "-"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(40))) for _ in range(4_000)]
+    texts += ["eyJ" * 900 + ".eyJx.y", "x" * 700 + "eyJa" * 300 + ".eyJ1.2 eyJb.eyJc.d"]
+    rules = tuple(r for r in S.RULES if r.kind in plain)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["_row"]["doc_id"]: sorted((rules[s["rank"]].kind, s["start"], s["stop"]) for s in r["_spans"])
+           for r in S.find_secrets(df, rules).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        want = sorted((kind, *m.span()) for kind, pattern in plain.items() for m in re.finditer(pattern, text))
+        found += len(want)
+        assert got[i] == want, text
+    assert found > 100
+
+
+def test_long_runs_take_seconds(spark):
+    import time
+
+    runs = ["q" * 1_000_000 + "://", "eyJ" * 333_000 + " .eyJ", "x://" * 250_000, "q" * 500_000 + "://" + "r" * 500_000, "-----BEGIN " * 90_000]
+    df = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string").repartition(5)
+    start = time.time()
+    assert S.scan_report(df).where("spans <> ''").count() == 0
+    assert time.time() - start < 40
