@@ -54,7 +54,7 @@ ADDED = (
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     # All starts inside one run of such characters match or fail together, so only the first is tried.
-    Rule("jwt", r"(?<!eyJ[A-Za-z0-9_-]{0,500})eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("jwt", r"eyJ(?<!eyJ[A-Za-z0-9_-]{0,500}eyJ)[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("login_url", r"(?<![a-z])[a-z]++://[A-Za-z0-9._-]++:[A-Za-z0-9._-]++@[A-Za-z0-9.-]+"),
 )
 RULES = BASE + ADDED
@@ -185,7 +185,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for order, rule in enumerate(rules):
         wanted = F.rlike(text, F.lit(rule.pattern))
         if rule.kind not in scanned:
-            wanted = F.array_contains("_rules", rule.kind) & wanted
+            # Never NULL: with NULL on its left, AND would run the expression on every text.
+            wanted = F.coalesce(F.array_contains("_rules", rule.kind), F.lit(False)) & wanted
         found.append(F.when(wanted, _spans(text, rule, order)).otherwise(empty))
     return rows.select("_row", "_text", F.sort_array(F.concat(*found)).alias("_spans"))
 
