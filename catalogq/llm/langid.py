@@ -21,8 +21,9 @@ from catalogq.llm.textbatch import lowered, small_batches, text_bytes
 FOLDS, HELD_OUT = 5, 0
 WINDOW = 256  # bytes
 WIDTHS, FILTERS = (2, 3, 4), 16
-TRAIN_ROWS, TRAIN_CHARS, TRAIN_WINDOWS = 3_000, 8_000, 8_000  # bound of the training sample, shared alike by the languages
-LEAST_ROWS, LEAST_WINDOWS = 100, 300  # of a language, however many there are
+# Bounds of the training sample, shared alike by the languages; and of the languages, those with the most documents.
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_WINDOWS, MOST_LANGUAGES = 3_000, 16 << 20, 8_000, 200
+LEAST_ROWS, LEAST_WINDOWS = 100, 300  # of a language
 PASSES, BATCH, RATE = 3, 64, 0.01
 CHUNK = 48  # windows scored at a time
 UNKNOWN = "und"
@@ -135,14 +136,19 @@ class Scorer:
 
 
 def fit(docs: DataFrame) -> Net | None:
-    """Train on a bounded number of texts and windows of each language outside the held-out fold; None if there are none."""
+    """Train on a bounded number of whole texts and of their windows, of each language outside the held-out fold.
+
+    Null ids and languages and empty texts are left out, an id counts once (with its smallest
+    language and text). At most MOST_LANGUAGES languages, TRAIN_ROWS texts (LEAST_ROWS of a
+    language if they are many) and TRAIN_WINDOWS windows (LEAST_WINDOWS) are learnt from, windows
+    drawn from all places of the texts. None if there is nothing to learn.
+    """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold(FOLDS) != HELD_OUT))
     known = known.where(F.length("text") > 0)
     known = known.groupBy("doc_id").agg(F.min("lang").cast("string").alias("lang"))
     count = max(known.select("lang").distinct().count(), 1)
-    picked = bounded_each(known, "lang", max(TRAIN_ROWS // count, LEAST_ROWS))
-    rows = picked_texts(docs, picked, TRAIN_CHARS).collect()
-    rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["doc_id"], r["text"]))
+    picked = bounded_each(known, "lang", max(TRAIN_ROWS // count, LEAST_ROWS), MOST_LANGUAGES)
+    rows = [r for r in picked_texts(docs, picked, TRAIN_BYTES, "lang") if r["text"]]
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})
@@ -186,5 +192,10 @@ def predict(docs: DataFrame, net: Net | None) -> DataFrame:
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row of docs (doc_id, text, lang)."""
+    """doc_id, held_out, lang_pred and score of every row of docs (doc_id, text, lang).
+
+    A text that is null or has no letter is UNKNOWN with score 0, and so is every text where nothing
+    could be learnt; of languages with equal chances the first by name counts. Repeated rows come
+    out as often as they stand, all alike; an empty table gives no rows; other columns are not read.
+    """
     return predict(docs, fit(docs)).select("doc_id", (fold(FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")

@@ -18,7 +18,7 @@ from catalogq.llm.samples import fold, sampled_texts
 from catalogq.llm.textbatch import lowered, mix, small_batches, span_hashes, split_words, text_bytes, window_hashes
 
 FOLDS, HELD_OUT = 5, 0
-TRAIN_ROWS, TRAIN_CHARS = 8_000, 10_000  # bound of the training sample
+TRAIN_ROWS, TRAIN_BYTES = 8_000, 28 << 20  # bounds of the training sample, in whole texts and in bytes of them
 PLACES = 1 << 18
 CHUNK = 200  # training texts turned into vectors at a time
 PASSES = 3
@@ -118,8 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(FOLDS) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = sampled_texts(docs, known, TRAIN_ROWS, TRAIN_CHARS).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    rows = sampled_texts(docs, known, TRAIN_ROWS, TRAIN_BYTES)
     if not rows:
         return np.zeros(PLACES), 0.0
     return train([r["text"] or "" for r in rows], [int(r["quality"] >= 1) for r in rows])
@@ -144,7 +143,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of docs (doc_id, text)."""
+    """doc_id, held_out, score and predicted of every row of docs (doc_id, text).
+
+    Null and empty texts get the model's bias; repeated rows come out as often as they stand, all
+    alike, and an id counts once in training; without labelled rows every score is 0.5; an empty
+    table gives no rows; other columns are not read.
+    """
     return score(docs, fit(docs, labels)).select(
         "doc_id",
         (fold(FOLDS) == HELD_OUT).alias("held_out"),

@@ -21,8 +21,10 @@ from catalogq.llm.samples import fold, sampled_texts
 from catalogq.llm.textbatch import lowered, mix, small_batches, span_hashes, split_words, text_bytes
 
 FOLDS, HELD_OUT = 4, 2
-POSITIVE_ROWS, UNLABELLED_ROWS = 4_000, 8_000  # bound of the training sample
-TRAIN_CHARS = 20_000  # of each training text
+# Bounds of the training sample, in whole texts and in bytes of them.
+POSITIVE_ROWS, UNLABELLED_ROWS = 4_000, 8_000
+POSITIVE_BYTES, UNLABELLED_BYTES = 12 << 20, 24 << 20
+CHUNK = 250  # training texts whose features are made at a time
 BEGINNINGS = (4, 5, 6)  # bytes
 LEAST_ROWS, LEAST_LIFT, SURPRISE, MOST_FEATURES = 4, 6.0, 5.0, 8_192  # SURPRISE in standard errors
 STEPS, RATE, SHRINK = 400, 0.05, 1e-4
@@ -72,9 +74,12 @@ class Lookup:
 
 def _presence(texts: list, lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text number, place of a feature)."""
-    owner, found = features(pa.array(texts, pa.large_string()))
-    which, place = lookup.find(found)
-    pairs = np.unique(owner[which] * np.int64(len(lookup.table) + 1) + place)
+    parts = [np.zeros(0, np.int64)]
+    for at in range(0, len(texts), CHUNK):
+        owner, found = features(pa.array(texts[at : at + CHUNK], pa.large_string()))
+        which, place = lookup.find(found)
+        parts.append(np.unique((owner[which] + at) * np.int64(len(lookup.table) + 1) + place))
+    pairs = np.concatenate(parts)
     return pairs // (len(lookup.table) + 1), pairs % (len(lookup.table) + 1)
 
 
@@ -85,12 +90,15 @@ def _frequent(positive: list, unlabelled: list, prior: float) -> np.ndarray:
     """
 
     def rows_with(texts: list) -> tuple[np.ndarray, np.ndarray]:
-        owner, found = features(pa.array(texts, pa.large_string()))
-        order = np.lexsort((owner, found))
-        owner, found = owner[order], found[order]
-        fresh = np.ones(len(found), bool)
-        fresh[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-        return np.unique(found[fresh], return_counts=True)
+        parts = [np.zeros(0, np.uint64)]
+        for at in range(0, len(texts), CHUNK):
+            owner, found = features(pa.array(texts[at : at + CHUNK], pa.large_string()))
+            order = np.lexsort((owner, found))
+            owner, found = owner[order], found[order]
+            fresh = np.ones(len(found), bool)
+            fresh[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+            parts.append(found[fresh])
+        return np.unique(np.concatenate(parts), return_counts=True)
 
     names, in_p = rows_with(positive)
     names, in_p = names[in_p >= LEAST_ROWS], in_p[in_p >= LEAST_ROWS]
@@ -147,9 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     confirmed = known.where("toxic >= 1").select("doc_id")
-    positive = [r["text"] for r in sampled_texts(docs, confirmed, POSITIVE_ROWS, TRAIN_CHARS).collect() if r["text"]]
+    positive = [r["text"] for r in sampled_texts(docs, confirmed, POSITIVE_ROWS, POSITIVE_BYTES) if r["text"]]
     others = docs.where(F.col("doc_id").isNotNull() & (fold(FOLDS) != HELD_OUT)).select("doc_id")
-    unlabelled = [r["text"] for r in sampled_texts(docs, others, UNLABELLED_ROWS, TRAIN_CHARS).collect()]
+    unlabelled = [r["text"] for r in sampled_texts(docs, others, UNLABELLED_ROWS, UNLABELLED_BYTES)]
     prior = (counts["toxic"] or 0) / counts["n"] if counts["n"] else 0.0
     return train(positive, [t or "" for t in unlabelled], min(max(prior, 1e-4), 0.9))
 
@@ -177,7 +185,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of docs (doc_id, text)."""
+    """doc_id, held_out, score and predicted of every row of docs (doc_id, text).
+
+    Null and empty texts get the model's bias; repeated rows come out as often as they stand, all
+    alike, and an id counts once in training; without labelled rows every score is the same low
+    one; an empty table gives no rows; other columns are not read. MOST_FEATURES bounds the model.
+    """
     scored = score(docs, fit(docs, labels))
     return scored.select(
         "doc_id",

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from catalogq.llm import langid as L
 from catalogq.llm import quality_model as M
@@ -53,7 +54,7 @@ def test_rare_languages_are_learnt(spark, monkeypatch):
 
 def test_samples_of_each_value_are_bounded(spark):
     ids = spark.range(5000).selectExpr("id AS doc_id", "if(id % 1000 = 7, 'rare', 'usual') AS lang")
-    count = {r["lang"]: r["count"] for r in samples.bounded_each(ids, "lang", 100).groupBy("lang").count().collect()}
+    count = {r["lang"]: r["count"] for r in samples.bounded_each(ids, "lang", 100, 50).groupBy("lang").count().collect()}
     assert count == {"rare": 5, "usual": 100}
 
 
@@ -155,3 +156,26 @@ def test_samples_are_bounded_and_repeatable(spark):
     first = [r[0] for r in samples.bounded(ids, 100).collect()]
     assert len(first) == 100 and first == [r[0] for r in samples.bounded(ids.repartition(7), 100).collect()]
     assert samples.bounded(ids, 9000).count() == 5000
+
+
+def test_an_id_counts_once_and_bytes_are_bounded(spark):
+    rows = [(1, "same")] * 300 + [(2, "x" * 100), (3, "y" * 50), (4, None), (5, "é" * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ids = docs.select("doc_id")
+    assert samples.bounded(ids, 10).count() == 5
+    got = samples.sampled_texts(docs, ids, 10, 1_000)
+    assert [(r["doc_id"], r["text"]) for r in got] == [(1, "same"), (2, "x" * 100), (3, "y" * 50), (4, None), (5, "é" * 10)]
+    small = samples.sampled_texts(docs, ids, 10, 80)
+    assert {r["doc_id"] for r in small} == {1, 3, 4, 5} and len(samples.sampled_texts(docs, ids, 1, 1_000)) == 1
+    assert samples.sampled_texts(docs.where("false"), ids.where("false"), 5, 100) == []
+
+
+def test_values_are_thinned_before_anything_is_shuffled(spark):
+    ids = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 > 0, "en").otherwise("de").alias("lang"))
+    made = samples.bounded_each(ids, "lang", 100, 10)
+    assert {r["lang"]: r["count"] for r in made.groupBy("lang").count().collect()} == {"en": 100, "de": 100}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    dirty = spark.range(5_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("lang"))
+    assert samples.bounded_each(dirty, "lang", 100, 20).count() == 20
+    assert samples.bounded_each(ids.where("false"), "lang", 100, 20).count() == 0
