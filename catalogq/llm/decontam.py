@@ -3,10 +3,11 @@
 A text is read in three ways: as plain words (without case and punctuation), and twice as a
 template, in which numbers, names and units become typed placeholders; a capital that opens a
 sentence makes a name in one of the two only. A run of names or of numbers is one placeholder,
-so values may change their number of words. Windows of WINDOW words or placeholders are
+so values may change their number of words. In scripts written without spaces each character is
+a word. Windows of WINDOW words or placeholders are
 hash-joined with those of the benchmark; an item shorter than that is one window of its length, and
-one shorter than two windows has windows of LEAST_WORDS too (items under LEAST_WORDS words are
-not searched). Matched windows whose diagonals (position in
+one shorter than two windows has windows of LEAST_WORDS too. An item under LEAST_WORDS words has no
+template that tells anything: it is searched whole, as plain words. Matched windows whose diagonals (position in
 the document minus position in the item) follow each other within a few words are one stretch,
 so words may be added or dropped inside a copy. A document holds an item if the matched windows
 of a stretch cover at least COVER of the item's words and the slots agree: plain windows alone
@@ -21,6 +22,7 @@ made from the benchmark, so its size is fixed; the join decides.
 
 from __future__ import annotations
 
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -68,6 +70,37 @@ _NUMBER, _NAME, _UNIT = (np.uint64(k) for k in (11, 12, 13))
 SLOT_KINDS = 3
 
 
+# Scripts written without spaces, and the first bytes of their characters.
+_UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+_UNSPACED_BYTE = np.zeros(256, bool)
+_UNSPACED_BYTE[[0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0]] = True
+
+
+@cache
+def _capitals() -> np.ndarray:
+    """Which code points are capitals, in any script that has them."""
+    return np.array([chr(c).isupper() or chr(c).istitle() for c in range(0x20000)])
+
+
+def _code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The characters whose UTF-8 begins at the places given; those of later planes as 0."""
+    tail = [np.append(data, np.zeros(3, np.uint8))[at + k].astype(np.int64) & 63 for k in range(1, 4)]
+    head = data[at].astype(np.int64)
+    two = (head & 31) << 6 | tail[0]
+    three = (head & 15) << 12 | tail[0] << 6 | tail[1]
+    four = (head & 7) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]
+    point = np.where(head < 0xC0, head, np.where(head < 0xE0, two, np.where(head < 0xF0, three, four)))
+    return np.where(point < 0x20000, point, 0)
+
+
+def _spaced(texts: pa.Array) -> pa.Array:
+    """The characters of scripts without spaces set apart, each as a word."""
+    data, _ = text_bytes(texts)
+    if not _UNSPACED_BYTE[data].any():
+        return texts
+    return pc.replace_substring_regex(texts.cast(pa.large_string()), _UNSPACED, r" \1 ")
+
+
 def _unit_hashes() -> np.ndarray:
     data, offsets = text_bytes(pa.array(UNITS, pa.large_string()))
     words = split_words(data, offsets)
@@ -115,6 +148,7 @@ def _folded(texts: pa.Array) -> pa.Array:
 
 
 def _read(texts: pa.Array) -> _Read:
+    texts = _spaced(texts)
     data, offsets = text_bytes(texts)
     # Words without the bytes that don't count: those are taken out before hashing.
     held = _KEPT[data]
@@ -129,12 +163,10 @@ def _read(texts: pa.Array) -> _Read:
     np.cumsum(_DIGIT[data], out=digits[1:])
     begin, end = words.starts[real], words.ends[real]
     number = digits[end] > digits[begin]
-    # The first byte that counts: a capital letter, unless a sentence begins here.
+    # The first character that counts: a capital letter, unless a sentence begins here.
     places = np.flatnonzero(held)
     letter = places[starts[real]]
-    following = data[np.minimum(letter + 1, max(len(data) - 1, 0))] if len(data) else data
-    first = data[letter]
-    capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (following >= 0x80) & (following <= 0x9E))
+    capital = _capitals()[_code_points(data, letter)]
     owner = np.searchsorted(words.first, real, "right") - 1
     opening = np.ones(len(real), bool)
     if len(real) > 1:
@@ -194,7 +226,7 @@ def _window_batch(batch: pa.RecordBatch, sizes: list[int], whole: bool, bits: np
     """Windows of the given sizes with their slots; whole: only the sizes that a text of the benchmark is asked by.
 
     These are WINDOW, or a shorter text's own length; LEAST_WORDS besides for a text in which a
-    word added in the middle leaves no window of WINDOW.
+    word added in the middle leaves no window of WINDOW. Sizes under LEAST_WORDS are of plain words only.
     """
     read = _read(batch.column(1))
     words = np.diff(read.first)
@@ -204,6 +236,8 @@ def _window_batch(batch: pa.RecordBatch, sizes: list[int], whole: bool, bits: np
         lengths = np.diff(stream.first)
         typed = np.flatnonzero(stream.kind)
         for size in sizes:
+            if number and size < LEAST_WORDS:
+                continue
             hashes = mix(window_hashes(stream.token, size) + np.uint64(size + 64 * number))
             n = len(hashes)
             if not n:
@@ -282,8 +316,8 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return bits
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, coverage, agreement) of each benchmark item that a document holds.
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
+    """(doc_id, item_id, coverage, agreement) of each benchmark item of least words or more that a document holds.
 
     docs has doc_id and text, benchmark item_id and text. Null texts hold nothing, rows without
     an id are left out; repeated rows give one result.
@@ -291,7 +325,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.where("item_id is not null").select(
         F.col("item_id").cast("long").alias("id"), F.col("text").cast("string")
     )
-    sizes = list(range(LEAST_WORDS, WINDOW + 1))
+    sizes = list(range(least, WINDOW + 1))
     asked = keep(windows(items, sizes, whole=True), "benchmark")
     present = sorted(r["size"] for r in asked.select("size").distinct().collect())
     if not present:
@@ -378,7 +412,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all their columns."""
+    """The rows of docs that hold no benchmark item of LEAST_WORDS words or more, with all their columns.
+
+    Fewer words stand in clean texts too.
+    """
     # Written, so that the size of the list is known before it may be broadcast.
-    found = keep(leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
+    found = keep(leaks(docs, benchmark, LEAST_WORDS).select("doc_id").distinct(), "leaks")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

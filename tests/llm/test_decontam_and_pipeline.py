@@ -66,6 +66,52 @@ def test_one_clashing_value_is_no_disagreement(spark):
     assert leaks(spark, docs, [(1, item), (2, twice)]) == [(1, 1), (2, 1), (3, 2)]
 
 
+def test_names_of_any_script_are_exchanged(spark):
+    russian = "Вчера утром Маша купила 12 яблок за 5 рублей и потом Маша отдала 3 яблока своей сестре Оле"
+    greek = "χθες το πρωί ο Νίκος πήρε 12 μήλα και μετά ο Νίκος έδωσε 3 από αυτά στην αδελφή του Ελένη"
+    docs = [
+        (1, "так " + russian.replace("Маша", "Катя").replace("12", "40").replace("Оле", "Ане").replace("3", "8")),
+        (2, "να " + greek.replace("Νίκος", "Πέτρος").replace("12", "9").replace("Ελένη", "Άννα")),
+        (3, russian.upper()), (4, "Вчера утром Маша купила хлеб и пошла домой"),
+        (5, russian.replace("потом Маша", "потом Катя").replace("12", "8").replace("Оле", "Маша").replace("3", "5").replace(" яблок ", " груш ").replace("сестре", "подруге").replace("утром", "днём")),
+    ]
+    assert leaks(spark, docs, [(1, russian), (2, greek)]) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_texts_without_spaces_are_found(spark):
+    chinese = "小明昨天买了12个苹果，花了5元钱，然后他把3个苹果送给了妹妹，请问还剩下多少个苹果？"
+    thai = "เมื่อวานนี้แม่ซื้อแอปเปิ้ลสิบผลจากตลาดแล้วให้น้องสาวสามผล"
+    docs = [
+        (1, "前面的话。" + chinese + "后面的话。"), (2, "题目：" + chinese.replace("12", "40").replace("3", "7")),
+        (3, "วันนี้" + thai + "ครับ"), (4, "小明昨天去了学校，然后回家吃饭。苹果很好吃。"), (5, "苹果" * 400),
+    ]
+    assert leaks(spark, docs, [(1, chinese), (2, thai)]) == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_short_items_are_found_whole_and_kept_in_the_stage(spark):
+    items = [(1, "What is two plus"), (2, "Define entropy"), (3, "Zyzzyva!"), (4, "Tom has 3 cats")]
+    docs = [
+        (1, "he asked: what is two plus, and left"), (2, "please define Entropy now"), (3, "a zyzzyva"), (4, "What is two, plus one"),
+        (5, "define the entropy"), (6, "Ann has 4 cats"), (7, "what is two"), (8, "zyzzyvas define"), (9, "so Tom has 3 cats."),
+    ]
+    assert leaks(spark, docs, items) == [(1, 1), (2, 2), (3, 3), (4, 1), (9, 4)]
+    kept = D.clean(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert kept.count() == len(docs)
+
+
+def test_characters_equal_a_plain_reading():
+    draw = random.Random(12)
+    some = "aAßẞéÉяЯωΩǅ中ひกاא𝐀𐐀🙂.!1 \n"
+    texts = ["".join(draw.choice(some) for _ in range(draw.randrange(60))) for _ in range(300)]
+    read = D._read(pa.array(texts))
+    unspaced = re.compile("[中ひก]")
+    plain = []
+    for text in texts:
+        words = [re.sub(r"[^0-9A-Za-z%\u0080-\U0010ffff]", "", w) for w in re.split(r"[ \n]+", unspaced.sub(r" \g<0> ", text))]
+        plain += [w[0].isupper() or w[0].istitle() for w in words if w]
+    assert read.capital.tolist() == plain
+
+
 def test_changed_copies_of_the_benchmark_are_found(spark, sf_dir):
     sf_dir = sf_dir.replace("0.001", "0.1")
     items = duckdb.sql(f"SELECT DISTINCT item_id, text FROM '{sf_dir}/benchmark.parquet'").fetchall()
