@@ -11,9 +11,12 @@
   hold several classes get a second, finer set of keys (64 runs of 10 minima at 0.85: a pair at the
   threshold shares none with probability below 0.95e-6, texts that only have a passage in
   common share none as a rule). The members of its mixed buckets are dealt by hash into small
-  hands and checked against the first of their hand, again and again until a deal finds no link;
-  what is then left in buckets of several classes is joined across classes on the rare shingles
-  of each set, which finds all links among these texts.
+  hands and checked against the first of their hand, again and again until a deal finds no link.
+* What is then left in buckets of several classes is paired across classes, but counted first: a
+  bucket with more such pairs than members is crowded, and its members get longer runs of minima
+  (LONGER), on which fewer unlike texts meet. So the pairs of a step are in proportion to the
+  members and their keys, also for many texts made from one template; only the buckets of the
+  longest runs, which unlike texts hardly share, are paired whatever their size.
 * A pair is dropped by signature only if the share of equal minima is DOUBT standard errors
   below the threshold; all others are decided on the whole sets.
 
@@ -49,6 +52,9 @@ from catalogq.llm.textbatch import (
 SHINGLE = 5  # words
 ROWS, LEAST_BANDS, BANDS, MISSED = 5, 32, 64, 1e-8  # rows at most, bands if more rows allow it, chance of a missed pair
 FINE_ROWS, FINE_LEAST, FINE_BANDS, FINE_MISSED = 10, 64, 80, 0.95e-6
+# Rows and most bands of the longer runs, and the chance of a pair missed by them.
+LONGER, LONGER_MISSED = ((20, 512), (30, 2560)), 0.5e-8
+GROUP = 1024  # hash functions evaluated at a time
 HAND = 4  # members of a mixed bucket that are compared with one of them
 THRESHOLD = 85  # per cent of the union
 DOUBT = 7  # standard errors of the estimate from the minima of a signature
@@ -75,7 +81,7 @@ def _layout(threshold: int, rows: int, least: int, most: int, missed: float) ->
 
 
 def layout(threshold: int) -> tuple[Layout, Layout]:
-    """Coarse and fine bands for a threshold in per cent; together they miss a pair with chance below 1e-6."""
+    """Coarse and fine bands for a threshold in per cent; with the longer runs they miss a pair with chance below 1e-6."""
     if not 0 < threshold <= 100:
         raise ValueError("threshold: per cent, above 0 and at most 100")
     return (
@@ -84,6 +90,11 @@ def layout(threshold: int) -> tuple[Layout, Layout]:
     )
 
 
+def longer_runs(threshold: int) -> list[Layout]:
+    """Layouts of ever longer runs of minima, for the members of crowded buckets."""
+    return [_layout(threshold, rows, 1, most, LONGER_MISSED) for rows, most in LONGER]
+
+
 def _drawn(seed: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and shifts of universal hash functions x -> factor * x + shift modulo 2^64."""
     drawn = np.random.default_rng(seed).integers(0, 1 << 63, (2, hashes, 1), dtype=np.uint64)
@@ -120,11 +131,22 @@ def minima(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np
     return least >> np.uint64(32)
 
 
-def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
-    """One key per band; the band's number is part of it."""
+def band_keys(least: np.ndarray, bands: int, first: int = 0) -> np.ndarray:
+    """One key per band; the band's number, from first on, is part of it."""
     rows = least.reshape(bands, -1)
     rows = mix(rows + np.arange(rows.shape[1], dtype=np.uint64) * np.uint64(1 << 40))
-    return mix(rows.sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
+    return mix(rows.sum(axis=1, dtype=np.uint64) + np.arange(first, first + bands, dtype=np.uint64))
+
+
+def all_keys(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray], bands: Layout) -> np.ndarray:
+    """The band keys of a set that isn't empty, a bounded number of hash functions at a time."""
+    factor, shift = functions
+    step, keys = max(1, GROUP // bands.rows), []
+    for first in range(0, bands.bands, step):
+        n = min(step, bands.bands - first)
+        part = slice(first * bands.rows, (first + n) * bands.rows)
+        keys.append(band_keys(minima(shingles, (factor[part], shift[part])), n, first))
+    return np.concatenate(keys)
 
 
 def _sketch(batch: pa.RecordBatch, coarse: Layout) -> pa.RecordBatch:
@@ -164,11 +186,11 @@ def _sets(batch: pa.RecordBatch, coarse: Layout) -> pa.RecordBatch:
     )
 
 
-def _fine(batch: pa.RecordBatch, fine: Layout) -> pa.RecordBatch:
-    functions = _drawn(FINE_SEED, fine.hashes)
+def _fine(batch: pa.RecordBatch, fine: Layout, seed: int = FINE_SEED) -> pa.RecordBatch:
+    functions = _drawn(seed, fine.hashes)
     sets = batch.column(1)
     values, ends = sets.flatten().to_numpy().view(np.uint64), np.cumsum(pc.list_value_length(sets).to_numpy())
-    keys = [band_keys(minima(x, functions), fine.bands) for x in np.split(values, ends[:-1])]
+    keys = [all_keys(x, functions, fine) for x in np.split(values, ends[:-1])]
     bands = list_column(np.concatenate(keys).view(np.int64), np.full(len(keys), fine.bands), pa.int64())
     return pa.RecordBatch.from_arrays([batch.column(0), bands], ["rep", "bands"])
 
@@ -230,37 +252,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def _across(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs across the classes of members (rep, class), without loss: prefix and position filter.
+def _crowds(members: DataFrame) -> DataFrame:
+    """(band, main, crowded) of mixed buckets: their largest class, and whether pairs across classes outnumber members."""
+    sizes = members.groupBy("band", "class").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("band").agg(
+        F.max(F.struct("n", "class")).alias("most"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside")
+    )
+    across = (F.col("n") * F.col("n") - F.col("inside")) / 2
+    return whole.select("band", F.col("most.class").alias("main"), (across > F.col("n")).alias("crowded"))
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """All pairs across the classes of each bucket; members has band, rep, class and main.
 
-    With the shingles of every set in one order, rare ones first, two similar sets share a shingle
-    in their prefixes, and enough shingles can follow the first one they share.
+    One of a pair is outside the main class, so a large class is never set against itself.
     """
-    tokens = members.join(sets.select("rep", "shingles"), "rep").select(
-        "rep", "class", F.size("shingles").alias("size"), F.explode("shingles").alias("token")
-    )
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    ordered = tokens.join(counts, "token").groupBy("rep", "class", "size").agg(
-        F.sort_array(F.collect_list(F.struct("n", "token"))).alias("tokens")
-    )
-    prefix = F.slice("tokens", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold / 100).cast("int") + 1)
-    first = keep(
-        ordered.select("rep", "class", "size", F.posexplode(prefix).alias("place", "x"))
-        .where("x.n > 1")
-        .select("rep", "class", "size", "place", "x.token"),
-        "prefixes",
-    )
-    side = lambda x: first.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "class", "size", "place")])
-    rest = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))  # places count from 0
-    likely = (
-        (F.col("class_a") < F.col("class_b"))
-        & (F.col("size_a") * threshold <= F.col("size_b") * 100)
-        & (F.col("size_b") * threshold <= F.col("size_a") * 100)
-        & (rest * (100 + threshold) >= (F.col("size_a") + F.col("size_b")) * threshold)
-    )
-    a, b = side("a"), side("b")
-    pairs = a.join(b, (a.token == b.token) & likely)
-    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    outside = members.where(F.col("class") != F.col("main")).select("band", F.col("rep").alias("other"), F.col("class").alias("its"))
+    pairs = members.select("band", "rep", "class").join(outside, "band").where(F.col("class") != F.col("its"))
+    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
 
 
 def _linked(classes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -289,8 +298,18 @@ def _linked(classes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
         now, deal = keep(components(_tied(now).union(links)), "dealt"), deal + 1
         drop(fine.sparkSession, classed_path)
         drop(fine.sparkSession, links_path)
-    left = classed.select("rep", "class").distinct()
-    return components(_tied(now).union(_verified(_across(left, sets, threshold), sets, threshold)))
+    for number, runs in enumerate([*longer_runs(threshold), None], 1):
+        known = keep(classed.join(_crowds(classed), "band"), "crowds")
+        ready = known if runs is None else known.where(~F.col("crowded"))
+        now = keep(components(_tied(now).union(_verified(_across(ready), sets, threshold))), "crossed")
+        crowd = known.where("crowded").select("rep").distinct()
+        if runs is None or crowd.isEmpty():
+            break
+        again = sets.select("rep", "shingles").join(crowd, "rep", "left_semi")
+        make = partial(_fine, fine=runs, seed=FINE_SEED + number)
+        sharper = _buckets(keep(over_texts(again, make, "rep long, bands array<long>"), "longer-sketches"), "longer")
+        classed = _classed(sharper, now)
+    return now
 
 
 def _tied(found: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from catalogq.llm import components, minhash, stages
+from catalogq.llm import components, minhash, scratch, stages
 
 
 def shingles(text):
@@ -65,10 +66,74 @@ def test_families_of_edited_copies(spark):
 def test_bands_follow_the_threshold():
     assert minhash.layout(85) == ((32, 5), (64, 10))
     for threshold in range(1, 101):
-        missed = [(1 - (threshold / 100) ** part.rows) ** part.bands for part in minhash.layout(threshold)]
+        parts = [*minhash.layout(threshold), *minhash.longer_runs(threshold)]
+        missed = [(1 - (threshold / 100) ** part.rows) ** part.bands for part in parts]
         assert sum(missed) < 1e-6
 
 
+def template_texts(draw, n):
+    """Texts of 60 sentences, each in its rarer form with chance 0.15; some with a copy in which a word differs."""
+    usual, rarer = ([" ".join(f"{kind}{s}x{w}" for w in range(8)) for s in range(60)] for kind in "ur")
+    texts = [" ".join(draw.choices([u, r], [85, 15])[0] for u, r in zip(usual, rarer)) for _ in range(n)]
+    return texts + [t.replace("x5 ", f"y{k} ", 1) for k, t in enumerate(texts[: n // 20])]
+
+
+def linked_by_sets(texts, threshold=85):
+    """Component of each place, from the whole sets by one product of matrices."""
+    sets = [shingles(t) for t in texts]
+    number = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(number)), np.float32)
+    for row, one in zip(held, sets):
+        row[[number[x] for x in one]] = 1
+    common, sizes = held @ held.T, held.sum(axis=1)
+    links = 100 * common >= threshold * (sizes[:, None] + sizes - common)
+    root = np.arange(len(sets))
+    while True:
+        least = np.where(links, root, len(sets)).min(axis=1)
+        if (least == root).all():
+            return root.tolist()
+        root = least
+
+
+def test_templates_give_candidates_in_proportion(spark, monkeypatch):
+    """Many unlike texts of one template share most buckets; links stay whole, candidates per text don't grow."""
+    verified, counted = minhash._verified, []
+
+    def counting(pairs, sets, threshold):
+        pairs = scratch.keep(pairs, "counted")
+        counted[-1] += pairs.count()
+        return verified(pairs, sets, threshold)
+
+    monkeypatch.setattr(minhash, "_verified", counting)
+    for n in (300, 1200):
+        texts = template_texts(random.Random(n), n)
+        counted.append(0)
+        got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        found = {r["doc_id"]: r["component_id"] for r in got.collect()}
+        assert [found[k] for k in range(len(texts))] == linked_by_sets(texts)
+    assert counted[0] < 100 * 315 and counted[1] < 100 * 1260
+
+
+def test_longer_runs_lose_no_link(spark, monkeypatch):
+    """All buckets with pairs across classes count as crowded, up to the last step."""
+    draw = random.Random(9)
+    base = [f"b{i}" for i in range(140)]
+    rows = [(i, edited(draw, base, draw.choice([2, 3, 4, 5, 6]))) for i in range(80)]
+    crowds = minhash._crowds
+    monkeypatch.setattr(minhash, "_crowds", lambda members: crowds(members).select("band", "main", F.lit(True).alias("crowded")))
+    check(spark, rows)
+
+
+def test_keys_do_not_depend_on_the_group(monkeypatch):
+    draw = np.random.default_rng(4)
+    one = np.unique(draw.integers(0, 1 << 63, 5000, dtype=np.uint64))
+    bands = minhash.Layout(40, 6)
+    functions = minhash._drawn(3, bands.hashes)
+    whole = minhash.band_keys(minhash.minima(one, functions), bands.bands)
+    monkeypatch.setattr(minhash, "GROUP", 20)
+    assert np.array_equal(minhash.all_keys(one, functions, bands), whole) and len(set(whole)) == 40
+
+
 def test_links_at_eighty_per_cent(spark):
     """Pairs and families from below 0.80 to above 0.85; the stage of the pipeline has this threshold."""
     draw = random.Random(4)
