@@ -54,7 +54,7 @@ ROWS, LEAST_BANDS, BANDS, MISSED = 5, 32, 64, 1e-8  # rows at most, bands if mor
 FINE_ROWS, FINE_LEAST, FINE_BANDS, FINE_MISSED = 10, 64, 80, 0.95e-6
 # Rows and most bands of the longer runs, and the chance of a pair missed by them.
 LONGER, LONGER_MISSED = ((20, 512), (30, 2560)), 0.5e-8
-GROUP = 1024  # hash functions evaluated at a time
+GROUP = 256  # hash functions evaluated at a time, so that their values stay in the cache
 HAND = 4  # members of a mixed bucket that are compared with one of them
 THRESHOLD = 85  # per cent of the union
 DOUBT = 7  # standard errors of the estimate from the minima of a signature
