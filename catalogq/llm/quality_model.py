@@ -61,9 +61,10 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again[1:] = (plain[1:] == plain[:-1]) & (owner[1:] == owner[:-1])
     repeated = np.zeros(n, bool)
     if n > 2:
-        runs = mix(window_hashes(plain, 3) + owner[:-2].astype(np.uint64))
+        inside = np.flatnonzero(owner[2:] == owner[:-2])  # runs that cross into the next text don't count
+        runs = mix(window_hashes(plain, 3) + owner[:-2].astype(np.uint64))[inside]
         _, which, count = np.unique(runs, return_inverse=True, return_counts=True)
-        repeated[:-2] = count[which] > 1
+        repeated[inside] = count[which] > 1
     shape |= again.astype(np.uint64) << np.uint64(6) | repeated.astype(np.uint64) << np.uint64(7)
     length = np.minimum((words.ends - words.starts) // 3, 8).astype(np.uint64)
     sequences = (plain, mix(shape + np.uint64(1 << 20)), mix(shape + (length << np.uint64(10)) + np.uint64(1 << 21)))

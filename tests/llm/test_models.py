@@ -1,7 +1,10 @@
 """Held-out accuracy of the trained models, their gradients, and odd rows."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from catalogq.llm import langid as L
 from catalogq.llm import quality_model as M
-from catalogq.llm import samples
+from catalogq.llm import samples, textbatch
 from catalogq.llm import toxicity as T
 
 LETTERS = {"aa": "abcdei", "bb": "rstuvo", "cc": "mnopaê"}
@@ -151,6 +154,11 @@ def test_sparse_scores_are_dot_products():
     assert np.array_equal(places[rows == 0], places[rows == 3])
 
 
+def test_vectors_do_not_depend_on_the_next_text():
+    alone, followed = (M.vectors(pa.array(texts)) for texts in (["a b c a b"], ["a b c a b", "c d"]))
+    assert all(np.array_equal(a, b[followed[0] == 0]) for a, b in zip(alone, followed))
+
+
 def test_samples_are_bounded_and_repeatable(spark):
     ids = spark.range(5000).withColumnRenamed("id", "doc_id")
     first = [r[0] for r in samples.bounded(ids, 100).collect()]
@@ -179,3 +187,126 @@ def test_values_are_thinned_before_anything_is_shuffled(spark):
     dirty = spark.range(5_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("lang"))
     assert samples.bounded_each(dirty, "lang", 100, 20).count() == 20
     assert samples.bounded_each(ids.where("false"), "lang", 100, 20).count() == 0
+
+
+# Scores written plainly, one text and one word at a time, against the registered queries on a whole table.
+
+FULL = (1 << 64) - 1
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def mixed(x):
+    return int(textbatch.mix(np.array([x & FULL], np.uint64))[0])
+
+
+def word_hash(word):
+    total = sum(int(textbatch._BYTES[b]) * pow(textbatch._BASE, k, 1 << 64) for k, b in enumerate(word))
+    return mixed(total + len(word))
+
+
+def run_hash(hashes):
+    return mixed(sum(h * (mixed(k) | 1) for k, h in enumerate(hashes, 1)))
+
+
+def tables(spark, sf_dir):
+    odd = [(None, "zz top"), (-1, None), (-2, ""), (-3, "a b c a b"), (-4, "c d e"), (-5, "12 34!")]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string").withColumn("lang", F.lit("en")))
+    return docs.coalesce(1), spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def logistic(x):
+    return 1 / (1 + math.exp(-min(max(x, -50), 50)))
+
+
+def same_scores(docs, scored, plain):
+    texts = [r["text"] or "" for r in docs.collect()]
+    got = [r["score"] for r in scored.collect()]
+    assert len(got) == len(texts) > 200
+    assert np.allclose(sorted(got), sorted(plain(t.encode()) for t in texts), atol=1e-6)
+
+
+def test_toxicity_equals_plain_scores(spark, sf_dir):
+    docs, labels = tables(spark, sf_dir)
+    model = T.fit(docs, labels)
+    weights = dict(zip(model.features.tolist(), model.weights.tolist()))
+
+    def plain(text):
+        names = set()
+        for word in set(re.findall(rb"[0-9a-z\x80-\xff]+", text.lower())):
+            names.add(word_hash(word))
+            names |= {mixed(word_hash(word[:k]) + k) for k in T.BEGINNINGS if len(word) > k}
+        return logistic(model.bias + sum(weights.get(x, 0.0) for x in names))
+
+    same_scores(docs, T.score(docs, model), plain)
+
+
+def test_quality_equals_plain_scores(spark, sf_dir):
+    docs, labels = tables(spark, sf_dir)
+    weights, bias = M.fit(docs, labels)
+    kinds = [rb"[#*$%&|<>=@^~_\\{}\[\]+/]", rb"[!?]", rb"[.,;:]", rb"[A-Z]", rb"[a-z]", rb"[0-9]"]
+    known, made = {}, {}
+
+    def plain(text):
+        words = WORD.findall(text)
+        low = [w.lower() for w in words]
+        runs = Counter(tuple(low[k : k + 3]) for k in range(len(low) - 2))
+        tokens = [[], [], []]
+        for k, word in enumerate(words):
+            shape = sum(1 << bit for bit, kind in enumerate(kinds) if re.search(kind, word))
+            shape += 64 * (k > 0 and low[k] == low[k - 1]) + 128 * (runs[tuple(low[k : k + 3])] > 1)
+            if low[k] not in known:
+                known[low[k]] = word_hash(low[k])
+            tokens[0].append(known[low[k]])
+            tokens[1].append(("s", shape))
+            tokens[2].append(("l", shape, min(len(word) // 3, 8)))
+        value = lambda x: x if isinstance(x, int) else mixed(x[1] + (1 << 20) if x[0] == "s" else x[1] + (x[2] << 10) + (1 << 21))
+        places = Counter()
+        for sequence in tokens:
+            for run in [*((x,) for x in sequence), *zip(sequence, sequence[1:])]:
+                if run not in made:
+                    hashes = [value(x) for x in run]
+                    made[run] = (hashes[0] if len(hashes) == 1 else run_hash(hashes)) % M.PLACES
+                places[made[run]] += 1
+        norm = math.sqrt(sum(n * n for n in places.values())) or 1.0
+        return logistic(bias + sum(weights[p] * n for p, n in places.items()) / norm)
+
+    same_scores(docs, M.score(docs, (weights, bias)), plain)
+
+
+def test_language_equals_plain_convolution(spark, sf_dir):
+    docs, _ = tables(spark, sf_dir)
+    net = L.fit(docs)
+    got = L.predict(docs, net).collect()
+
+    def plain(text):
+        if not any(c.isalpha() for c in text):
+            return L.UNKNOWN, 0.0
+        data = text.encode().lower()
+        total = np.zeros(len(net.languages))
+        for at in range(0, len(data), L.WINDOW):
+            part = data[at : at + L.WINDOW]
+            padded = part.ljust(L.WINDOW, b"\0")
+            pooled = []
+            for width, filters, bias in zip(L.WIDTHS, net.filters, net.bias):
+                best = np.full(L.FILTERS, -np.inf)
+                for k in range(L.WINDOW - width + 1):
+                    best = np.maximum(best, sum(filters[j][padded[k + j]] for j in range(width)))
+                pooled += [max(float(x), 0.0) for x in best + bias]
+            z = [sum(h * net.out[i, c] for i, h in enumerate([*pooled, 1.0])) for c in range(len(net.languages))]
+            e = [math.exp(x - max(z)) for x in z]
+            total += len(part) * np.array(e) / sum(e)
+        total /= len(data)
+        return net.languages[int(total.argmax())], float(total.max())
+
+    # Every text whole; of very long ones a few are enough for loops this plain.
+    rows = docs.collect()
+    chosen = [k for k, r in enumerate(rows) if len(r["text"] or "") < 3_000]
+    chosen += [k for k, r in enumerate(rows) if len(r["text"] or "") >= 3_000][:3]
+    by_row = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["lang_pred"], r["score"]) for r in got), key=str)
+    want = {(rows[k]["doc_id"] is not None, rows[k]["doc_id"] or 0): plain(rows[k]["text"] or "") for k in chosen}
+    assert len(want) > 150
+    for held, doc_id, name, score in by_row:
+        if (held, doc_id) in want:
+            other, chance = want[held, doc_id]
+            assert name == other and abs(score - chance) < 1e-4
