@@ -19,9 +19,14 @@ TIMESTAMP_PATTERN = (
 )
 
 
+def bare_text(value: Column) -> Column:
+    """Trimmed text with plain spaces."""
+    return F.btrim(F.replace(value, F.lit(NBSP), F.lit(" ")), F.lit(WHITESPACE))
+
+
 def clean_text(value: Column) -> Column:
     """Trimmed text with plain spaces, NULL when blank."""
-    return blank_to_null(F.translate(value, NBSP, " "))
+    return null_if_empty(bare_text(value))
 
 
 def to_double(text: Column) -> Column:
@@ -57,7 +62,9 @@ def first_integer(text: Column) -> Column:
 def german_date(text: Column) -> Column:
     """First dd.mm.yyyy in a text as an ISO date; NULL for none or an impossible date."""
     found = F.regexp_extract(text, GERMAN_DATE_PATTERN, 1)
-    return F.date_format(F.try_to_timestamp(null_if_empty(found), F.lit("dd.MM.yyyy")), "yyyy-MM-dd")
+    iso = F.concat_ws("-", F.substring(found, 7, 4), F.substring(found, 4, 2), F.substring(found, 1, 2))
+    # There is no year 0.
+    return F.when(~iso.startswith("0000"), iso.try_cast("date").cast("string"))
 
 
 def scrape_time(text: Column) -> Column:

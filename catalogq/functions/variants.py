@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogq.functions.ingest import (
+    bare_text,
     clean_text,
     digits,
     euro_amount,
@@ -18,38 +21,101 @@ from catalogq.functions.ingest import (
 from catalogq.functions.text import null_if_empty
 
 
-def text(value: Column, path: str = "$") -> Column:
+class Members:
+    """The members of a document that columns ask for, by path, read in one pass over it.
+
+    The getters below take it in place of a variant. A path that is asked for as several types is
+    kept as a variant; each type comes from there.
+    """
+
+    def __init__(self, column: str, kinds: dict[str, set[str]] | None = None):
+        self.column, self.fixed = column, kinds is not None
+        self.kinds: dict[str, set[str]] = {} if kinds is None else kinds
+        self.texts: list[str] = []
+
+    def get(self, path: str, kind: str) -> Column:
+        if not self.fixed:
+            self.kinds.setdefault(path, set()).add(kind)
+        member = F.col(self.column)
+        for name in path.removeprefix("$.").split("."):
+            member = member[name]
+        return member if len(self.kinds[path]) == 1 else F.try_variant_get(member, "$", kind)
+
+    def text(self, path: str) -> Column:
+        """The cleaned text of a member; NULL for a blank one costs no array where the text is a column."""
+        self.get(path, "string")
+        if path not in self.texts:
+            self.texts.append(path)
+        found = F.col(f"{self.column}_{self.texts.index(path)}")
+        return F.when(found != "", found)
+
+    def of(self, docs: DataFrame, doc: str, *kept: str) -> DataFrame:
+        """The kept columns, the members and their bare texts: in steps of their own, so that each is read once."""
+        texts = [bare_text(self.get(p, "string")).alias(f"{self.column}_{i}") for i, p in enumerate(self.texts)]
+        return docs.select(*kept, self.read(F.col(doc))).select(*kept, self.column, *texts)
+
+    def read(self, doc: Column) -> Column:
+        """All members as one struct, NULL where a path leads nowhere or to the wrong kind."""
+        tree: dict = {}
+        for path, kinds in self.kinds.items():
+            *above, last = path.removeprefix("$.").split(".")
+            place = tree
+            for name in above:
+                place = place.setdefault(name, {})
+            place[last] = next(iter(kinds)) if len(kinds) == 1 else "variant"
+
+        def kind(node: dict | str) -> str:
+            return node if isinstance(node, str) else f"struct<{','.join(f'`{n}`:{kind(x)}' for n, x in node.items())}>"
+
+        return F.try_variant_get(doc, "$", kind(tree)).alias(self.column)
+
+
+def members(make: Callable[[Members], dict[str, Column]], column: str) -> tuple[Members, dict[str, Column]]:
+    """The members that columns ask for, and the columns."""
+    asked = Members(column)
+    make(asked)
+    known = Members(column, asked.kinds)
+    return known, make(known)
+
+
+def _get(value: Column | Members, path: str, kind: str) -> Column:
+    return value.get(path, kind) if isinstance(value, Members) else F.try_variant_get(value, path, kind)
+
+
+def text(value: Column | Members, path: str = "$") -> Column:
     """Any scalar as cleaned text; an object or array as its JSON."""
-    return clean_text(F.try_variant_get(value, path, "string"))
+    if isinstance(value, Members):
+        return value.text(path)
+    return clean_text(_get(value, path, "string"))
 
 
-def boolean(value: Column, path: str) -> Column:
+def boolean(value: Column | Members, path: str) -> Column:
     """A JSON boolean only: the text 'true' has no numeric reading, the boolean has one."""
-    found = F.try_variant_get(value, path, "string")
-    real = found.isin("true", "false") & F.try_variant_get(value, path, "long").isNotNull()
+    found = _get(value, path, "string")
+    real = found.isin("true", "false") & _get(value, path, "long").isNotNull()
     return F.when(real, found == "true")
 
 
-def whole(value: Column, path: str) -> Column:
+def whole(value: Column | Members, path: str) -> Column:
     return to_long(text(value, path))
 
 
-def decimal(value: Column, path: str) -> Column:
+def decimal(value: Column | Members, path: str) -> Column:
     return to_double(text(value, path))
 
 
-def article_digits(value: Column, path: str) -> Column:
+def article_digits(value: Column | Members, path: str) -> Column:
     return digits(text(value, path))
 
 
-def euros(value: Column, path: str) -> Column:
+def euros(value: Column | Members, path: str) -> Column:
     """A JSON number as it is; text by the shop's spelling rules.
 
     A plain spelling means the same either way. Only one with an exponent needs the
     type: as text its 'E' is dropped like any other letter.
     """
     shown = text(value, path)
-    kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    kind = F.schema_of_variant(_get(value, path, "variant"))
     return (
         F.when(shown.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), shown.try_cast("double"))
         .when(shown.rlike(r"[eE][+-]?[0-9]+$") & (kind != "STRING"), to_double(shown))
@@ -57,17 +123,17 @@ def euros(value: Column, path: str) -> Column:
     )
 
 
-def integer_in(value: Column, path: str) -> Column:
+def integer_in(value: Column | Members, path: str) -> Column:
     return first_integer(text(value, path))
 
 
-def date_in(value: Column, path: str) -> Column:
+def date_in(value: Column | Members, path: str) -> Column:
     return german_date(text(value, path))
 
 
-def items(value: Column, path: str = "$") -> Column:
+def items(value: Column | Members, path: str = "$") -> Column:
     """The elements of a JSON array; none for anything else."""
-    return F.coalesce(F.try_variant_get(value, path, "array<variant>"), F.array().cast("array<variant>"))
+    return F.coalesce(_get(value, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
 def texts(elements: Column) -> Column:
@@ -75,8 +141,8 @@ def texts(elements: Column) -> Column:
     return F.filter(F.transform(elements, lambda e: text(e)), lambda t: t.isNotNull())
 
 
-def is_object(value: Column, path: str = "$") -> Column:
-    return F.try_variant_get(value, path, "map<string,variant>").isNotNull()
+def is_object(value: Column | Members, path: str = "$") -> Column:
+    return _get(value, path, "struct<>").isNotNull()
 
 
 def labels(elements: Column, keys: tuple[str, ...]) -> Column:

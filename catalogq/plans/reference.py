@@ -51,7 +51,7 @@ SCRAPED_AT = "_scraped_at_time"
 _SEO = "$.product.seoInformation.structuredData"
 
 
-def _scalars(doc: Column) -> dict[str, Column]:
+def _scalars(doc: v.Members) -> dict[str, Column]:
     """Columns that one path and one coercion give."""
     return {
         "gtin": v.article_digits(doc, "$.gtin"),
@@ -100,7 +100,7 @@ def _scalars(doc: Column) -> dict[str, Column]:
     }
 
 
-def _array_columns(doc: Column) -> dict[str, Column]:
+def _array_columns(doc: v.Members) -> dict[str, Column]:
     """Scratch arrays that several columns are made from; each is read from the document once."""
     return {
         "_crumbs": F.transform(v.items(doc, "$.product.breadcrumbs"), lambda c: v.text(c)),
@@ -115,12 +115,9 @@ def _array_columns(doc: Column) -> dict[str, Column]:
 
 def flatten_products(docs: DataFrame) -> DataFrame:
     """One wide row per valid document: `_ord`, the scrape time and 80 named columns."""
-    doc = F.col("doc")
-    wide = docs.where("valid").select(
-        "_ord",
-        *[c.alias(n) for n, c in _scalars(doc).items()],
-        *[c.alias(n) for n, c in _array_columns(doc).items()],
-    )
+    # Each path by itself would walk down from the root again.
+    found, columns = v.members(lambda doc: {**_scalars(doc), **_array_columns(doc)}, "_members")
+    wide = found.of(docs.where("valid"), "doc", "_ord").select("_ord", *[c.alias(n) for n, c in columns.items()])
     wide = wide.withColumn("_eyecatchers", v.labels(F.col("_catchers"), ("text", "label", "alt")))
     crumbs, headers = F.col("_crumbs"), F.transform("_groups", lambda g: g["header"])
 

@@ -138,7 +138,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     The document comes out of a one-element explode, which the optimizer does not move
     filters across: as a plain column it would be parsed again for every filter on it.
     """
-    text = F.trim(F.translate(F.col("value"), "\t\r\n", "   "))
+    text = F.ltrim("value", F.lit(" \t\r\n"))
     parsed = F.when(F.octet_length("value") <= LONGEST_LINE, F.try_parse_json("value"))
     docs = lines.where(text != "").select(
         "_ord", F.substring(text, 1, 1).alias("_first"), F.explode(F.array(parsed)).alias("doc")

@@ -759,7 +759,7 @@ def _order_documents(spark: SparkSession, d: str) -> DataFrame:
         F.when(key % 3 == 0, True).when(key % 3 == 1, False).alias("available"), text(customer, ",99 €").alias("price"),
         product.alias("product"),
     )
-    return table(spark, d, "orders").select(F.to_json(document).alias("value"), key.alias("_ord"))
+    return _spread(spark, table(spark, d, "orders")).select(F.to_json(document).alias("value"), key.alias("_ord"))
 
 
 @query("flatten_all", f"SELECT {', '.join(f'{x} AS {c}' for c, x in FLATTENED.items())} FROM orders")

@@ -196,3 +196,23 @@ def test_missing_ties_follow_rank_then_name(spark):
     shares = quality.most_missing(df, ["a", "breadcrumb_4", "unit_quantity", "z"]).collect()
     assert [r["column"] for r in shares] == ["breadcrumb_4", "unit_quantity", "z", "a"]
     assert [r["missing_pct"] for r in shares] == [100.0, 100.0, 100.0, 0.0]
+
+
+def test_members_are_read_in_one_pass(spark):
+    """The named members come from one struct; before, each path walked down from the root."""
+    texts = ['{"name":" a\\u00a0b ","price":1e2,"available":"true","product":{"dan":7,"isPharmacy":true,"variants":{},"brand":"x"}}', '{"product":[1]}', "null"]
+    flat = flatten_products(tables.parse_lines(lines(spark, texts)))
+    shown = ["name", "price_eur_top", "available_raw", "product_dan", "product_is_pharmacy", "has_variants", "brand_product_name"]
+    assert [tuple(r) for r in flat.orderBy("_ord").select(shown).collect()] == [
+        ("a b", 100.0, None, 7, True, True, None), (None, None, None, None, None, False, None), (None, None, None, None, None, False, None),
+    ]
+    plan = flat.select("name", "slug", "product_dan", "metadata_canonical")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("try_variant_get(doc") == 1, plan
+
+
+def test_order_documents_are_spread_over_tasks(spark, tmp_path):
+    from catalogq.workloads import building
+
+    spark.range(100).selectExpr("id as o_orderkey", "id as o_custkey", "'F' as o_orderstatus", "'1' as o_orderpriority", "date'2024-01-01' as o_orderdate").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    dealt = building._order_documents(spark, str(tmp_path))
+    assert dealt.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
