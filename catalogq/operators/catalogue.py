@@ -33,6 +33,8 @@ PAGE_SIZE = 10
 # Rows from the start up to which a page is cut out of one pass; and the pieces that a query of many probes with.
 NEAR_ROWS = 10_000
 PROBES = 2
+# Catalogue rows of one task in a search for many queries.
+SEARCH_ROWS = 20_000
 SHARD_SIZE = 10_000
 MAX_SHARD_SIZE = 50_000
 
@@ -354,6 +356,15 @@ def _rarest_pieces(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("query", "_needle", F.size("rare").alias("_parts"), F.explode(F.col("rare")["_piece"]).alias("_piece"))
 
 
+def _search_tasks(catalogue: DataFrame) -> int:
+    """Tasks of a search for many queries: the rows of one are bounded, whatever the size of the catalogue.
+
+    Pieces and hits of a row are many times its bytes, by which adaptive execution would join tasks.
+    """
+    least = int(catalogue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-catalogue.count() // SEARCH_ROWS))
+
+
 def candidate_pairs(catalogue: DataFrame, queries: DataFrame, identifier: str = "gtin") -> DataFrame:
     """(_id, query, _needle): rows that hold the rarest pieces of a query, written; every hit is among them.
 
@@ -367,9 +378,11 @@ def candidate_pairs(catalogue: DataFrame, queries: DataFrame, identifier: str =
         .distinct()
         .withColumn("_needle", ascii_lower(F.col("query")))
     )
-    rows = _row_pieces(catalogue, search_fields(catalogue), identifier)
+    parts = _search_tasks(catalogue)
+    needed = list(dict.fromkeys([identifier, *search_fields(catalogue)]))
+    rows = _row_pieces(catalogue.select(*needed).repartition(parts, identifier), search_fields(catalogue), identifier)
     probes = materialize(_rarest_pieces(rows, wanted), "probes")
-    met = rows.join(probes, "_piece").groupBy("_id", "query", "_needle").agg(
+    met = rows.join(probes, "_piece").repartition(parts, "_id").groupBy("_id", "query", "_needle").agg(
         F.count_distinct("_piece").alias("n"), F.max("_parts").alias("_parts")
     )
     return materialize(met.where("n = _parts").select("_id", "query", "_needle"), "candidates")
@@ -383,8 +396,12 @@ def query_hits(catalogue: DataFrame, queries: DataFrame, identifier: str = "gtin
     """
     fields = search_fields(catalogue)
     needed = list(dict.fromkeys([identifier, *[c for c in ITEM_COLUMNS if c in catalogue.columns]]))
-    rows, pairs = catalogue.select(*needed), candidate_pairs(catalogue, queries, identifier)
-    hits = rows.join(pairs, rows[identifier].eqNullSafe(pairs["_id"])).drop("_id")
+    parts = _search_tasks(catalogue)
+    rows = catalogue.select(*needed, F.xxhash64(identifier).alias("_place")).repartition(parts, "_place")
+    pairs = candidate_pairs(catalogue, queries, identifier).withColumn("_place", F.xxhash64("_id")).repartition(parts, "_place")
+    # Rows without id meet each other too. Not an equality to the planner, so the join stays on the hash, and with it the tasks.
+    same = F.coalesce(F.col(identifier) == F.col("_id"), F.col(identifier).isNull() & F.col("_id").isNull())
+    hits = rows.join(pairs, "_place").where(same).drop("_id", "_place")
     return hits.where(_matches(fields, F.col("_needle")))
 
 

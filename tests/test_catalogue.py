@@ -194,3 +194,22 @@ def test_pages_show_fallbacks(spark, shop):
 
 def test_product_view_is_whole(spark, sf_dir):
     assert products(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/part.parquet").count()
+
+
+def test_search_for_many_queries_bounds_the_rows_of_a_task(spark, monkeypatch):
+    """Tasks follow the rows of the catalogue; rows with the same id, or without one, meet as before."""
+    from catalogq.operators import catalogue as ops
+
+    monkeypatch.setattr(ops, "SEARCH_ROWS", 10)
+    items = spark.createDataFrame([(None if i % 50 == 0 else f"g{i // 2}", f"item {i}", 1) for i in range(200)], "gtin string, name string, rating_count long")
+    asked = spark.createDataFrame([("item",), ("item 19",), ("nothing",)], "query string")
+    found = ops.query_hits(items, asked)
+    rows = found.select("query", "gtin", "name").collect()
+    assert sorted((r["query"], r["gtin"] or "", r["name"]) for r in rows) == sorted(
+        (q, "" if i % 50 == 0 else f"g{i // 2}", f"item {i}") for q in ("item", "item 19") for i in range(200) if q in f"item {i}"
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert ops.query_hits(items, asked).rdd.getNumPartitions() == 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
