@@ -137,3 +137,26 @@ def test_components_of_random_graphs(spark, seed):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in list(root)}
+
+
+def test_components_of_stars_cost_no_round(spark, monkeypatch):
+    """Stars are recognised as they are; a chain and a tangle still get their smallest node."""
+    import random
+
+    from catalogq.llm import components as stars
+
+    written = []
+    store = stars.store
+    monkeypatch.setattr(stars, "store", lambda df, label: written.append(label) or store(df, label))
+    star = spark.createDataFrame([(1, x) for x in range(2, 30)] + [(50, 51)], "a long, b long")
+    assert {r["node"]: r["component"] for r in stars.components(star).collect()} == {**{x: 1 for x in range(1, 30)}, 50: 50, 51: 50}
+    assert len(written) == 1
+    drawn = random.Random(5)
+    edges = [(x, x + 1) for x in range(40)] + [(drawn.randrange(100, 200), drawn.randrange(100, 200)) for _ in range(90)]
+    known = {x: x for e in edges for x in e}
+    for _ in known:
+        for a, b in edges:
+            known[a] = known[b] = min(known[a], known[b])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    found = {r["node"]: r["component"] for r in stars.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {x: known[x] for x in linked}
