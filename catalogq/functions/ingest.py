@@ -74,7 +74,12 @@ def scrape_time(text: Column) -> Column:
 
 def distinct_texts(texts: Column) -> Column:
     """Cleaned, non-blank, first occurrence of each, in order."""
-    return F.array_distinct(F.filter(F.transform(texts, clean_text), lambda t: t.isNotNull()))
+    return F.array_remove(F.array_distinct(F.array_compact(F.transform(texts, bare_text))), "")
+
+
+def join_clean(texts: Column, separator: str) -> Column:
+    """Distinct texts that are cleaned already as one, NULL when none is left."""
+    return null_if_empty(F.array_join(F.array_distinct(texts), separator))
 
 
 def join_texts(texts: Column, separator: str) -> Column:

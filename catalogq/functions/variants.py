@@ -18,7 +18,15 @@ from catalogq.functions.ingest import (
     to_double,
     to_long,
 )
-from catalogq.functions.text import null_if_empty
+
+# Types of description groups and their parts. Whole groups are read at once; a part of another kind is NULL.
+LINK = "struct<linkText:string,href:string>"
+DEFINITION = "struct<title:string,description:string>"
+BLOCK = (
+    f"struct<texts:array<string>,bulletpoints:array<string>,links:array<{LINK}>,"
+    f"descriptionList:array<{DEFINITION}>,table:array<array<string>>>"
+)
+GROUP = f"struct<header:string,contentBlock:array<{BLOCK}>>"
 
 
 class Members:
@@ -131,14 +139,14 @@ def date_in(value: Column | Members, path: str) -> Column:
     return german_date(text(value, path))
 
 
-def items(value: Column | Members, path: str = "$") -> Column:
-    """The elements of a JSON array; none for anything else."""
-    return F.coalesce(_get(value, path, "array<variant>"), F.array().cast("array<variant>"))
+def items(value: Column | Members, path: str = "$", kind: str = "variant") -> Column:
+    """The elements of a JSON array, NULL where they are of another kind; none for anything else."""
+    return F.coalesce(_get(value, path, f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
 
 
-def texts(elements: Column) -> Column:
-    """The elements that have a text."""
-    return F.filter(F.transform(elements, lambda e: text(e)), lambda t: t.isNotNull())
+def texts(value: Column | Members, path: str) -> Column:
+    """The cleaned texts of the elements of a JSON array that have one."""
+    return F.array_remove(F.array_compact(F.transform(items(value, path, "string"), bare_text)), "")
 
 
 def is_object(value: Column | Members, path: str = "$") -> Column:
@@ -159,49 +167,40 @@ def labels(elements: Column, keys: tuple[str, ...]) -> Column:
 def content_texts(block: Column) -> Column:
     """The texts of one content block: paragraphs, bullets, links, definitions, tables.
 
-    Texts that stand alone are left as they are: joining the blocks cleans them.
+    Texts are left as they are where they stand alone: joining the blocks cleans them and drops blank ones.
     """
 
-    def raw(value: Column, path: str = "$") -> Column:
-        return F.try_variant_get(value, path, "string")
-
-    def raw_texts(path: str) -> Column:
-        return F.transform(items(block, path), lambda e: raw(e))
-
-    def link(item: Column) -> Column:
-        return F.when(is_object(item), F.array(raw(item, "$.linkText"), raw(item, "$.href"))).otherwise(
-            F.array().cast("array<string>")
-        )
+    def listed(name: str, kind: str = "string") -> Column:
+        return F.coalesce(block[name], F.array().cast(f"array<{kind}>"))
 
     def definition(item: Column) -> Column:
-        # Parts that are missing leave no separator behind; a non-object has neither.
-        both = F.array(text(item, "$.title"), text(item, "$.description"))
-        return F.when(is_object(item), null_if_empty(F.array_join(both, ": ")))
+        # Parts that are missing leave no separator behind.
+        return F.array_join(F.array(clean_text(item["title"]), clean_text(item["description"])), ": ")
 
     def row_text(cells: Column) -> Column:
-        return F.array_join(F.transform(cells, lambda x: F.coalesce(text(x), F.lit(""))), " / ")
+        return F.array_join(F.transform(cells, lambda x: F.coalesce(bare_text(x), F.lit(""))), " / ")
 
-    rows = F.filter(F.transform(items(block, "$.table"), lambda r: items(r)), lambda r: F.size(r) > 0)
+    rows = F.filter(listed("table", "array<string>"), lambda r: F.size(r) > 0)
     return F.concat(
-        raw_texts("$.texts"),
-        raw_texts("$.bulletpoints"),
-        F.flatten(F.transform(items(block, "$.links"), link)),
-        F.transform(items(block, "$.descriptionList"), definition),
+        listed("texts"),
+        listed("bulletpoints"),
+        F.flatten(F.transform(listed("links", LINK), lambda x: F.array(x["linkText"], x["href"]))),
+        F.transform(listed("descriptionList", DEFINITION), definition),
         F.array(F.array_join(F.transform(rows, row_text), " || ")),
     )
 
 
 def group_text(group: Column) -> Column:
-    """All texts of a description group, each once, one per line."""
-    blocks = items(group, "$.contentBlock")
+    """All texts of a description group (a GROUP), each once, one per line."""
+    blocks = F.coalesce(group["contentBlock"], F.array().cast(f"array<{BLOCK}>"))
     return join_texts(F.flatten(F.transform(blocks, content_texts)), "\n")
 
 
 def description_groups(groups: Column, headers: tuple[str, ...]) -> Column:
-    """(header, body) of every group with a header; bodies only for the listed headers."""
+    """(header, body) of every group (a GROUP) with a header; bodies only for the listed headers."""
 
     def titled(group: Column) -> Column:
-        return F.struct(F.when(is_object(group), text(group, "$.header")).alias("header"), group.alias("group"))
+        return F.struct(clean_text(group["header"]).alias("header"), group.alias("group"))
 
     def section(entry: Column) -> Column:
         body = F.when(entry["header"].isin(*headers), group_text(entry["group"]))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from catalogq.functions import variants as v
 from catalogq.functions.ingest import (
+    clean_text,
     equal_if_present,
     first_present,
-    join_texts,
+    join_clean,
     rounded_difference,
     scrape_time,
     unit_info,
@@ -103,13 +104,13 @@ def _scalars(doc: v.Members) -> dict[str, Column]:
 def _array_columns(doc: v.Members) -> dict[str, Column]:
     """Scratch arrays that several columns are made from; each is read from the document once."""
     return {
-        "_crumbs": F.transform(v.items(doc, "$.product.breadcrumbs"), lambda c: v.text(c)),
-        "_codes": v.texts(v.items(doc, "$.product.metadata.categoryCodes")),
-        "_gross": v.texts(v.items(doc, "$.product.price.infos")),
-        "_net": v.texts(v.items(doc, "$.product.netPrice.infos")),
+        "_crumbs": F.transform(v.items(doc, "$.product.breadcrumbs", "string"), clean_text),
+        "_codes": v.texts(doc, "$.product.metadata.categoryCodes"),
+        "_gross": v.texts(doc, "$.product.price.infos"),
+        "_net": v.texts(doc, "$.product.netPrice.infos"),
         "_catchers": v.items(doc, "$.product.eyecatchers"),
         "_pills": v.labels(v.items(doc, "$.product.pills"), ("text", "label")),
-        "_groups": v.description_groups(v.items(doc, "$.product.descriptionGroups"), tuple(DESCRIPTION_COLUMNS)),
+        "_groups": v.description_groups(v.items(doc, "$.product.descriptionGroups", v.GROUP), tuple(DESCRIPTION_COLUMNS)),
     }
 
 
@@ -119,35 +120,35 @@ def flatten_products(docs: DataFrame) -> DataFrame:
     found, columns = v.members(lambda doc: {**_scalars(doc), **_array_columns(doc)}, "_members")
     wide = found.of(docs.where("valid"), "doc", "_ord").select("_ord", *[c.alias(n) for n, c in columns.items()])
     wide = wide.withColumn("_eyecatchers", v.labels(F.col("_catchers"), ("text", "label", "alt")))
-    crumbs, headers = F.col("_crumbs"), F.transform("_groups", lambda g: g["header"])
+    wide = wide.withColumn("_last_first", F.reverse("_groups")).withColumn("_headers_last_first", F.col("_last_first.header"))
+    crumbs, headers = F.col("_crumbs"), F.col("_groups.header")
 
     def body(header: str) -> Column:
         # A header that comes up again replaces the earlier text, even by nothing.
-        same = F.filter("_groups", lambda g: g["header"] == header)
-        return F.try_element_at(same, F.lit(-1))["body"]
+        return F.get("_last_first", (F.array_position("_headers_last_first", header) - 1).cast("int"))["body"]
 
     return wide.withColumns(
         {
             SCRAPED_AT: scrape_time(F.col("scraped_at_utc")),
             "breadcrumbs_count": F.size(crumbs).cast("bigint"),
             **{f"breadcrumb_{i}": F.get(crumbs, F.lit(i - 1)) for i in range(1, 5)},
-            "breadcrumbs_path": join_texts(crumbs, " > "),
-            "metadata_category_codes": join_texts(F.col("_codes"), "|"),
-            "gross_price_infos": join_texts(F.col("_gross"), " | "),
-            "net_price_infos": join_texts(F.col("_net"), " | "),
+            "breadcrumbs_path": join_clean(crumbs, " > "),
+            "metadata_category_codes": join_clean(F.col("_codes"), "|"),
+            "gross_price_infos": join_clean(F.col("_gross"), " | "),
+            "net_price_infos": join_clean(F.col("_net"), " | "),
             **unit_info(F.col("_gross")),
             "has_pills": F.size("_pills") > 0,
             "has_eyecatchers": F.size("_eyecatchers") > 0,
             "eyecatchers_count": F.size("_catchers").cast("bigint"),
-            "eyecatchers": join_texts(F.col("_eyecatchers"), " | "),
-            "pills": join_texts(F.col("_pills"), " | "),
+            "eyecatchers": join_clean(F.col("_eyecatchers"), " | "),
+            "pills": join_clean(F.col("_pills"), " | "),
             "description_headers_count": F.size("_groups").cast("bigint"),
-            "description_headers": join_texts(headers, " | "),
+            "description_headers": join_clean(headers, " | "),
             "description_headers_json": F.to_json(headers),
             "_headers": headers,
             **{column: body(header) for header, column in DESCRIPTION_COLUMNS.items()},
         }
-    ).drop("_crumbs", "_codes", "_gross", "_net", "_catchers", "_eyecatchers", "_pills", "_groups")
+    ).drop("_crumbs", "_codes", "_gross", "_net", "_catchers", "_eyecatchers", "_pills", "_groups", "_last_first", "_headers_last_first")
 
 
 def reconcile(rows: DataFrame) -> DataFrame:
@@ -206,6 +207,11 @@ def dedupe_written(rows: DataFrame) -> DataFrame:
     return rows.join(outdated, "_ord", "left_anti")
 
 
+def for_export(rows: DataFrame) -> DataFrame:
+    """What the clean table and the choice of its rows take from reconciled rows; the other columns need not be made or written."""
+    return rows.select(*EXPORT_COLUMNS, SCRAPED_AT, "_ord")
+
+
 def export_rows(rows: DataFrame) -> DataFrame:
     """The clean table: 41 columns in fixed order."""
     return rows.select(*EXPORT_COLUMNS)

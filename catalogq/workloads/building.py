@@ -184,7 +184,7 @@ BLOCK_SQL = (
 )
 def content_blocks(spark: SparkSession, d: str) -> DataFrame:
     docs = tables.parse_lines(_group_lines(spark, d))
-    first = F.get(variants.items(F.col("doc"), "$.product.descriptionGroups"), F.lit(0))
+    first = F.get(variants.items(F.col("doc"), "$.product.descriptionGroups", variants.GROUP), F.lit(0))
     return docs.select(F.col("_ord").alias("o_orderkey"), variants.group_text(first).alias("body"))
 
 
@@ -566,7 +566,7 @@ def build_reference(spark: SparkSession, d: str) -> DataFrame:
 @query("export_projection", CLEAN_SQL)
 def export_projection(spark: SparkSession, d: str) -> DataFrame:
     flat = reference.reconcile(reference.flatten_products(tables.parse_lines(product_lines(spark, d))))
-    return reference.export_rows(reference.dedupe_written(materialize(flat, "products")))
+    return reference.export_rows(reference.dedupe_written(materialize(reference.for_export(flat), "products")))
 
 
 @query(
@@ -665,7 +665,7 @@ def _csv_sql(column: str) -> str:
 @query("reference_csv", f"SELECT {', '.join(_csv_sql(c) for c in reference.EXPORT_COLUMNS)} FROM ({CLEAN_SQL})")
 def reference_csv(spark: SparkSession, d: str) -> DataFrame:
     flat = reference.reconcile(reference.flatten_products(tables.parse_lines(product_lines(spark, d))))
-    built = reference.export_rows(reference.dedupe_written(materialize(flat, "products")))
+    built = reference.export_rows(reference.dedupe_written(materialize(reference.for_export(flat), "products")))
     path = new_folder(spark, "reference")
     sinks.write_csv(built, path, reference.EXPORT_COLUMNS)
     return tables.read_csv(spark, path).drop("_ord")

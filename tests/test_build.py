@@ -216,3 +216,31 @@ def test_order_documents_are_spread_over_tasks(spark, tmp_path):
     spark.range(100).selectExpr("id as o_orderkey", "id as o_custkey", "'F' as o_orderstatus", "'1' as o_orderpriority", "date'2024-01-01' as o_orderdate").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     dealt = building._order_documents(spark, str(tmp_path))
     assert dealt.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+ODD_GROUPS = """{"product":{"descriptionGroups":[7,null,"x",[1],{"header":" "},
+ {"header":"Material","contentBlock":[{"texts":["old"]}]},
+ {"header":"Zutaten","contentBlock":[5,{"texts":"no array","bulletpoints":[" b ",null,3,{"a":1},true]},
+  {"links":["u",{"linkText":"more","href":null},{"href":"/h"}],"descriptionList":[1,{"title":"t"},{"title":" ","description":"d"},{"title":"t","description":"d"}],
+   "table":["r",[],["a",null," c "],[2]]}]},
+ {"header":"Material"},{"header":9,"contentBlock":{}}]}}"""
+
+
+def test_description_groups_of_other_kinds(spark):
+    lines = spark.createDataFrame([(1, ODD_GROUPS.replace("\n", ""))], "_ord long, value string")
+    row = flatten_products(tables.parse_lines(lines)).first()
+    assert row["_headers"] == ["Material", "Zutaten", "Material", "9"]
+    assert row["desc_material"] is None and row["desc_allergene"] is None
+    assert row["desc_zutaten"] == 'b\n3\n{"a":1}\ntrue\nmore\n/h\nt\nd\nt: d\na /  / c || 2'
+
+
+def test_flattening_walks_the_groups_once(spark):
+    lines = spark.createDataFrame([(1, "{}")], "_ord long, value string")
+    shown = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = flatten_products(tables.parse_lines(lines))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", shown)
+    # Neither a search of all groups for every header nor a walk from each group down to each of its parts.
+    assert plan.count("lambdafunction(") <= 40
